@@ -1,0 +1,8 @@
+from foliocheck.sources import corpus, findings
+QUERIES = {
+ "zz_words": lambda s, d: corpus.words(s, d).select("book_id","page_number","word_idx","str","xmin","ymin","xmax","ymax","text_start","text_end"),
+ "zz_ocr": lambda s, d: corpus.ocr_words(s, d).select("book_id","page_number","word_idx","str","block_id","line_id","confidence"),
+ "zz_find": lambda s, d: findings.findings(s, d).drop("doc_id"),
+ "zz_books": lambda s, d: corpus.books(s, d),
+ "zz_pages": lambda s, d: corpus.pages(s, d),
+}

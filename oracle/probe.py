@@ -1,0 +1,8 @@
+from oracle.base import compose
+ORACLES = {
+ "zz_words": compose("SELECT book_id,page_number,word_idx,str,xmin,ymin,xmax,ymax,text_start,text_end FROM words_v"),
+ "zz_ocr": compose("SELECT book_id,page_number,word_idx,str,block_id,line_id,confidence FROM ocr_words_v"),
+ "zz_find": compose("SELECT * EXCLUDE (doc_id) FROM findings_v"),
+ "zz_books": compose("SELECT * FROM books_v"),
+ "zz_pages": compose("SELECT * FROM pages_v"),
+}
