@@ -47,10 +47,12 @@ SCORE_DEFAULT = "Style & Consistency"
 WB = "(?<![A-Za-z0-9_])"
 WE = "(?![A-Za-z0-9_])"
 P_HEADING_COLON = r"(?:^|[\n.!?])[ \t]*([A-Za-z0-9 \t()]{2,45}?)[ \t]+(:-|:—|:)[ \t]*"
-P_CONJUNCTION_COLON = r"(?i)([A-Za-z0-9]+)\s*:\s+(and|or|as well as)" + WE
+# A leftmost match of [A-Za-z0-9]+ always begins a run, so the look-behind changes no match;
+# it stops the engine from retrying every position of a long run.
+P_CONJUNCTION_COLON = r"(?i)(?<![A-Za-z0-9])([A-Za-z0-9]+)\s*:\s+(and|or|as well as)" + WE
 P_PAGE_LABEL = r"(?i)" + WB + r"(?:Page|Pg\.?)\s*(\d+)" + WE
 P_EXAMPLE = r"(?i)" + WB + r"(Solved Example|Example|Illustration|Activity)\s*(\d+)" + WE
-P_MALFORMED_COLON = r"([A-Za-z0-9]+)\s*(::|\s+-\s+:)\s*"
+P_MALFORMED_COLON = r"(?<![A-Za-z0-9])([A-Za-z0-9]+)\s*(::|\s+-\s+:)\s*"
 P_MODAL_CAPITAL = WB + r"(will|shall|would|could|should|must|may|might|can)\s+(Complete)" + WE
 P_LINE_HEADING = r"(?i)^(Unit|Chapter|Ch\.?)[ \t-]*(\d+)\s*[:.\-–—]\s*([^.!?]{2,80})$"
 P_TOC_LINE = r"^\s*(\d+)\s*[.:\-]?\s+(.{3,70}?)\s+(\d{1,3})\s*$"

@@ -30,45 +30,55 @@ class TextRule:
     template: str
     explanation: str
     lead: str = ""
+    literal: str = ""        # text every match contains, tested before the pattern
 
 
 TEXT_RULES = [
     TextRule("heading_colon", 1, C.P_HEADING_COLON, "punctuation", "major", 0.98,
              r"^(.*?)[ \t]+(:-|:—|:)$", "$1$2 ",
-             "Remove the space before the colon: write $suggestion", lead=r"^[\n.!?]?[ \t]*"),
+             "Remove the space before the colon: write $suggestion", lead=r"^[\n.!?]?[ \t]*", literal=":"),
     TextRule("conjunction_colon", 2, C.P_CONJUNCTION_COLON, "punctuation", "major", 0.96,
-             C.P_CONJUNCTION_COLON, "$1 $2", "No colon before a conjunction: write $suggestion"),
+             C.P_CONJUNCTION_COLON, "$1 $2", "No colon before a conjunction: write $suggestion", literal=":"),
     TextRule("malformed_colon", 5, C.P_MALFORMED_COLON, "punctuation", "minor", 0.95,
-             r"^([A-Za-z0-9]+)\s*(::|\s+-\s+:)$", "$1:", "Malformed colon: write $suggestion"),
+             r"^([A-Za-z0-9]+)\s*(::|\s+-\s+:)$", "$1:", "Malformed colon: write $suggestion", literal=":"),
     TextRule("modal_capital", 6, C.P_MODAL_CAPITAL, "typography", "minor", 0.98,
-             r"^(.*)Complete$", "$1complete", "A verb after a modal verb starts with a small letter"),
+             r"^(.*)Complete$", "$1complete", "A verb after a modal verb starts with a small letter",
+             literal="Complete"),
 ]
-EXTRA_SCANS = [("page_label", C.P_PAGE_LABEL), ("example", C.P_EXAMPLE)]
+EXTRA_SCANS = [("page_label", C.P_PAGE_LABEL, ""), ("example", C.P_EXAMPLE, "")]
 
 FINDING_COLUMNS = ["book_id", "page_number", "doc_id", "rule_id", "seq", "type", "severity", "quote", "suggestion",
                    "explanation", "xmin", "ymin", "xmax", "ymax", "box_source", "source",
                    "text_start", "text_end", "confidence"]
 
 
-def scan(pages: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """Every match of every pattern with its offset: one row per match.
+def scan(pages: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """Every match of every (rule_id, pattern, needed literal) with its offset: one row per match.
 
-    A page is first tested against each pattern and split only where it matches. Offsets are
-    running sums over the matches of a page, so a page with very many matches stays linear.
+    A page is first tested against each pattern, behind a plain substring test where a match
+    must contain a literal, and is split only for the rules it matches. Offsets are running sums
+    over the matches of a page, so a page with very many matches stays linear.
     """
-    def found(rule_id: str, pattern: str) -> Column:
-        hits = F.when(F.col("text").rlike(pattern), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-        parts = F.when(F.col("text").rlike(pattern), F.split("text", pattern, -1))
-        gaps = F.transform(parts, lambda p: F.length(p))
-        tail = F.transform(parts, lambda p: F.substring(p, 1, 1))
-        return F.struct(F.lit(rule_id).alias("rule_id"), hits.alias("hits"),
-                        F.arrays_zip(hits.alias("hit"), gaps.alias("gap"),
-                                     F.slice(tail, 2, 2147483647).alias("next_char")).alias("m"))
+    def tested(rule_id: str, pattern: str, literal: str) -> Column:
+        test = F.col("text").rlike(pattern)
+        if literal:
+            test = F.col("text").contains(literal) & test
+        return F.when(test, F.lit(rule_id))
+
+    def pick(value) -> Column:
+        out = F.lit(None)
+        for rule_id, pattern, _ in patterns:
+            out = F.when(F.col("rule_id") == rule_id, value(pattern)).otherwise(out)
+        return out
 
     keep = [c for c in ("book_id", "page_number", "doc_id", "expected", "page_count") if c in pages.columns]
-    rows = (pages.select(*keep, F.explode(F.array(*[found(r, p) for r, p in patterns])).alias("s"))
-            .filter("s.hits IS NOT NULL")
-            .select(*keep, F.col("s.rule_id").alias("rule_id"), F.posexplode("s.m").alias("i", "m"))
+    rows = (pages.select(*keep, "text", F.explode(F.array_compact(F.array(*[tested(*p) for p in patterns]))).alias("rule_id"))
+            .select(*keep, "rule_id", pick(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("hits"),
+                    pick(lambda p: F.split("text", p, -1)).alias("parts")))
+    gap = F.transform("parts", lambda p: F.length(p))
+    following = F.slice(F.transform("parts", lambda p: F.substring(p, 1, 1)), 2, 2147483647)
+    rows = (rows.select(*keep, "rule_id", F.posexplode(
+                F.arrays_zip(F.col("hits").alias("hit"), gap.alias("gap"), following.alias("next_char"))).alias("i", "m"))
             .select(*keep, "rule_id", "i", "m.*").filter("hit IS NOT NULL")
             .repartition(*PAGE))
     w = W.partitionBy(*PAGE, "rule_id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -169,7 +179,7 @@ def lint_text(pages: DataFrame, rules: list[TextRule] = TEXT_RULES) -> DataFrame
         pages = pages.withColumn("expected", F.lit(None).cast("int"))
     if "page_count" not in pages.columns:
         pages = pages.withColumn("page_count", F.lit(None).cast("int"))
-    matches = scan(pages, [(r.rule_id, r.pattern) for r in rules] + EXTRA_SCANS)
+    matches = scan(pages, [(r.rule_id, r.pattern, r.literal) for r in rules] + EXTRA_SCANS)
     return (template_findings(matches, rules).unionByName(example_findings(matches))
             .unionByName(page_number_findings(pages, matches)))
 

@@ -12,7 +12,7 @@ def _template(rule_id):
     rule = [r for r in rules.TEXT_RULES if r.rule_id == rule_id]
 
     def run(spark, sf_dir):
-        m = rules.scan(corpus.pages(spark, sf_dir), [(rule[0].rule_id, rule[0].pattern)])
+        m = rules.scan(corpus.pages(spark, sf_dir), [(rule[0].rule_id, rule[0].pattern, rule[0].literal)])
         return rules.template_findings(m, rule).select(OUT)
     return run
 
@@ -25,12 +25,12 @@ def expected_pages(spark, sf_dir):
 
 def page_number_sequence(spark, sf_dir):
     pages = expected_pages(spark, sf_dir)
-    m = rules.scan(pages, [("page_label", rules.EXTRA_SCANS[0][1])])
+    m = rules.scan(pages, rules.EXTRA_SCANS[:1])
     return rules.page_number_findings(pages, m).select(*OUT, "explanation")
 
 
 def example_numbering(spark, sf_dir):
-    m = rules.scan(corpus.pages(spark, sf_dir), [("example", rules.EXTRA_SCANS[1][1])])
+    m = rules.scan(corpus.pages(spark, sf_dir), rules.EXTRA_SCANS[1:])
     return rules.example_findings(m).select(*OUT, "explanation")
 
 

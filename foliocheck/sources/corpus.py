@@ -33,9 +33,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A large table already has more splits than cores and is left alone, so this never adds a
     shuffle at scale.
     """
-    if df.rdd.getNumPartitions() * 2 > df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(*keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores, *keys)
 
 
 def pages(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
@@ -139,7 +138,8 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", plain_spaces(F.col("text")))
     docs = docs.selectExpr("doc_id", f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number",
                            f"{seeds.page_text('div')} AS text")
-    return words_of(docs.repartition(*PAGE_KEY))
+    few = docs.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism
+    return words_of(spread(docs, *PAGE_KEY) if few else docs.repartition(*PAGE_KEY))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,3 +165,47 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{seeds.model_json()} AS raw",
         "CASE doc_id % 10 WHEN 7 THEN 'MAX_TOKENS' WHEN 8 THEN NULL WHEN 9 THEN 'FINISH_REASON_UNSPECIFIED' "
         "ELSE 'STOP' END AS finish_reason")
+
+
+def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", *_exprs(seeds.raw_issue_columns()))
+    numbers = F.expr("CASE WHEN bn IS NOT NULL THEN slice(array(b0, b1, b2, b3), 1, bn) END")
+    return rows.withColumn("box_2d", numbers).drop("bn", "b0", "b1", "b2", "b3")
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{seeds.ERROR_MESSAGE} AS error")
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of the conversations; a conversation talks about the book of its number."""
+    return (table(spark, sf_dir, "conversations").filter("role = 'user'")
+            .selectExpr("conv_id", "turn", f"{seeds.CHAT_TEXT} AS message"))
+
+
+def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{seeds.INSTRUCTION_TEXT} AS raw")
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.expr(seeds.book_id("div")).alias("book_id"), "doc_id",
+                                                 *_exprs(seeds.MARK_COLUMNS))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload manifest: one file per web page."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "CASE WHEN page_id % 9 = 8 THEN 'scan.png' ELSE concat('Book ', page_id, '.PDF') END AS file_name",
+        "CASE WHEN page_id % 11 = 10 THEN 0L WHEN page_id % 13 = 12 THEN 262144001L ELSE CAST(length(html) AS BIGINT) END AS size",
+        "CASE WHEN page_id % 10 = 3 THEN 'PK' ELSE '%PDF-' END AS magic",
+        "concat('proofreader_assets/pdf_', CASE WHEN page_id % 7 = 6 THEN 'a..b/' ELSE '' END, page_id) AS object_key",
+        "page_id % 70 AS parts")
+
+
+def upload_parts(spark: SparkSession, sf_dir: str, size: int = 4000) -> DataFrame:
+    """Files cut in parts; some files miss their second part."""
+    return (table(spark, sf_dir, "pages")
+            .selectExpr("page_id", "html", f"CAST(ceil(length(html) / {size}D) AS INT) AS declared")
+            .selectExpr("page_id", "declared", "html", "explode(sequence(0, declared - 1)) AS idx")
+            .filter("NOT (page_id % 6 = 5 AND idx = 1)")
+            .selectExpr("page_id", "declared", "idx", f"substring(html, idx * {size} + 1, {size}) AS body"))

@@ -158,3 +158,53 @@ def model_json() -> str:
     return (f"CASE doc_id % 6 WHEN 0 THEN {body} WHEN 1 THEN concat('```json', chr(10), {body}, chr(10), '```') "
             f"WHEN 2 THEN '{{\"pageKind\":\"content\",\"layoutNotes\":\"\",\"issues\":[]}}' "
             f"WHEN 3 THEN substring({body}, 1, 70) WHEN 4 THEN {body} ELSE 'no findings' END")
+
+
+def raw_issue_columns() -> list[tuple[str, str]]:
+    """One unvalidated model issue per document (needs doc_id)."""
+    d = "CAST(doc_id AS STRING)"
+
+    def box(i: int) -> str:
+        vals = {0: [10, 20, 5, 8], 1: [-5, 10, 2000, 40], 2: [1, 2, 3, None], 5: [1, None, 3, 4]}
+        arms = " ".join(f"WHEN {k} THEN {'NULL' if v[i] is None else f'CAST({v[i]} AS DOUBLE)'}" for k, v in vals.items())
+        own = ["doc_id % 900", "doc_id % 700", "doc_id % 900 + 50", "doc_id % 700 + 60"][i]
+        return f"CASE doc_id % 6 {arms} WHEN 4 THEN CAST({own} AS DOUBLE) END"
+    return [
+        ("raw_type", "CASE doc_id % 5 WHEN 0 THEN 'typo' WHEN 2 THEN 'spelling' WHEN 3 THEN 'heading' WHEN 4 THEN 'image' END"),
+        ("raw_severity", "CASE doc_id % 3 WHEN 0 THEN 'huge' WHEN 1 THEN 'minor' END"),
+        ("quote", f"CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE concat('  figure ', {d}, ' ') END"),
+        ("suggestion", f"concat(' Figure ', {d})"),
+        ("explanation", "CASE WHEN doc_id % 18 = 0 THEN NULL ELSE ' case ' END"),
+        ("raw_confidence", "CASE doc_id % 4 WHEN 0 THEN CAST(1.7 AS DOUBLE) WHEN 1 THEN CAST(-1 AS DOUBLE) WHEN 2 THEN CAST(0.4 AS DOUBLE) END"),
+        ("bn", "CASE doc_id % 6 WHEN 2 THEN 3 WHEN 3 THEN NULL ELSE 4 END"),
+        *[(f"b{i}", box(i)) for i in range(4)],
+    ]
+
+
+ERROR_MESSAGE = (
+    "CASE event_id % 12 WHEN 0 THEN '429 RESOURCE_EXHAUSTED' WHEN 1 THEN 'request timed out' "
+    "WHEN 2 THEN '401 UNAUTHENTICATED' WHEN 3 THEN 'ENOENT: no such file' WHEN 4 THEN 'Internal Error in model' "
+    "WHEN 5 THEN '{\"error\":{\"message\":\"quota used\"}}' WHEN 6 THEN '{broken' WHEN 7 THEN '403 PERMISSION_DENIED' "
+    "WHEN 8 THEN repeat('long message ', 20) WHEN 9 THEN 'JSON_PARSE_ERROR: bad' WHEN 10 THEN '' "
+    "ELSE 'stream aborted' END")
+
+# Chat turns: what the user asks for, by conversation and turn.
+CHAT_TEXT = (
+    "CASE (conv_id + turn) % 8 WHEN 0 THEN concat(text, ' where are issues 1, 2') WHEN 1 THEN 'please pause' "
+    "WHEN 2 THEN 'Go to page 3.' WHEN 3 THEN concat('remember that fact ', CAST(conv_id % 5 AS STRING)) "
+    "WHEN 4 THEN concat('Remember FACT ', CAST(conv_id % 5 AS STRING)) WHEN 5 THEN 're-analyse page 12' "
+    "WHEN 6 THEN concat('issue number 12 , 13, 14 and ', CAST(turn AS STRING)) "
+    "ELSE concat(text, ' the part will Complete the figure') END")
+INSTRUCTION_TEXT = (
+    "concat(text, chr(10), 'Check the figures. Use short words. use short WORDS', chr(10), "
+    "'Only flag objective errors.', chr(10), 'Keep version ', CAST(conv_id AS STRING), '!')")
+
+MARK_COLUMNS = [
+    ("mark_id", "CASE WHEN doc_id % 97 = 0 THEN 'dup' ELSE concat('m', CAST(doc_id AS STRING)) END"),
+    ("mark_type", "CASE WHEN doc_id % 211 = 3 THEN 'star' WHEN doc_id % 3 = 0 THEN 'circle' WHEN doc_id % 3 = 1 THEN 'square' "
+                  "ELSE 'highlight' END"),
+    ("page", "CASE WHEN doc_id % 173 = 7 THEN 999 ELSE CAST(doc_id % 50 + 1 AS INT) END"),
+    ("comment", "concat('look at ', CAST(doc_id AS STRING), CASE quality WHEN 1 THEN ' “good” – fine…' ELSE '' END)"),
+    ("mx", "CAST(doc_id % 90 AS DOUBLE)"), ("my", "CAST(doc_id % 80 AS DOUBLE)"),
+    ("mw", "CAST(CASE WHEN doc_id % 131 = 11 THEN 0 ELSE 8 END AS DOUBLE)"), ("mh", "CAST(5 AS DOUBLE)"),
+]
