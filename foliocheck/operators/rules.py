@@ -86,36 +86,53 @@ def scan(pages: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     return rows.withColumn("at", (end - F.length("hit")).cast("int")).drop("gap")
 
 
-def template_findings(matches: DataFrame, rules: list[TextRule] = TEXT_RULES) -> DataFrame:
-    """Findings of rules whose suggestion is a rewrite of the match itself."""
-    def pick(value) -> Column:
-        out = F.lit(None)
+def rule_findings(matches: DataFrame, rules: list[TextRule] = TEXT_RULES) -> DataFrame:
+    """Findings of the rewriting rules and of the numbering rule, in one pass over the matches.
+
+    Numbering compares each label ("Example 3") with the previous number of the same label on
+    the page: equal is a duplicate, more than one ahead is a gap.
+    """
+    example = F.col("rule_id") == "example"
+
+    def pick(value, numbering) -> Column:
+        out = F.when(example, numbering)
         for r in rules:
             v = value(r)
-            out = F.when(F.col("rule_id") == r.rule_id, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+            out = out.when(F.col("rule_id") == r.rule_id, v if isinstance(v, Column) else F.lit(v))
         return out
 
-    m = matches.filter(F.col("rule_id").isin([r.rule_id for r in rules]))
-    m = m.withColumn("cut", pick(lambda r: F.regexp_replace("hit", r.lead, "") if r.lead else F.col("hit")))
+    m = matches.filter(F.col("rule_id").isin([r.rule_id for r in rules] + ["example"]))
+    m = (m.withColumn("label", F.when(example, F.lower(F.regexp_extract("hit", C.P_EXAMPLE, 1))))
+         .withColumn("num", F.when(example, F.regexp_extract("hit", C.P_EXAMPLE, 2).cast("decimal(38,0)"))))
+    w = W.partitionBy(*PAGE, "rule_id", "label").orderBy("at")
+    m = m.withColumn("prev", F.lag("num").over(w)).withColumn("prev_hit", F.lag("hit").over(w))
+    m = m.filter(~example | (F.col("num") == F.col("prev")) | (F.col("num") > F.col("prev") + 1))
+    m = m.withColumn("cut", pick(lambda r: F.regexp_replace("hit", r.lead, "") if r.lead else F.col("hit"), F.col("hit")))
     m = (m.withColumn("text_start", (F.col("at") + F.length("hit") - F.length("cut")).cast("int"))
          .withColumn("quote", F.regexp_replace("cut", r"\s+$", ""))
          .withColumn("text_end", (F.col("text_start") + F.length("quote")).cast("int"))
-         .withColumn("suggestion", pick(lambda r: F.regexp_replace("quote", r.rewrite, r.template))))
+         .withColumn("suggestion", pick(
+             lambda r: F.regexp_replace("quote", r.rewrite, r.template),
+             F.concat(F.regexp_replace("quote", r"\d+$", ""), (F.col("prev") + 1).cast("string")))))
     head = F.regexp_extract("quote", r"^(.*?)[ \t]+(?::-|:—|:)$", 1)
     skip = (F.col("rule_id") == "heading_colon") & (
         (head.rlike(r"^\d+$") & F.coalesce(F.col("next_char").rlike(r"^\d"), F.lit(False)))
         | head.rlike(r"(?i)^(http|https|e\.g|i\.e)$") | (head == ""))
-    m = m.filter(~skip)
-    return as_findings(m, order=pick(lambda r: r.order), type=pick(lambda r: r.type),
-                       severity=pick(lambda r: r.severity), confidence=pick(lambda r: r.confidence),
-                       explanation=pick(lambda r: F.replace(F.lit(r.explanation), F.lit("$suggestion"),
-                                                            F.col("suggestion"))))
+    same = F.col("num") == F.col("prev")
+    return as_findings(
+        m.filter(~skip), order=pick(lambda r: r.order, F.lit(4)), type=pick(lambda r: r.type, F.lit("examples")),
+        severity=pick(lambda r: r.severity, F.when(same, "major").otherwise("minor")),
+        confidence=pick(lambda r: r.confidence, F.when(same, 0.92).otherwise(0.88)),
+        explanation=pick(
+            lambda r: F.replace(F.lit(r.explanation), F.lit("$suggestion"), F.col("suggestion")),
+            F.concat(F.when(same, "Duplicate number: repeats ").otherwise("Number skipped after "), "prev_hit")))
 
 
 def as_findings(m: DataFrame, order, type, severity, confidence, explanation) -> DataFrame:
     """Common finding columns; a rule finding has no measured box until it is located."""
+    rule = F.when(F.col("rule_id") == "example", "example_number").otherwise(F.col("rule_id"))
     return m.select(
-        "book_id", "page_number", "doc_id", "rule_id",
+        "book_id", "page_number", "doc_id", rule.alias("rule_id"),
         (order.cast("bigint") * 10000000 + F.col("text_start")).alias("seq"),
         type.alias("type"), severity.alias("severity"), "quote", "suggestion", explanation.alias("explanation"),
         F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(1000.0).alias("xmax"), F.lit(1000.0).alias("ymax"),
@@ -124,25 +141,6 @@ def as_findings(m: DataFrame, order, type, severity, confidence, explanation) ->
         confidence.cast("double").alias("confidence"))
 
 
-def example_findings(matches: DataFrame) -> DataFrame:
-    """Duplicate or skipped numbers per label, against the previous number of that label."""
-    e = (matches.filter("rule_id = 'example'")
-         .withColumn("label", F.lower(F.regexp_extract("hit", C.P_EXAMPLE, 1)))
-         .withColumn("num", F.regexp_extract("hit", C.P_EXAMPLE, 2).cast("decimal(38,0)")))
-    w = W.partitionBy(*PAGE, "label").orderBy("at")
-    e = e.withColumn("prev", F.lag("num").over(w)).withColumn("prev_quote", F.lag("hit").over(w))
-    e = e.filter("num = prev OR num > prev + 1")
-    same = F.col("num") == F.col("prev")
-    e = (e.withColumn("rule_id", F.lit("example_number")).withColumn("quote", F.col("hit"))
-         .withColumn("text_start", F.col("at")).withColumn("text_end", F.col("at") + F.length("hit"))
-         .withColumn("suggestion", F.concat(F.regexp_replace("hit", r"\d+$", ""), (F.col("prev") + 1).cast("string"))))
-    return as_findings(
-        e, F.lit(4), F.lit("examples"), F.when(same, "major").otherwise("minor"),
-        F.when(same, 0.92).otherwise(0.88),
-        F.when(same, F.concat(F.lit("Duplicate number: repeats "), "prev_quote"))
-        .otherwise(F.concat(F.lit("Number skipped after "), "prev_quote")))
-
-
 def last_number(pages: DataFrame) -> DataFrame:
     """The last token of a page where it is a plausible page number."""
     token = F.regexp_extract("text", r"(?:^|\s)(\d{1,4})\s*$", 1)
@@ -174,14 +172,15 @@ def page_number_findings(pages: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def lint_text(pages: DataFrame, rules: list[TextRule] = TEXT_RULES) -> DataFrame:
-    """All text rules over all pages; `pages` may carry `expected` and `page_count`."""
+    """All text rules over all pages.
+
+    The page number rule needs `expected` and `page_count` columns and is left out without them.
+    """
+    patterns = [(r.rule_id, r.pattern, r.literal) for r in rules] + EXTRA_SCANS
     if "expected" not in pages.columns:
-        pages = pages.withColumn("expected", F.lit(None).cast("int"))
-    if "page_count" not in pages.columns:
-        pages = pages.withColumn("page_count", F.lit(None).cast("int"))
-    matches = scan(pages, [(r.rule_id, r.pattern, r.literal) for r in rules] + EXTRA_SCANS)
-    return (template_findings(matches, rules).unionByName(example_findings(matches))
-            .unionByName(page_number_findings(pages, matches)))
+        return rule_findings(scan(pages, [p for p in patterns if p[0] != "page_label"]), rules)
+    matches = scan(pages, patterns)
+    return rule_findings(matches, rules).unionByName(page_number_findings(pages, matches))
 
 
 def with_uid(findings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def _template(rule_id):
 
     def run(spark, sf_dir):
         m = rules.scan(corpus.pages(spark, sf_dir), [(rule[0].rule_id, rule[0].pattern, rule[0].literal)])
-        return rules.template_findings(m, rule).select(OUT)
+        return rules.rule_findings(m, rule).select(OUT)
     return run
 
 
@@ -31,7 +31,7 @@ def page_number_sequence(spark, sf_dir):
 
 def example_numbering(spark, sf_dir):
     m = rules.scan(corpus.pages(spark, sf_dir), rules.EXTRA_SCANS[1:])
-    return rules.example_findings(m).select(*OUT, "explanation")
+    return rules.rule_findings(m, []).select(*OUT, "explanation")
 
 
 QUERIES = {

@@ -209,3 +209,16 @@ def upload_parts(spark: SparkSession, sf_dir: str, size: int = 4000) -> DataFram
             .selectExpr("page_id", "declared", "html", "explode(sequence(0, declared - 1)) AS idx")
             .filter("NOT (page_id % 6 = 5 AND idx = 1)")
             .selectExpr("page_id", "declared", "idx", f"substring(html, idx * {size} + 1, {size}) AS body"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processing attempts: ten consecutive events belong to one page, so a book stays bounded."""
+    e = table(spark, sf_dir, "events").withColumn("doc_id", F.expr("event_id div 10"))
+    return e.select(
+        F.expr(seeds.book_id("div")).alias("book_id"), F.expr(seeds.PAGE_NUMBER).alias("page_number"), "event_id",
+        F.col("ts").alias("heartbeat_at"), F.expr("event_type = 'error'").alias("failed"),
+        F.expr(f"CASE WHEN event_type = 'error' THEN {seeds.ERROR_MESSAGE} END").alias("error"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))

@@ -89,6 +89,7 @@ def page_columns(div: str) -> list[tuple[str, str]]:
         ("evidence_prepared", f"{book_no(div)} % 5 <> 1 OR doc_id % 10 > 2"),
         ("evidence_indexed", "doc_id % 6 <> 0"),
         ("coverage_complete", "doc_id % 12 <> 5"),
+        ("subject_key", "CASE doc_id % 4 WHEN 0 THEN 'MATH' WHEN 1 THEN 'SCIENCE' WHEN 2 THEN '' ELSE 'ART' END"),
         ("warning", "CASE WHEN doc_id % 8 = 0 THEN 'OCR contains uncertain words' "
                     "WHEN doc_id % 8 = 3 THEN 'Suppressed first-pass candidates' ELSE '' END"),
     ]
