@@ -79,12 +79,16 @@ def apply_requests(pages: DataFrame, requests: DataFrame) -> DataFrame:
     `requests`: request_id, kind, book_id, page_number (null for resume and pause).
     """
     p = pages.select("book_id", "page_number", F.col("status").alias("page_status"))
-    one = (requests.filter("kind = 'reanalyze'").join(p, ["book_id", "page_number"], "left")
+    again = requests.filter("kind = 'reanalyze'")
+    # The first request of a page queues it; a later one then meets a queued page.
+    first = again.groupBy("book_id", "page_number").agg(F.min("request_id").alias("first_id"))
+    one = (again.join(first, ["book_id", "page_number"], "left").join(p, ["book_id", "page_number"], "left")
            .withColumn("outcome", F.when(F.col("page_status").isNull(), "missing")
-                       .when(F.col("page_status").isin("done", "error"), "pending").otherwise("conflict")))
-    failed = p.filter("page_status = 'error'")
-    resumed = (requests.filter("kind = 'resume'").drop("page_number").join(failed, "book_id")
-               .withColumn("outcome", F.lit("pending")))
+                       .when(F.col("page_status").isin("done", "error") & (F.col("request_id") == F.col("first_id")), "pending")
+                       .otherwise("conflict")))
+    # Resuming twice finds no failed page the second time, so the first request of a book counts.
+    resumed = (requests.filter("kind = 'resume'").groupBy("book_id", "kind").agg(F.min("request_id").alias("request_id"))
+               .join(p.filter("page_status = 'error'"), "book_id").withColumn("outcome", F.lit("pending")))
     paused = (requests.filter("kind = 'pause'").withColumn("page_status", F.lit(None).cast("string"))
               .withColumn("outcome", F.lit("paused")))
     cols = ["request_id", "kind", "book_id", "page_number", "page_status", "outcome"]

@@ -222,3 +222,34 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word boxes as a recogniser's tab-separated rows over a 2000 x 1000 image."""
+    return page_words(spark, sf_dir).selectExpr(
+        "book_id", "page_number", "word_idx AS line_no", "2000 AS width", "1000 AS height",
+        "concat_ws('\t', CASE WHEN text_start % 41 = 40 THEN '4' ELSE '5' END, '1', CAST(CAST(floor(ymin / 100) AS INT) AS STRING), '1', "
+        "CAST(CAST(floor(ymin) AS BIGINT) AS STRING), CAST(text_start AS STRING), "
+        "CASE WHEN text_start % 53 = 52 THEN 'NaN' ELSE CAST(CAST(floor(xmin * 2) AS BIGINT) AS STRING) END, CAST(CAST(floor(ymin) AS BIGINT) AS STRING), "
+        "CAST(CAST(floor((xmax - xmin) * 2) AS BIGINT) AS STRING), '12', CAST((doc_id * 31 + text_start) % 100 AS STRING), str) AS line")
+
+
+# Affine transforms of a run by document: 0, 90, 180 and 270 degrees at 10 points.
+RUN_MATRIX = [("a", [10, 0, -10, 0]), ("b", [0, 10, 0, -10]), ("c", [0, -10, 0, 10]), ("d", [10, 0, -10, 0])]
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text runs as a page renderer reports them: one per line, rotated by document."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", plain_spaces(F.col("text")))
+    docs = docs.selectExpr("doc_id", f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number",
+                           f"{seeds.page_text('div')} AS text")
+    few = docs.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism
+    docs = spread(docs, *PAGE_KEY) if few else docs.repartition(*PAGE_KEY)
+    lines = docs.select("book_id", "page_number", "doc_id", F.posexplode(F.split("text", "\n")).alias("run_idx", "str"))
+    mat = [f"CAST(CASE doc_id % 4 WHEN 0 THEN {v[0]} WHEN 1 THEN {v[1]} WHEN 2 THEN {v[2]} ELSE {v[3]} END AS DOUBLE) AS {n}"
+           for n, v in RUN_MATRIX]
+    return lines.selectExpr("book_id", "page_number", "run_idx", "str", *mat,
+                            "CAST(250 + doc_id % 100 AS DOUBLE) AS e", "CAST(400 + (run_idx * 12) % 300 AS DOUBLE) AS f",
+                            "5.0D * length(str) AS width", "10.0D AS height", "CAST(NULL AS DOUBLE) AS ascent",
+                            "CAST(NULL AS DOUBLE) AS descent", "600.0D AS viewport_width", "800.0D AS viewport_height",
+                            "array(1.0D, 0.0D, 0.0D, -1.0D, 0.0D, 800.0D) AS viewport")

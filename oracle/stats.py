@@ -106,9 +106,11 @@ ORACLES = {
     "s7_apply_requests": compose("""WITH r AS (SELECT event_id AS request_id, CASE event_type WHEN 'view' THEN 'reanalyze' WHEN 'click' THEN 'reanalyze'
         WHEN 'signup' THEN 'resume' WHEN 'purchase' THEN 'pause' END AS kind, concat('book-', lpad(CAST(event_id // 500 AS VARCHAR), 12, '0')) AS book_id,
         CAST(CASE WHEN event_type IN ('view','click') THEN event_id % 55 + 1 END AS INT) AS page_number FROM events)
-      SELECT request_id, kind, r.book_id, r.page_number, p.status AS page_status, CASE WHEN p.status IS NULL THEN 'missing' WHEN p.status IN ('done','error') THEN 'pending' ELSE 'conflict' END AS outcome
+      SELECT request_id, kind, r.book_id, r.page_number, p.status AS page_status, CASE WHEN p.status IS NULL THEN 'missing' WHEN p.status IN ('done','error')
+         AND request_id = min(request_id) OVER (PARTITION BY r.book_id, r.page_number) THEN 'pending' ELSE 'conflict' END AS outcome
        FROM r LEFT JOIN pages_v p ON p.book_id = r.book_id AND p.page_number = r.page_number WHERE kind = 'reanalyze'
-      UNION ALL SELECT request_id, kind, r.book_id, p.page_number, p.status, 'pending' FROM r JOIN pages_v p ON p.book_id = r.book_id AND p.status = 'error' WHERE kind = 'resume'
+      UNION ALL SELECT request_id, kind, r.book_id, p.page_number, p.status, 'pending' FROM
+        (SELECT min(request_id) AS request_id, kind, book_id FROM r WHERE kind = 'resume' GROUP BY ALL) r JOIN pages_v p ON p.book_id = r.book_id AND p.status = 'error'
       UNION ALL SELECT request_id, kind, book_id, NULL, NULL, 'paused' FROM r WHERE kind = 'pause'"""),
     "s8_approval_gate": compose("""SELECT book_id, status AS old_status, CASE WHEN w THEN 'context_approval' WHEN status = 'context_approval' AND approved THEN 'queued' ELSE status END AS status, w AS gated
       FROM (SELECT *, status IN ('queued','processing') AND has_pending AND NOT needs_evidence AND NOT preparing AND NOT approved AS w FROM flags_v)"""),
