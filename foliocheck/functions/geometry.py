@@ -23,10 +23,15 @@ def clamp(xmin: Column, ymin: Column, xmax: Column, ymax: Column, limit: float =
     """The box inside the page, or null when it is not finite or has no area left."""
     def cut(low: Column, v: Column) -> Column:
         return F.greatest(low, F.least(F.lit(limit), v))
-    x0, y0 = cut(F.lit(0.0), xmin), cut(F.lit(0.0), ymin)
-    x1, y1 = cut(x0, xmax), cut(y0, ymax)
-    box = F.struct(x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax"))
-    return F.when(finite(xmin, ymin, xmax, ymax) & (x1 > x0) & (y1 > y0), box)
+
+    def inside(r: Column) -> Column:
+        x0, y0 = cut(F.lit(0.0), r["x0"]), cut(F.lit(0.0), r["y0"])
+        x1, y1 = cut(x0, r["x1"]), cut(y0, r["y1"])
+        box = F.struct(x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax"))
+        return F.when(finite(r["x0"], r["y0"], r["x1"], r["y1"]) & (x1 > x0) & (y1 > y0), box)
+    # Bound once, so long corner expressions are not repeated for every side.
+    corners = F.array(F.struct(xmin.alias("x0"), ymin.alias("y0"), xmax.alias("x1"), ymax.alias("y1")))
+    return F.get(F.transform(corners, inside), F.lit(0))
 
 
 def clamp_model_box(numbers: Column) -> Column:

@@ -15,9 +15,15 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+_MAY_FOLD = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]"
+
+
 def nfkc(col: Column) -> Column:
-    """Compatibility folding; only text outside ASCII is sent to Python."""
-    return F.coalesce(_nfkc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+    """Compatibility folding; only text with characters that may change is sent to Python.
+
+    ASCII and the accented Latin letters (without ligatures and the long s) never change.
+    """
+    return F.coalesce(_nfkc(F.when(col.rlike(_MAY_FOLD), col)), col)
 
 
 def strip(col: Column) -> Column:

@@ -36,43 +36,45 @@ def layout_transcript(words: DataFrame) -> DataFrame:
 
 
 def page_lines(words: DataFrame) -> DataFrame:
-    """Line rows with their text and measures, and the upper median word height of the page."""
-    h = F.col("ymax") - F.col("ymin")
-    medians = words.filter(h > 0).groupBy(*PAGE).agg(F.sort_array(F.collect_list(h)).alias("hs")).select(
-        *PAGE, F.element_at("hs", F.floor(F.size("hs") / 2).cast("int") + 1).alias("median"))
-    blocks = words.groupBy(*PAGE, F.coalesce("block_id", F.lit("")).alias("block")).agg(F.count("*").alias("block_words"))
-    lines = (words.withColumn("line", line_key(by_tenth())).groupBy(*PAGE, "line").agg(
+    """Line rows with their text and measures, and the upper median word height of the page.
+
+    One pass: the median is taken over the page before words are grouped into lines.
+    """
+    page = "OVER (PARTITION BY book_id, page_number)"
+    words = words.withColumn("h", F.col("ymax") - F.col("ymin")).withColumn("line", line_key(by_tenth()))
+    # The discrete median from the top is the upper one.
+    words = words.withColumn("median", F.expr(
+        f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN h > 0 THEN h END DESC) {page}"))
+    lines = words.groupBy(*PAGE, "line").agg(
         F.array_sort(F.collect_list(F.struct("xmin", "word_idx", "str", "text_start", "text_end", "block_id"))).alias("w"),
-        F.min("word_idx").alias("first"), F.min("ymin").alias("y"), F.min(h).alias("height"), F.min("xmin").alias("xmin"),
-        F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.count("*").alias("n_words"), F.bool_or(F.coalesce(weak(), F.lit(False))).alias("weak"),
+        F.min("word_idx").alias("first"), F.min("ymin").alias("y"), F.min("h").alias("height"), F.min("xmin").alias("xmin"),
+        F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.count("*").alias("n_words"),
+        F.bool_or(F.coalesce(weak(), F.lit(False))).alias("weak"), F.max("median").alias("median"),
         F.bool_and(F.coalesce(F.col("role") == "heading", F.lit(False))).alias("banner"),
-        F.bool_and(F.col("source") == "ocr_text").alias("all_ocr")))
+        F.bool_and(F.col("source") == "ocr_text").alias("all_ocr"))
     lines = lines.select(
         *PAGE, "line", "first", F.array_join(F.transform("w", lambda x: x["str"]), " ").alias("text"), "y", "height",
         F.get("w", F.lit(0))["xmin"].alias("x"), "xmin", "xmax", "ymax", "n_words", "weak", "banner", "all_ocr",
         F.get("w", F.lit(0))["text_start"].alias("text_start"), F.element_at("w", -1)["text_end"].alias("text_end"),
-        F.coalesce(F.get("w", F.lit(0))["block_id"], F.lit("")).alias("block"))
-    return (lines.join(medians, PAGE, "left").join(blocks, [*PAGE, "block"], "left")
-            .withColumn("median", F.coalesce("median", F.lit(15.0))))
+        F.coalesce(F.get("w", F.lit(0))["block_id"], F.lit("")).alias("block"), F.coalesce("median", F.lit(15.0)).alias("median"))
+    return lines.withColumn("block_words", F.sum("n_words").over(W.partitionBy(*PAGE, "block")))
 
 
 def heading_findings(words: DataFrame) -> DataFrame:
     """Headings that begin with a small letter: banners, large lines, one of a pair of parallel
     labels, or a line alone in its block."""
     lines = page_lines(words)
+    # Capitalised titles of the page: a small-letter label beside one is half of a pair.
+    label = F.when(F.col("text").rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$"), F.struct("y", "x", "height"))
+    lines = lines.withColumn("labels", F.collect_list(label).over(W.partitionBy(*PAGE)))
     cand = lines.filter(F.col("text").rlike(r"^[a-z][a-z]+(?:\s+[A-Za-z]+){0,4}$") & ~F.col("weak"))
     title = F.col("text").rlike(r"^[a-z]+(?:\s+[A-Z][a-z]+){1,3}$")
-    o = lines.filter(F.col("text").rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$")).select(
-        F.col("book_id").alias("o_book"), F.col("page_number").alias("o_page"), F.col("y").alias("o_y"), F.col("x").alias("o_x"),
-        F.col("height").alias("o_h"))
-    pair = ((F.col("book_id") == F.col("o_book")) & (F.col("page_number") == F.col("o_page"))
-            & (F.abs(F.col("o_y") - F.col("y")) < 35) & (F.abs(F.col("o_x") - F.col("x")) > 180) & (F.col("o_h") > F.col("height") * 0.55))
-    paired = cand.filter(title).join(o, pair, "left_semi").select(*PAGE, "line", F.lit(True).alias("paired"))
-    cand = cand.join(paired, [*PAGE, "line"], "left")
+    paired = title & F.exists("labels", lambda o: (F.abs(o["y"] - F.col("y")) < 35) & (F.abs(o["x"] - F.col("x")) > 180)
+                              & (o["height"] > F.col("height") * 0.55))
     large = (F.col("height") > F.col("median") * 1.65) & (F.col("n_words") <= 4)
     isolated = (title & ~F.col("text").rlike(r"^(?:and|or|the|of|in|to|is|by|a|an|with|for|my|your)" + C.WE)
                 & (F.col("block_words") == F.col("n_words")))
-    hit = cand.filter(F.col("banner") | large | F.coalesce("paired", F.lit(False)) | isolated)
+    hit = cand.filter(F.col("banner") | large | paired | isolated)
     return hit.select(
         *PAGE, F.lit("lowercase_heading").alias("rule_id"), (F.lit(70000000) + F.col("first")).cast("bigint").alias("seq"),
         F.lit("heading").alias("type"), F.lit("minor").alias("severity"), F.col("text").alias("quote"),

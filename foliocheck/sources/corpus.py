@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foliocheck.sources import seeds
 
 PAGE_KEY = ["book_id", "page_number"]
-_ODD_SPACES = ("\t\r\x0b\x0c  " + "".join(chr(c) for c in range(0x2000, 0x200b))
-               + "    　﻿")
+_ODD_SPACE = r"[\t\r\x0B\x0C\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +23,7 @@ def _exprs(columns: list[tuple[str, str]]):
 
 def plain_spaces(col):
     """Odd space characters become one blank each, so offsets never move."""
-    return F.translate(col, _ODD_SPACES, " " * len(_ODD_SPACES))
+    return F.regexp_replace(col, _ODD_SPACE, " ")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -41,9 +40,8 @@ def pages(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cols = _exprs(seeds.page_columns("div"))
     if text:
-        docs = docs.withColumn("text", plain_spaces(F.col("text")))
         cols.append(F.expr(seeds.page_text("div")).alias("text"))
-        docs = spread(docs.select("doc_id", "n_chars", "text"), "doc_id")
+        docs = spread(docs.select("doc_id", "n_chars", "text"), "doc_id").withColumn("text", plain_spaces(F.col("text")))
     return docs.select(*cols)
 
 
@@ -129,17 +127,23 @@ def _exercise_words(page_rows: DataFrame) -> DataFrame:
                         "CAST(NULL AS STRING) AS line_id", "CAST(NULL AS STRING) AS role"))
 
 
+def text_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts partitioned by page key."""
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "text", f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number")
+    few = docs.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism
+    docs = spread(docs, *PAGE_KEY) if few else docs.repartition(*PAGE_KEY)
+    return (docs.withColumn("text", plain_spaces(F.col("text")))
+            .select("doc_id", *PAGE_KEY, F.expr(seeds.page_text("div")).alias("text")))
+
+
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word boxes, partitioned by page.
 
     The page text is shuffled once, before it is exploded into its much larger word rows;
     every window, group and join on the page key then reuses that partitioning.
     """
-    docs = table(spark, sf_dir, "documents").withColumn("text", plain_spaces(F.col("text")))
-    docs = docs.selectExpr("doc_id", f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number",
-                           f"{seeds.page_text('div')} AS text")
-    few = docs.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism
-    return words_of(spread(docs, *PAGE_KEY) if few else docs.repartition(*PAGE_KEY))
+    return words_of(text_by_page(spark, sf_dir))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,12 +244,7 @@ RUN_MATRIX = [("a", [10, 0, -10, 0]), ("b", [0, 10, 0, -10]), ("c", [0, -10, 0,
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text runs as a page renderer reports them: one per line, rotated by document."""
-    docs = table(spark, sf_dir, "documents").withColumn("text", plain_spaces(F.col("text")))
-    docs = docs.selectExpr("doc_id", f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number",
-                           f"{seeds.page_text('div')} AS text")
-    few = docs.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism
-    docs = spread(docs, *PAGE_KEY) if few else docs.repartition(*PAGE_KEY)
-    lines = docs.select("book_id", "page_number", "doc_id", F.posexplode(F.split("text", "\n")).alias("run_idx", "str"))
+    lines = text_by_page(spark, sf_dir).select("book_id", "page_number", "doc_id", F.posexplode(F.split("text", "\n")).alias("run_idx", "str"))
     mat = [f"CAST(CASE doc_id % 4 WHEN 0 THEN {v[0]} WHEN 1 THEN {v[1]} WHEN 2 THEN {v[2]} ELSE {v[3]} END AS DOUBLE) AS {n}"
            for n, v in RUN_MATRIX]
     return lines.selectExpr("book_id", "page_number", "run_idx", "str", *mat,

@@ -79,9 +79,17 @@ def covers(a, b):
 view("base_v", "SELECT * FROM ocr_words_v WHERE text_start % 2 = 0")
 view("extra_v", "SELECT * REPLACE (xmin + text_start % 4 * 4 AS xmin, xmax + text_start % 4 * 12 AS xmax) FROM ocr_words_v WHERE text_start % 3 = 0")
 view("extra1_v", f"SELECT * FROM extra_v e WHERE NOT EXISTS (SELECT 1 FROM base_v b WHERE {covers('e', 'b')})")
-# Kept words are those no earlier kept word covers; suppressions chain at most along one line.
-view("extra2_v", f"""SELECT e.*, list(o.word_idx ORDER BY o.word_idx) FILTER (WHERE o.word_idx IS NOT NULL) AS before FROM extra1_v e
-  LEFT JOIN extra1_v o ON {covers('e', 'o')} AND o.word_idx < e.word_idx GROUP BY ALL""")
+# Words with an earlier overlapping word, and the recursion that decides them in order.
+view("conf_v", f"""SELECT e.book_id, e.page_number, e.word_idx, row_number() OVER (PARTITION BY e.book_id, e.page_number ORDER BY e.word_idx) AS n, list(o.word_idx) AS before
+  FROM extra1_v e JOIN extra1_v o ON {covers('e', 'o')} AND o.word_idx < e.word_idx GROUP BY e.book_id, e.page_number, e.word_idx""")
+view("drops_v", """WITH RECURSIVE r AS (SELECT DISTINCT book_id, page_number, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS dropped FROM conf_v
+  UNION ALL SELECT c.book_id, c.page_number, c.n, CASE WHEN len(list_filter(c.before, lambda x: NOT list_contains(r.dropped, x))) > 0
+   THEN list_append(r.dropped, c.word_idx) ELSE r.dropped END FROM r JOIN conf_v c ON c.book_id = r.book_id AND c.page_number = r.page_number AND c.n = r.n + 1)
+  SELECT book_id, page_number, unnest(arg_max(dropped, n)) AS word_idx FROM r GROUP BY book_id, page_number""")
+view("merged_v", """SELECT e.*, b.base_len, sum(length(str) + 1) OVER (PARTITION BY e.book_id, e.page_number ORDER BY e.word_idx) AS run FROM extra1_v e
+  LEFT JOIN drops_v d ON d.book_id = e.book_id AND d.page_number = e.page_number AND d.word_idx = e.word_idx
+  LEFT JOIN (SELECT book_id, page_number, sum(length(str) + 1) AS base_len FROM base_v GROUP BY ALL) b ON b.book_id = e.book_id AND b.page_number = e.page_number
+  WHERE d.word_idx IS NULL""")
 
 ORACLES = {
     "a9_read_ocr_tsv": compose("""SELECT book_id, page_number, line_no, str, uncertain, CASE WHEN x1 > x0 AND y1 > y0 THEN round(CAST(x0 AS DOUBLE), 6) END AS xmin,
@@ -105,6 +113,8 @@ ORACLES = {
     "f8_page_lines": compose("SELECT book_id, page_number, text, round(y, 6) AS y, round(height, 6) AS height, round(x, 6) AS x, n_words, round(median, 6) AS median FROM plines_v"),
     "w4_text_offsets": compose("""SELECT book_id, page_number, word_idx, CAST(en - length(str) AS INT) AS text_start, CAST(en AS INT) AS text_end FROM
       (SELECT *, sum(length(str) + 1) OVER (PARTITION BY book_id, page_number ORDER BY word_idx) - 1 AS en FROM ocr_words_v)"""),
+    "j13_merge_ocr_passes": compose("""SELECT book_id, page_number, word_idx, str, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax,
+      CAST(coalesce(base_len, 1) + run - 1 - length(str) AS INT) AS text_start, CAST(coalesce(base_len, 1) + run - 1 AS INT) AS text_end, 'sparse:' || block_id AS block_id FROM merged_v"""),
     "j14_words_in_bands": compose("""SELECT w.book_id, w.page_number, word_idx, str, 'heading' AS role FROM ocr_words_v w JOIN pages_v p ON p.book_id = w.book_id AND p.page_number = w.page_number
       WHERE confidence >= .8 AND xmin >= 48 AND xmax <= 502 + p.doc_id % 300 AND ymin >= 38 + p.doc_id % 40 AND ymax <= 162 + p.doc_id % 40"""),
     "d7_lowercase_heading": compose("SELECT * FROM d7_v"),
