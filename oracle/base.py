@@ -24,7 +24,7 @@ def compose(body: str) -> str:
                 if name not in order:
                     order.append(name)
     need(body)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith(('_rw', '_p', '_m3', '_gr')) else ''}({VIEWS[n]})" for n in order)
     body = body.strip()
     if not ctes:
         return body

@@ -144,7 +144,7 @@ ORACLES = {
     "j7_locate_phrases": compose(f"SELECT fid, case_exact, literal_exact, {R6}, text_start, text_end, CAST(place AS INT) AS place FROM lq_p"),
     "j8_fuzzy_locate": compose(f"SELECT fid, exact, round(score, 6) AS score, {R6}, text_start, text_end, CAST(place AS INT) AS place FROM ty_p"),
     "j9_ground_findings": compose(f"SELECT {GO} FROM g9_out"),
-    "j10_ground_with_fallback": compose(f"""SELECT {GO} FROM (SELECT * FROM g10_out WHERE uid NOT IN (SELECT uid FROM retry10_v) UNION ALL SELECT * FROM h10_out)"""),
+    "j10_ground_with_fallback": compose(f"""SELECT {GO} FROM (SELECT g.* FROM g10_out g ANTI JOIN retry10_v r ON r.uid = g.uid UNION ALL SELECT * FROM h10_out)"""),
     "j11_locate_review_boxes": compose(f"""SELECT f.uid, round(CASE WHEN found THEN m.xmin WHEN keep THEN f.xmin END, 6) AS xmin, round(CASE WHEN found THEN m.ymin WHEN keep THEN f.ymin END, 6) AS ymin,
       round(CASE WHEN found THEN m.xmax WHEN keep THEN f.xmax END, 6) AS xmax, round(CASE WHEN found THEN m.ymax WHEN keep THEN f.ymax END, 6) AS ymax,
       CASE WHEN found THEN 'pdf_text' WHEN keep THEN f.box_source ELSE 'unverified' END AS box_source FROM (SELECT i.*, m.fid IS NOT NULL AS found,
