@@ -1,29 +1,22 @@
-"""Column functions over text. All of them stay inside the JVM except Unicode folding."""
+"""Column functions over text. All of them stay inside the JVM."""
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from foliocheck import constants as C
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-
 _MAY_FOLD = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]"
 
 
 def nfkc(col: Column) -> Column:
-    """Compatibility folding; only text with characters that may change is sent to Python.
+    """Compatibility folding (NFKC) by the Unicode library that ships with Spark.
 
-    ASCII and the accented Latin letters (without ligatures and the long s) never change.
+    ASCII and the accented Latin letters (without ligatures and the long s) never change, so
+    only other text is folded, and no row leaves the JVM.
     """
-    return F.coalesce(_nfkc(F.when(col.rlike(_MAY_FOLD), col)), col)
+    folded = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True))
+    return F.when(col.rlike(_MAY_FOLD), folded).otherwise(col)
 
 
 def strip(col: Column) -> Column:

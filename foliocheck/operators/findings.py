@@ -81,13 +81,15 @@ def is_textual() -> Column:
 
 def can_repeat(fold: bool = True) -> Column:
     """A local edit of one word inside a phrase, which applies to every exact copy of it."""
-    before = T.location_tokens(F.col("quote"), fold=fold)
-    after = T.location_tokens(F.col("suggestion"), fold=fold)
-    same = F.size(F.filter(F.zip_with(before, after, lambda a, b: a.isNotNull() & b.isNotNull() & (a == b)),
-                           lambda v: v))
-    return (F.col("type").isin(C.REPEATABLE_TYPES) & (F.size(before) >= 2) & (F.size(after) > 0)
-            & (F.col("quote") != F.col("suggestion")) & (F.size(before) == F.size(after))
-            & (same >= F.size(before) - 1) & (same / F.size(before) >= 0.5))
+    def local(t: Column) -> Column:
+        b, a = t["before"], t["after"]
+        same = F.size(F.filter(F.zip_with(b, a, lambda x, y: x.isNotNull() & y.isNotNull() & (x == y)), lambda v: v))
+        return (F.size(b) >= 2) & (F.size(a) > 0) & (F.size(b) == F.size(a)) & (same >= F.size(b) - 1) & (same / F.size(b) >= 0.5)
+    # Both token lists are bound once.
+    both = F.array(F.struct(T.location_tokens(F.col("quote"), fold=fold).alias("before"),
+                            T.location_tokens(F.col("suggestion"), fold=fold).alias("after")))
+    return (F.col("type").isin(C.REPEATABLE_TYPES) & (F.col("quote") != F.col("suggestion"))
+            & F.get(F.transform(both, local), F.lit(0)))
 
 
 def classify_error(errors: DataFrame, col: str = "error") -> DataFrame:

@@ -29,3 +29,14 @@ def local_session(cores: str = "8", app: str = "foliocheck", memory: str = "16g"
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(df):
+    """The rows of `df` behind a reliable checkpoint, so that several users share one computation.
+
+    The folder is the one the session names; a temporary one is used only where none is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint(eager=True)
