@@ -252,3 +252,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "5.0D * length(str) AS width", "10.0D AS height", "CAST(NULL AS DOUBLE) AS ascent",
                             "CAST(NULL AS DOUBLE) AS descent", "600.0D AS viewport_width", "800.0D AS viewport_height",
                             "array(1.0D, 0.0D, 0.0D, -1.0D, 0.0D, 800.0D) AS viewport")
+
+
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks of each book: units (or parts) with their chapters below, and an appendix."""
+    p = "(doc_id % 50 + 1)"
+    base = table(spark, sf_dir, "documents").selectExpr(f"{seeds.book_id('div')} AS book_id", f"{p} AS p").filter("p % 8 = 2 OR p = 50")
+    units = base.filter("p % 16 = 2").selectExpr(
+        "book_id", "CAST(p * 10 + 1 AS INT) AS node_id", "CAST(NULL AS INT) AS parent_id", "CAST(p AS INT) AS ord",
+        "CASE WHEN p % 32 = 2 THEN concat('Unit ', p div 16 + 1, ': Thinking') ELSE concat('Part ', p div 16 + 1) END AS title", "CAST(NULL AS INT) AS page")
+    chapters = base.filter("p % 8 = 2").selectExpr(
+        "book_id", "CAST(p * 10 + 2 AS INT) AS node_id", "CAST(((p - 2) div 16 * 16 + 2) * 10 + 1 AS INT) AS parent_id", "CAST(p AS INT) AS ord",
+        "concat('Chapter ', p div 8 + 1, ': Topic ', p div 8 + 1) AS title", "CAST(CASE WHEN p % 24 = 2 THEN 999 ELSE p END AS INT) AS page")
+    last = base.filter("p = 50").selectExpr("book_id", "501 AS node_id", "CAST(NULL AS INT) AS parent_id", "50 AS ord", "'Appendix' AS title", "50 AS page")
+    return units.unionByName(chapters).unionByName(last)
