@@ -76,7 +76,7 @@ def scan(pages: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
             .select(*keep, "rule_id", pick(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("hits"),
                     pick(lambda p: F.split("text", p, -1)).alias("parts")))
     gap = F.transform("parts", lambda p: F.length(p))
-    following = F.slice(F.transform("parts", lambda p: F.substring(p, 1, 1)), 2, 2147483647)
+    following = F.slice(F.transform("parts", lambda p: F.substring(p, 1, 1)), F.lit(2), F.size("parts"))
     rows = (rows.select(*keep, "rule_id", F.posexplode(
                 F.arrays_zip(F.col("hits").alias("hit"), gap.alias("gap"), following.alias("next_char"))).alias("i", "m"))
             .select(*keep, "rule_id", "i", "m.*").filter("hit IS NOT NULL")
