@@ -264,5 +264,5 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = base.filter("p % 8 = 2").selectExpr(
         "book_id", "CAST(p * 10 + 2 AS INT) AS node_id", "CAST(((p - 2) div 16 * 16 + 2) * 10 + 1 AS INT) AS parent_id", "CAST(p AS INT) AS ord",
         "concat('Chapter ', p div 8 + 1, ': Topic ', p div 8 + 1) AS title", "CAST(CASE WHEN p % 24 = 2 THEN 999 ELSE p END AS INT) AS page")
-    last = base.filter("p = 50").selectExpr("book_id", "501 AS node_id", "CAST(NULL AS INT) AS parent_id", "50 AS ord", "'Appendix' AS title", "50 AS page")
+    last = base.filter("p = 50").selectExpr("book_id", "900 AS node_id", "CAST(NULL AS INT) AS parent_id", "99 AS ord", "'Appendix' AS title", "50 AS page")
     return units.unionByName(chapters).unionByName(last)

@@ -69,7 +69,7 @@ view("chapters_full_v", bounds("cand_full_v"))
 view("outline_v", f"""WITH b AS (SELECT {seeds.book_id('//')} AS book_id, doc_id % 50 + 1 AS p FROM documents)
   SELECT book_id, p * 10 + 1 AS node_id, CAST(NULL AS BIGINT) AS parent_id, p AS ord, CASE WHEN p % 32 = 2 THEN concat('Unit ', p // 16 + 1, ': Thinking') ELSE concat('Part ', p // 16 + 1) END AS title, CAST(NULL AS BIGINT) AS page FROM b WHERE p % 16 = 2
   UNION ALL SELECT book_id, p * 10 + 2, ((p - 2) // 16 * 16 + 2) * 10 + 1, p, concat('Chapter ', p // 8 + 1, ': Topic ', p // 8 + 1), CASE WHEN p % 24 = 2 THEN 999 ELSE p END FROM b WHERE p % 8 = 2
-  UNION ALL SELECT book_id, 501, NULL, 50, 'Appendix', 50 FROM b WHERE p = 50""")
+  UNION ALL SELECT book_id, 900, NULL, 99, 'Appendix', 50 FROM b WHERE p = 50""")
 view("sib_v", "SELECT *, last_value(CASE WHEN regexp_matches(title, '(?i)^Unit\\b') THEN title END IGNORE NULLS) OVER (PARTITION BY book_id, parent_id ORDER BY ord, node_id) AS own FROM outline_v")
 view("tree_v", """WITH RECURSIVE t AS (SELECT book_id, node_id, title, page, coalesce(own, '') AS unit, lpad(CAST(ord AS VARCHAR), 9, '0') || '.' || lpad(CAST(node_id AS VARCHAR), 9, '0') AS path FROM sib_v WHERE parent_id IS NULL
   UNION ALL SELECT s.book_id, s.node_id, s.title, s.page, coalesce(s.own, t.unit), t.path || '/' || lpad(CAST(s.ord AS VARCHAR), 9, '0') || '.' || lpad(CAST(s.node_id AS VARCHAR), 9, '0') FROM sib_v s JOIN t ON t.book_id = s.book_id AND t.node_id = s.parent_id) SELECT * FROM t""")
