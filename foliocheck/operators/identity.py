@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from foliocheck import constants as C
 from foliocheck.functions import geometry as G, text as T
 from foliocheck.operators import findings as O
+from foliocheck.session import cut_lineage
 
 PAGE = ["book_id", "page_number"]
 BOX = ["xmin", "ymin", "xmax", "ymax"]
@@ -180,7 +181,7 @@ def _shared(keyed: DataFrame, kinds: Column | None = None) -> Column:
 def merge_findings(findings: DataFrame) -> DataFrame:
     """One finding per occurrence; singletons pass through natively."""
     k = with_keys(findings.select(MERGE_COLUMNS))
-    k = k.withColumn("shared", _shared(k)).select(*MERGE_COLUMNS, "shared")
+    k = cut_lineage(k.withColumn("shared", _shared(k)).select(*MERGE_COLUMNS, "shared"))     # two users
 
     def one_page(pdf: pd.DataFrame) -> pd.DataFrame:
         return _frame(merge_rows(_records(pdf)), MERGE_COLUMNS)
@@ -201,7 +202,7 @@ def reconcile(previous: DataFrame, detected: DataFrame, analyzed_at: dt.datetime
     new = detected.select(*MERGE_COLUMNS, *[F.lit(None).cast(t).alias(c) for c, t in history.items()])
     rows = previous.select(HISTORY_COLUMNS).withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
     k = with_keys(rows)
-    k = k.withColumn("shared", _shared(k)).select(*HISTORY_COLUMNS, "is_new", "shared")
+    k = cut_lineage(k.withColumn("shared", _shared(k)).select(*HISTORY_COLUMNS, "is_new", "shared"))     # two users
     now = F.lit(analyzed_at)
     alone = k.filter("NOT shared")
     seen = F.when(F.col("is_new"), True).otherwise(F.lit(False) if mark_unseen else F.coalesce("seen_in_latest", F.lit(True)))

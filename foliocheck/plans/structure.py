@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from foliocheck.functions import text as T
 from foliocheck.operators import contexts as X, structure as S
+from foliocheck.session import cut_lineage
 from foliocheck.sources import corpus, seeds
 
 PAGE = ["book_id", "page_number"]
@@ -61,7 +62,7 @@ def j4(spark, d):
 
 
 def r5(spark, d):
-    c = S.infer_chapters(corpus.books(spark, d), corpus.pages(spark, d), corpus.words(spark, d))
+    c = S.infer_chapters(corpus.books(spark, d), corpus.pages(spark, d), cut_lineage(corpus.words(spark, d)))
     return c.select("book_id", "start_page", "end_page", "number", "name", "unit", "confidence", "source", "chapter_key")
 
 
