@@ -1,6 +1,8 @@
 """Session settings the engine expects; a cluster's own settings always win."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,12 +33,32 @@ def local_session(cores: str = "8", app: str = "foliocheck", memory: str = "16g"
     return spark
 
 
-def cut_lineage(df):
-    """The rows of `df` behind a reliable checkpoint, so that several users share one computation.
-
-    The folder is the one the session names; a temporary one is used only where none is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one is set only where a session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df):
+    """The rows of `df` behind a reliable checkpoint, so that several users share one computation."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "foliocheck"), "zip", os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(packed)
