@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliocheck.llm import exact_dedup, line_dedup, mixing, quality_rules, secret_scan
+from foliocheck.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, secret_scan, toxicity
 from foliocheck.llm.common import read, whole
 
 
@@ -24,6 +24,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.written(F.col("secrets")).alias("spans"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.members(docs, exact_dedup.build_index(docs)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -34,6 +41,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(docs, read(spark, sf_dir, "labels"))).select(
+        "doc_id", F.coalesce(held_out_label("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def held_out_label(doc_id: str) -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """The toxicity model of a corpus: fitted on the labelled rows that are not held out."""
+    return toxicity.fit(docs, labels.filter(~held_out_label("doc_id")).select("doc_id", F.col("toxic").alias("label")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,8 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
