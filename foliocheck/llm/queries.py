@@ -3,12 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliocheck.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, secret_scan, toxicity
+from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, secret_scan, toxicity
 from foliocheck.llm.common import read, whole
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def _sha(text: Column) -> Column:
     return F.sha2(whole(text), 256)
@@ -31,6 +34,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_by_words(docs, bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.members(docs, exact_dedup.build_index(docs)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
