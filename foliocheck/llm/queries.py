@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, secret_scan, toxicity
+from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity
 from foliocheck.llm.common import read, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.written(F.col("secrets"), secret_scan.BASE), 256).alias("base_sha256"),
@@ -73,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_ngram_join": op2_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
