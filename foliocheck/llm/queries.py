@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity
+from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, toxicity
 from foliocheck.llm.common import read, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -50,6 +50,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.members(docs, exact_dedup.build_index(docs)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_entities = sum((F.col(f"entities.{k}") for k in pii.KINDS), F.lit(0)).cast("long")
+    return safe.select("doc_id", n_entities.alias("n_entities"), "text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pii": op7_pii,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
