@@ -129,4 +129,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores[at] = np.clip((side.max(axis=1) + 1) / 2, 0, 1)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.drop("lang_pred", "score").withColumn("_p", predict("text")).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    return docs.drop("lang_pred", "score").withColumn("__llm_p", predict("text")).select("*", "__llm_p.lang_pred", "__llm_p.score").drop("__llm_p")

@@ -40,13 +40,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines, frequent = shared_lines(docs, min_chars, min_docs)
     dropped = (lines.join(frequent, ["h1", "h2"])
                .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-               .groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_drop")))
+               .groupBy(F.col("doc_id").alias("__llm_doc"), F.col("text_hash").alias("__llm_hash")).agg(F.collect_set("pos").alias("__llm_drop")))
     text = whole("text")
     n_lines = F.size(F.split(text, "\n"))
     kept = let(F.split(text, "\n"), lambda rows: F.array_join(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("_drop")), lambda i: F.get(rows, i)), "\n"))
-    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_hash")), "left")
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("__llm_drop")), lambda i: F.get(rows, i)), "\n"))
+    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & (F.xxhash64(text) == F.col("__llm_hash")), "left")
     return joined.select(*[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
-                         F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("text"),
+                         F.when(F.col("__llm_drop").isNull(), text).otherwise(kept).alias("text"),
                          n_lines.cast("long").alias("n_lines"),
-                         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+                         F.coalesce(F.size("__llm_drop"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -245,5 +245,5 @@ def link_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id."""
-    keep = link_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = link_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_keep")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__llm_keep")), "left_semi")

@@ -199,12 +199,12 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             return "".join(out) + text[at:]
         return pd.Series([one(t, e) for t, e in zip(texts, edits)], dtype=object)
 
-    edits = (named.withColumn("spelled", spell("kind", "surface", "made")).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "spelled", "kind"))).alias("_edits")))
-    joined = docs.drop("entities").join(edits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(whole("text")) == F.col("_hash")), "left")
-    counts = F.struct(*[F.coalesce(F.size(F.filter("_edits", _is(k))), F.lit(0)).alias(k) for k in KINDS])
+    edits = (named.withColumn("spelled", spell("kind", "surface", "made")).groupBy(F.col("doc_id").alias("__llm_doc"), F.col("text_hash").alias("__llm_hash"))
+             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "spelled", "kind"))).alias("__llm_edits")))
+    joined = docs.drop("entities").join(edits, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & (F.xxhash64(whole("text")) == F.col("__llm_hash")), "left")
+    counts = F.struct(*[F.coalesce(F.size(F.filter("__llm_edits", _is(k))), F.lit(0)).alias(k) for k in KINDS])
     return joined.select(*[c for c in docs.columns if c not in ("text", "entities")],
-                         F.when(F.col("_edits").isNull(), F.col("text")).otherwise(rewrite("text", F.col("_edits"))).alias("text"), counts.alias("entities"))
+                         F.when(F.col("__llm_edits").isNull(), F.col("text")).otherwise(rewrite("text", F.col("__llm_edits"))).alias("text"), counts.alias("entities"))
 
 
 def _is(kind: str):

@@ -75,12 +75,12 @@ def ledger(docs: DataFrame) -> DataFrame:
         *[c for c in docs.columns if c not in measures],
         F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"))).alias("_w"),
-        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("_l"))
+        let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"))).alias("__llm_w"),
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("__llm_l"))
     measured = measured.select(
-        *[c for c in measured.columns if c[0] != "_" or c in docs.columns],
-        F.col("_w.n").cast("long").alias("n_words"), F.col("_w.r").cast("long").alias("n_repeat_words"),
-        F.col("_l.n").cast("long").alias("n_text_lines"), F.col("_l.d").cast("long").alias("n_dup_lines"))
+        *[c for c in measured.columns if not c.startswith("__llm_")],
+        F.col("__llm_w.n").cast("long").alias("n_words"), F.col("__llm_w.r").cast("long").alias("n_repeat_words"),
+        F.col("__llm_l.n").cast("long").alias("n_text_lines"), F.col("__llm_l.d").cast("long").alias("n_dup_lines"))
     bits = F.lit(0).cast("long")
     for bit, (_, failure) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(failure), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))

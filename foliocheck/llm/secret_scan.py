@@ -99,12 +99,12 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """`docs` with n_assign, n_access, n_hex and `secrets`: an array of (start, kind_order, kind, end) in text order."""
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    spans = (link(parts(docs), scope).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    spans = (link(parts(docs), scope).groupBy(F.col("doc_id").alias("__llm_doc"), F.col("text_hash").alias("__llm_hash"))
              .agg(F.sort_array(F.collect_list(F.struct("start", rank[F.col("kind")].alias("kind_order"), "kind", "end"))).alias("secrets")))
     added = ["secrets", *[f"n_{k}" for k in BASE]]
-    joined = docs.drop(*added).join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(whole("text")) == F.col("_hash")), "left")
+    joined = docs.drop(*added).join(spans, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & (F.xxhash64(whole("text")) == F.col("__llm_hash")), "left")
     none = F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,end:bigint>>")
-    joined = joined.withColumn("secrets", F.coalesce("secrets", none)).drop("_doc", "_hash")
+    joined = joined.withColumn("secrets", F.coalesce("secrets", none)).drop("__llm_doc", "__llm_hash")
     return joined.withColumns({f"n_{k}": _count(k) for k in BASE})
 
 
