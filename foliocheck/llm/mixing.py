@@ -4,7 +4,7 @@ Every document of every epoch gets a virtual finish time: the words its source h
 target. The copies are cut into ranges of finish time, ranges are summed, and the range that crosses the total budget is sorted and cut
 inside. A source so receives words in proportion to its target at every moment, and close to its target at the end.
 
-Running sums are taken per (source, chunk of the shuffled order) on top of the chunks' own totals, so that a source with a third of all
+Running sums are taken per (source, one of 4096 chunks of the shuffled order) on top of the chunks' own totals, so that a source with a third of all
 rows is summed by many tasks. Statistics move ids, sizes and hashes only; a text moves once, and only if the caller selects it.
 
 Defined cases: null text has size 0; documents of size 0 are never taken; a null source is a source of its own, last in order; equal rows
@@ -21,7 +21,6 @@ from foliocheck.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-CHUNKS = 1024          # chunks of one source's shuffled order
 TICKS = 1 << 16        # ranges per unit of virtual time
 SEED = 17
 
@@ -29,9 +28,11 @@ SEED = 17
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source key (null last), size and place in the shuffled order, next to the other columns of `docs`."""
     size = F.regexp_count(whole("text"), F.lit(WORD)).cast("long")
-    rows = (docs.drop("no_source", "src", "size", "chunk")
+    rows = (docs.drop("no_source", "src", "size", "turn", "chunk")
             .withColumns({"no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit("")), "size": size}))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(CHUNKS)).cast("int"))
+    # Three hexadecimal digits of the place are its chunk.
+    place = F.md5(F.concat_ws(":", F.lit(str(SEED)), "doc_id"))
+    return rows.withColumn("turn", place).withColumn("chunk", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -67,7 +68,7 @@ def _chunk_totals(base: DataFrame, weights: tuple[int, ...], max_epochs: int) ->
 
 def _sent(rows: DataFrame) -> DataFrame:
     """Adds `sent`, the words of the source up to and including this document in shuffled order."""
-    order = Window.partitionBy("no_source", "src", "chunk").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id", "size"), "doc_id", "size")
+    order = Window.partitionBy("no_source", "src", "chunk").orderBy("turn", "doc_id", "size")
     return rows.withColumn("sent", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     lean = cut_lineage(sized(docs.select("doc_id", "text", "source")).drop("text", "source"))
     totals = cut_lineage(_chunk_totals(lean, weights, max_epochs))
     cut = _cut(_sent(lean.join(totals, key)), totals.select("no_source", "src", "source_size").distinct().agg(F.sum("source_size").alias("budget")), max_epochs)
-    added = ["source_size", "target", "copies", "taken", "before", "sent", "cut"]
+    added = ["source_size", "target", "copies", "taken", "before", "sent", "turn", "cut"]
     rows = _sent(sized(docs.drop(*added)).join(totals, key)).withColumn("cut", cut.scalar())
     copies = F.lit(0)
     for epoch in range(max_epochs):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, toxicity
 from foliocheck.llm.common import read, whole
+from foliocheck.llm.oracles import ORACLES  # noqa: F401  registered beside the queries
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -92,5 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
