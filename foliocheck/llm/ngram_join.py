@@ -1,14 +1,17 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles overlap by 75 % or more, as connected components.
 
 1. Texts with equal shingle sets form one class, found by a 128-bit digest of the sorted set.
-2. Shingles get one global order, rare ones first: by the logarithm of their number in the whole corpus, kept in a table of 2 ** SLOT_BITS
-   counters (fixed size; counters that several shingles share only make the order coarser), then by hash.
-3. Two sets that link share a token among their first n - ceil(3n/4) + 1. Classes that share such a token are connected by a star, and the
-   components of those stars are the candidates: every link lies inside one of them.
+2. Two sets that link share at least l tokens among the n - ceil(3n/4) + l smallest hashes of each, for any l; here l is an eighth of the
+   smaller set. Only that part of each set is exchanged by token, where every token learns in how many sets it is; a token of one set alone
+   can link nothing and stays behind.
+3. The tokens of that part that are left get one global order, rare ones first. Of m of them, the first m - r + 1 are kept (r: the least l
+   of any partner), so that linked sets still share one. Sets that share a kept token are tied by a star, and the components of those stars
+   are the candidates: every link lies inside one of them.
 4. Each candidate component goes to one task, which joins its sets in a prefix tree (trie_join). A component too large for that is cut into
    blocks: blocks are joined alone, then the roots of what they found, then - only where several roots remain - every pair of blocks.
 
-No stage emits the pairs of a group. The star of a token found in very many sets is built from salted parts.
+No stage emits the pairs of a group. Tokens found in very many sets are known beforehand from a table of 2 ** SLOT_BITS counters (fixed
+size); they are spread by salt, where a count is needed take their counter's, and build their star from salted parts.
 
 Defined cases: null text is empty; a document without words has no shingles, links with nothing and is its own component; fewer than five
 words are one shingle; rows that repeat a text are one class; a null doc_id takes the component of its class but never names one; an empty
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliocheck.llm.common import ascii_lower, let, shared_dir, whole, words
@@ -30,9 +33,10 @@ from foliocheck.llm.trie_join import join_block
 from foliocheck.session import cut_lineage, ship_package
 
 SIZE = 5
-SLOT_BITS = 22
+SLOT_BITS = 20
 CHUNK = 4096           # counters per row of the counter table
-HOT_RANK = 24          # shingles counted 2 ** (HOT_RANK / 2) times or more build their star from SALTS parts
+HOT = 4096             # a counter of so many sets, and HOT_TIMES the mean of all counters, is hot
+HOT_TIMES = 16
 SALTS = 64
 BLOCK = 2_000_000      # shingles of a candidate component that one task holds
 
@@ -49,10 +53,16 @@ def shingles(text: Column) -> Column:
                .when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
 
 
-def _with_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, set (sorted distinct hashes), and the set's digest s1, s2."""
-    rows = docs.select("doc_id", F.sort_array(shingles(whole("text"))).alias("set"))
-    return rows.withColumn("s1", F.xxhash64("set")).withColumn("s2", F.xxhash64(F.lit(1), "set"))
+def _part_size(n: Column) -> Column:
+    """How many of the smallest hashes of a set of n are exchanged."""
+    return n - F.floor((3 * n + 3) / 4).cast("int") + F.floor((n + 7) / 8).cast("int")
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n, the set's digest s1, s2, and the part of the set that is exchanged. The set is computed once per row."""
+    row = let(F.sort_array(shingles(whole("text"))), lambda s: F.struct(
+        F.size(s).cast("long").alias("n"), F.xxhash64(s).alias("s1"), F.xxhash64(F.lit(1), s).alias("s2"), F.slice(s, 1, _part_size(F.size(s))).alias("part")))
+    return docs.select("doc_id", row.alias("row")).select("doc_id", "row.n", "row.s1", "row.s2", "row.part")
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -65,99 +75,96 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-_MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest rows of the documents, then the rows of this task's counters that are not zero."""
-    counters = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
+    """The counters of this task that are not zero."""
+    counters = np.zeros(1 << SLOT_BITS, dtype=np.int64)
     for batch in batches:
-        values, offsets = _lists(batch.column("set"))
-        counters += np.bincount(_slots(values), minlength=len(counters)).astype(np.uint32)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), batch.column("s1"), batch.column("s2"),
-                                          pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_MET)
-    small = np.minimum(counters, 255).astype(np.uint8).reshape(-1, CHUNK)
+        counters += np.bincount(_slots(_lists(batch.column("part"))[0]), minlength=len(counters))
+    small = np.minimum(counters, 65535).astype(np.uint16).reshape(-1, CHUNK)
     rows = np.flatnonzero(small.any(axis=1))
-    for start in range(0, len(rows), 256):
-        part = rows[start:start + 256]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part, pa.int32()), pa.array([small[r].tobytes() for r in part], pa.binary())], schema=_MET)
+    for start in range(0, len(rows), 64):
+        part = rows[start:start + 64]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([small[r].tobytes() for r in part], pa.binary())], names=["chunk", "counts"])
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks (twice the logarithm of the count) of the counter rows that this task owns, summed as they stream by."""
+    """Sums the counter rows that this task owns as they stream by."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            part = np.frombuffer(counts.as_buffer(), dtype=np.uint8)
-            total[chunk] = total[chunk] + part if chunk in total else part.astype(np.uint64)
-    ranks = [(c, np.floor(2 * np.log2(np.maximum(t, 1))).astype(np.uint8).tobytes()) for c, t in total.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in ranks], pa.int32()), pa.array([r for _, r in ranks], pa.binary())], names=["chunk", "ranks"])
+            part = np.frombuffer(counts.as_buffer(), dtype=np.uint16).astype(np.int64)
+            total[chunk] = total[chunk] + part if chunk in total else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def token_ranks(met: DataFrame) -> np.ndarray:
-    """One byte per counter: 2 ** SLOT_BITS of them reach the driver and the tasks, whatever the corpus."""
-    counts = met.filter(F.col("chunk").isNotNull()).select("chunk", "counts")
-    ranks = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    for row in counts.repartition("chunk").mapInArrow(_total, "chunk int, ranks binary").toLocalIterator():
-        ranks[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.ranks, dtype=np.uint8)
-    return ranks
+def hot_counters(digests: DataFrame) -> np.ndarray:
+    """The counters, zero where they are not hot: 2 ** SLOT_BITS numbers reach the driver and the tasks, whatever the corpus."""
+    counts = digests.select("part").mapInArrow(_count, "chunk int, counts binary")
+    total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    for row in counts.repartition("chunk").mapInArrow(_total, "chunk int, counts binary").toLocalIterator():
+        total[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, dtype=np.int64)
+    return np.where(total >= max(HOT, HOT_TIMES * total.mean()), total, 0)
 
 
-def _prefixes(sets: DataFrame, ranks) -> DataFrame:
-    """(token, salt, node): the prefix of every set. Sets that a task has met before are left out."""
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64())])
+def _tokens(digests: DataFrame, hot) -> DataFrame:
+    """(token, salt, node, n, heat) of the exchanged parts. Sets that a task has met before are left out."""
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("heat", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            values, offsets = _lists(batch.column("set"))
-            tokens, salts, nodes, held = [], [], [], 0
-            rank = ranks.value[_slots(values)]
-            for node, start, end in zip(batch.column("s1").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                if node in seen or start == end:
-                    continue
-                seen.add(node)
-                n = end - start
-                keep = n - (3 * n + 3) // 4 + 1
-                # The set is sorted by hash, so a stable sort by rank is the global order.
-                first = np.argsort(rank[start:end], kind="stable")[:keep]
-                tokens.append(values[start:end][first])
-                salts.append(np.where(rank[start:end][first] >= HOT_RANK, 1 + node % SALTS, 0))
-                nodes.append(np.full(keep, node))
-                held += keep
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip((tokens, salts, nodes), schema)], schema=schema)
-                    tokens, salts, nodes, held = [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip((tokens, salts, nodes), schema)], schema=schema)
-
-    return sets.select("s1", "set").mapInArrow(emit, "token long, salt int, node long")
-
-
-def _stars(prefixes: DataFrame) -> DataFrame:
+            values, offsets = _lists(batch.column("part"))
+            nodes = batch.column("s1").to_pylist()
+            fresh = np.array([not (x in seen or seen.add(x)) for x in nodes], dtype=bool)
+            size = np.diff(offsets)
+            chosen = np.repeat(fresh, size)
+            node = np.repeat(batch.column("s1").to_numpy(), size)[chosen]
+            token = values[chosen]
+            heat = hot.value[_slots(token)]
+            salt = np.where(heat > 0, 1 + node % SALTS, 0)
+            columns = (token, salt, node, np.repeat(batch.column("n").to_numpy(), size)[chosen], heat)
+            for start in range(0, len(token), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start:start + 500_000], f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return digests.select("s1", "n", "part").mapInArrow(emit, "token long, salt int, node long, n int, heat long")
+
+
+def _kept(tokens: DataFrame) -> DataFrame:
+    """(token, salt, node) of the tokens that candidates must share one of."""
+    together = Window.partitionBy("token", "salt")
+    counted = tokens.withColumns({"low": F.min("node").over(together), "high": F.max("node").over(together), "count": F.count("*").over(together)})
+    shared = counted.filter((F.col("heat") > 0) | (F.col("low") != F.col("high")))
+    shared = shared.select("token", "salt", "node", "n", F.when(F.col("heat") > 0, F.col("heat")).otherwise(F.col("count")).alias("df"))
+    alone = Window.partitionBy("node")
+    ranked = (shared.repartition("node").dropDuplicates(["node", "token"])
+              .withColumns({"m": F.count("*").over(alone), "k": F.row_number().over(alone.orderBy("df", "token"))}))
+    return ranked.filter(F.col("k") <= F.col("m") - F.floor((3 * F.col("n") + 31) / 32) + 1).select("token", "salt", "node")
+
+
+def _stars(kept: DataFrame) -> DataFrame:
     """Edges (a, b) from each node to the smallest one that shares a token (and salt) with it; salted stars are tied together."""
-    from pyspark.sql import Window
     by_token = Window.partitionBy("token", "salt").orderBy("node")
-    rows = prefixes.withColumn("least", F.first("node").over(by_token.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = kept.withColumn("least", F.first("node").over(by_token.rowsBetween(Window.unboundedPreceding, 0)))
     spokes = rows.filter(F.col("least") != F.col("node")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    hubs = rows.filter((F.col("salt") > 0) & (F.col("least") == F.col("node"))).select("token", "node").distinct()
+    hubs = kept.filter(F.col("salt") > 0).groupBy("token", "salt").agg(F.min("node").alias("node"))
     centre = hubs.groupBy("token").agg(F.min("node").alias("b"))
     ties = hubs.join(centre, "token").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     return spokes.unionByName(ties).distinct()
 
 
-def _joined(rows: DataFrame, ranks, key: list[str]) -> DataFrame:
-    """Edges (a, b) from every class to the root of its component within its (key) block. `rows` has key columns, cid, known, set."""
+def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (a, b) from every class to the root of its component within its (key) block. `rows` has key columns, cid, known, want, s1, set.
+
+    A row whose set is not the wanted one (an id given to several texts) is passed over.
+    """
     schema = pa.schema([("a", pa.string()), ("b", pa.string())])
 
     def block(cids: list[str], known: list[str | None], sets: list[np.ndarray]) -> pa.RecordBatch:
         values = np.concatenate(sets)
-        # Dense numbers in the reverse of the global order: frequent tokens first.
-        distinct, inverse = np.unique(values, return_inverse=True)
+        # Dense numbers in one order for the block, frequent tokens first.
+        distinct, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
         place = np.empty(len(distinct), dtype=np.int64)
-        place[np.argsort(-ranks.value[_slots(distinct)].astype(np.int64), kind="stable")] = np.arange(len(distinct))
+        place[np.argsort(-count, kind="stable")] = np.arange(len(distinct))
         dense = np.split(place[inverse], np.cumsum([len(s) for s in sets])[:-1])
         names = {}
         groups = None if known[0] is None else [names.setdefault(k, len(names)) for k in known]
@@ -169,7 +176,10 @@ def _joined(rows: DataFrame, ranks, key: list[str]) -> DataFrame:
         for batch in batches:
             values, offsets = _lists(batch.column("set"))
             heads = zip(*(batch.column(k).to_pylist() for k in key))
+            right = (batch.column("want").to_numpy() == batch.column("s1").to_numpy()).tolist()
             for i, (head, cid, group) in enumerate(zip(heads, batch.column("cid").to_pylist(), batch.column("known").to_pylist())):
+                if not right[i]:
+                    continue
                 if head != current:
                     if cids:
                         yield block(cids, known, sets)
@@ -180,23 +190,22 @@ def _joined(rows: DataFrame, ranks, key: list[str]) -> DataFrame:
         if cids:
             yield block(cids, known, sets)
 
-    placed = rows.select(*key, "cid", "known", "set").repartition(*key).sortWithinPartitions(*key, "cid")
+    placed = rows.select(*key, "cid", "known", "want", "s1", "set").repartition(*key).sortWithinPartitions(*key, "cid")
     return placed.mapInArrow(run, "a string, b string")
 
 
-def _linked(docs: DataFrame, members: DataFrame, ranks, block: int) -> DataFrame:
+def _linked(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """(cid, label) of the classes in candidate components. `members` has min_doc, cid, s1, comp, n."""
     load = members.groupBy("comp").agg(F.sum("n").alias("load")).withColumn("blocks", F.ceil(F.col("load") / block).cast("int"))
     members = cut_lineage(members.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
 
     def with_sets(wanted: DataFrame) -> DataFrame:
         texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("s1", "want"), F.col("doc_id") == F.col("min_doc"))
-        found = texts.withColumn("set", F.sort_array(shingles(whole("text")))).filter(F.xxhash64("set") == F.col("want"))
-        # A doc_id given to several equal texts would bring its set twice; the join in a block does not mind.
-        return found.drop("text", "doc_id")
+        row = let(F.sort_array(shingles(whole("text"))), lambda x: F.struct(F.xxhash64(x).alias("s1"), x.alias("set")))
+        return texts.withColumn("row", row).select(*[c for c in texts.columns if c not in ("text", "doc_id")], "row.s1", "row.set")
 
     fresh = members.withColumn("known", F.lit(None).cast("string"))
-    edges = cut_lineage(_joined(with_sets(fresh), ranks, ["comp", "block"]))
+    edges = cut_lineage(_joined(with_sets(fresh), ["comp", "block"]))
     roots = edges.select(F.col("a").alias("cid"), F.col("b").alias("label"))
     if members.filter("blocks > 1").isEmpty():
         return roots.distinct()
@@ -204,14 +213,14 @@ def _linked(docs: DataFrame, members: DataFrame, ranks, block: int) -> DataFrame
     cut = members.filter("blocks > 1")
     heads = cut.join(roots.filter(F.col("cid") == F.col("label")).select("cid").distinct(), "cid")
     heads = heads.withColumn("known", F.lit(None).cast("string")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("blocks")).cast("int"))
-    tied = edges.unionByName(_joined(with_sets(heads), ranks, ["comp", "block"]))
+    tied = edges.unionByName(_joined(with_sets(heads), ["comp", "block"]))
     labels = cut_lineage(_labels(tied))
     apart = cut.join(labels.withColumnRenamed("label", "known"), "cid")
     several = apart.groupBy("comp").agg(F.countDistinct("known").alias("n_labels")).filter("n_labels > 1").select("comp")
     apart = apart.join(several, "comp")
     pairs = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(F.col("other") != F.col("block"))
     pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return _labels(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")).unionByName(_joined(with_sets(pairs), ranks, ["comp", "low", "high"])))
+    return _labels(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")).unionByName(_joined(with_sets(pairs), ["comp", "low", "high"])))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -224,21 +233,19 @@ def link_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`, and class_key, equal for equal shingle sets."""
     spark = docs.sparkSession
     ship_package(spark)
-    sets = _with_sets(docs)
     path = f"{shared_dir(spark)}/ngram-join-{uuid.uuid4().hex}"
-    sets.mapInArrow(_count, "doc_id long, n long, s1 long, s2 long, chunk int, counts binary").write.parquet(path)
-    met = spark.read.schema("doc_id long, n long, s1 long, s2 long, chunk int, counts binary").parquet(path)
-    ranks = spark.sparkContext.broadcast(token_ranks(met))
-    digests = met.filter(F.col("chunk").isNull()).select("doc_id", "n", "s1", "s2").withColumn("cid", F.concat(F.hex("s1"), F.lit("-"), F.hex("s2")))
-    classes = digests.filter("n > 0").groupBy("cid", "s1", "n").agg(F.min("doc_id").alias("min_doc"))
-    candidates = components(_stars(_prefixes(sets, ranks))).select(F.col("node").alias("s1"), F.col("label").alias("comp"))
+    _digests(docs).write.parquet(path)
+    digests = spark.read.schema("doc_id long, n long, s1 long, s2 long, part array<long>").parquet(path)
+    hot = spark.sparkContext.broadcast(hot_counters(digests))
+    named = digests.select("doc_id", "n", "s1", "s2").withColumn("cid", F.concat(F.hex("s1"), F.lit("-"), F.hex("s2")))
+    classes = named.filter("n > 0").groupBy("cid", "s1", "n").agg(F.min("doc_id").alias("min_doc"))
+    candidates = components(_stars(_kept(_tokens(digests, hot)))).select(F.col("node").alias("s1"), F.col("label").alias("comp"))
     members = classes.join(candidates, "s1").filter(F.col("min_doc").isNotNull())
-    labels = cut_lineage(_linked(docs, members, ranks, block))
-    named = labels.join(classes.select("cid", "min_doc"), "cid")
-    smallest = named.groupBy("label").agg(F.min("min_doc").alias("component"))
+    labels = cut_lineage(_linked(docs, members, block))
+    smallest = labels.join(classes.select("cid", "min_doc"), "cid").groupBy("label").agg(F.min("min_doc").alias("component"))
     resolved = classes.select("cid", "min_doc").join(labels.join(smallest, "label").select("cid", "component"), "cid", "left")
     resolved = resolved.select("cid", F.coalesce("component", "min_doc").alias("component"))
-    found = digests.join(resolved, "cid", "left")
+    found = named.join(resolved, "cid", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
                         F.col("cid").alias("class_key"))
 

@@ -65,7 +65,8 @@ def test_ngram_join_equals_brute_force(spark, block):
 
 
 def test_hot_tokens_build_salted_stars(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT_RANK", 2)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
     texts = near_copies(6, 9)
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     got = {r.doc_id: r.component_id for r in ngram_join.link_documents(cases.frame(spark, rows)).collect()}
