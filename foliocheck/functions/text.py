@@ -122,11 +122,11 @@ def search_terms(col: Column) -> Column:
 
 
 def issue_refs(query: Column) -> Column:
-    """Distinct numbers of "issues 12, 13 and 14", at most thirty."""
+    """Distinct numbers of "issues 12, 13 and 14", at most thirty. A number beyond any issue number is none."""
     listed = F.regexp_extract(
         query, r"(?i)" + C.WB + r"issues?\s*(?:numbers?|nos?\.?|#)?\s*((?:\d+\s*(?:(?:,|and|&|-)\s*)?)+)", 1)
-    numbers = F.transform(F.regexp_extract_all(listed, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("bigint"))
-    return F.slice(F.array_distinct(numbers), 1, 30)
+    numbers = F.transform(F.regexp_extract_all(listed, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("bigint"))
+    return F.slice(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())), 1, 30)
 
 
 def ascii_fold(col: Column) -> Column:

@@ -8,16 +8,15 @@ through a small function per page, all others never leave the JVM.
 from __future__ import annotations
 
 import datetime as dt
-import re
-import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliocheck import constants as C
 from foliocheck.functions import geometry as G, text as T
 from foliocheck.operators import findings as O
-from foliocheck.session import cut_lineage
+from foliocheck.session import ship_package
 
 PAGE = ["book_id", "page_number"]
 BOX = ["xmin", "ymin", "xmax", "ymax"]
@@ -67,126 +66,170 @@ def duplicate_pairs(findings: DataFrame) -> DataFrame:
 
 # --- the same relation for one page in order ---------------------------------------------------
 
-def _clean(v) -> str:
-    text = unicodedata.normalize("NFKC", v or "").replace("−", "-")
-    return re.sub(r"\s+", " ", text).strip()
-
-
-def _change(f: dict):
-    q, s = _clean(f["quote"]), _clean(f["suggestion"])
-    if not q or not s or q == s:
-        return None
-    short = min(len(q), len(s))
-    start = next((i for i in range(short) if q[i] != s[i]), short)
-    end = next((i for i in range(short - start) if q[-1 - i] != s[-1 - i]), short - start)
-    return q[start:len(q) - end], s[start:len(s) - end], start
-
-
-def _offset(f: dict):
-    v = f["text_start"]
-    return None if v is None or v != v or v < 0 else int(v)
-
-
-def _measured(f: dict) -> bool:
-    return f["box_source"] in C.MEASURED_SOURCES
-
-
-def _box(f: dict):
-    b = [f[c] for c in BOX]
-    if not _measured(f) or any(v is None or v != v or abs(v) == float("inf") for v in b):
-        return None
-    w, h = b[2] - b[0], b[3] - b[1]
-    return b if w > 0 and h > 0 and w * h <= C.MAX_BOX_AREA else None
-
-
-def same_occurrence(a: dict, b: dict) -> bool:
-    if a["uid"] and a["uid"] == b["uid"]:
-        return True
-    pa, pb = _offset(a), _offset(b)
-    if a["type"] != b["type"]:
-        proven = all(o is not None and (_measured(f) or f["source"] == "linter") and f["type"] in C.TEXT_TYPES
-                     for f, o in ((a, pa), (b, pb)))
-        if not proven:
-            return False
-    ca, cb = _change(a), _change(b)
-    same_change = ca is not None and cb is not None and ca[:2] == cb[:2]
-    same_phrase = _clean(a["quote"]) == _clean(b["quote"]) and _clean(a["suggestion"]) == _clean(b["suggestion"])
-    if not _clean(a["quote"]) or not (same_change or same_phrase):
-        return False
-    if pa is not None and pb is not None:
-        if pa + (ca[2] if same_change else 0) == pb + (cb[2] if same_change else 0):
-            return True
-        if a["type"] != b["type"]:
-            return False
-    if not same_phrase:
-        return False
-    x, y = _box(a), _box(b)
-    if x is None or y is None:
-        return False
-    shared = max(0, min(x[2], y[2]) - max(x[0], y[0])) * max(0, min(x[3], y[3]) - max(x[1], y[1]))
-    return shared / min((x[2] - x[0]) * (x[3] - x[1]), (y[2] - y[0]) * (y[3] - y[1])) >= C.DUPLICATE_OVERLAP
-
-
-def merge_rows(rows: list[dict]) -> list[dict]:
-    """First finding of an occurrence stays; a later measured box replaces an estimated one."""
-    kept: list[dict] = []
-    for row in rows:
-        twin = next((k for k in kept if same_occurrence(k, row)), None)
-        if twin is None:
-            kept.append(dict(row))
-        elif _measured(row) and not _measured(twin):
-            twin.update({c: row[c] for c in [*BOX, "box_source", "text_start", "text_end"]})
-    return kept
-
-
-def reconcile_rows(old: list[dict], new: list[dict], now: dt.datetime, mark_unseen: bool = True) -> list[dict]:
-    """History of a page after an analysis: nothing is lost, decisions and identities stay."""
-    result = []
-    for o in old:
-        seen = False if mark_unseen else o.get("seen_in_latest") is not False
-        first = o.get("first_detected_at") or o.get("last_detected_at") or now
-        result.append({**o, "seen_in_latest": seen, "first_detected_at": first})
-    claimed: set[int] = set()
-    for row in merge_rows(new):
-        i = next((i for i, o in enumerate(old) if i not in claimed and same_occurrence(o, row)), None)
+#: What identity needs of the texts: the change (or the phrase, where nothing changes), the phrase, and where in the quote the change starts.
+KEY_COLUMNS = ["what", "phrase", "edit_at"]
+KEY_SCHEMA = ", what string, phrase string, edit_at int"
+_PLACED = [*BOX, "box_source", "text_start", "text_end"]
+
+
+def keyed(findings: DataFrame) -> DataFrame:
+    """Adds KEY_COLUMNS; a finding without a quote has none and equals another one only by uid."""
+    what = F.when(F.col("edit").isNotNull(), F.concat(F.lit("c"), "change")).otherwise(F.concat(F.lit("p"), "phrase"))
+    k = with_keys(findings).withColumn("what", F.when(F.col("cq") != "", what))
+    return k.withColumn("edit_at", F.coalesce("edit.start", F.lit(0)).cast("int")).select(*findings.columns, *KEY_COLUMNS)
+
+
+class Occurrences:
+    """Findings of one page, looked up by the keys that make two of them one occurrence.
+
+    Findings are numbers of rows in review order, so the earliest match is the smallest number. A finding that takes over a measured
+    place is entered again under it; entries it has outgrown are recognised by their place.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        measured = rows["box_source"].isin(C.MEASURED_SOURCES)
+        start = pd.to_numeric(rows["text_start"], errors="coerce").astype(float)
+        start = start.where(start >= 0)
+        corners = rows[BOX].astype(float)
+        width, height = corners["xmax"] - corners["xmin"], corners["ymax"] - corners["ymin"]
+        fits = measured & np.isfinite(corners).all(axis=1) & (width > 0) & (height > 0) & (width * height <= C.MAX_BOX_AREA)
+        self.measured, self.fits = measured.tolist(), fits.tolist()
+        self.place = [(w, s + e) if isinstance(w, str) and s == s else None for w, s, e in zip(rows["what"], start, rows["edit_at"])]
+        self.label = [(t, p) if isinstance(w, str) and ok else None for t, p, w, ok in zip(rows["type"], rows["phrase"], rows["what"], fits)]
+        self.corners = corners.to_numpy()
+        self.proven = (start.notna() & (measured | (rows["source"] == "linter")) & rows["type"].isin(C.TEXT_TYPES)).tolist()
+        self.kind, self.uid, self.what, self.phrase, self.edit_at = (rows[c].tolist() for c in ("type", "uid", "what", "phrase", "edit_at"))
+        self.start, self.linter = start.tolist(), (rows["source"] == "linter").tolist()
+        self.entries: dict[tuple, list[int]] = {}
+
+    def enter(self, i: int) -> None:
+        for key in (("uid", self.uid[i]), ("place", self.place[i]), ("label", self.label[i])):
+            if key[1]:
+                self.entries.setdefault(key, []).append(i)
+
+    def earliest(self, j: int, taken: set[int] | frozenset = frozenset()) -> int | None:
+        """The first entered finding, none of `taken`, that is the same occurrence as j."""
+        matches = list(self.entries.get(("uid", self.uid[j]), ())) if self.uid[j] else []
+        if self.place[j]:
+            matches += [i for i in self.entries.get(("place", self.place[j]), ())
+                        if self.place[i] == self.place[j] and (self.kind[i] == self.kind[j] or self.proven[i] and self.proven[j])]
+        if self.label[j]:
+            matches += [i for i in self.entries.get(("label", self.label[j]), ()) if self._covered(i, j) >= C.DUPLICATE_OVERLAP]
+        return min((i for i in matches if i not in taken), default=None)
+
+    def _covered(self, i: int, j: int) -> float:
+        low, high = np.maximum(self.corners[i][:2], self.corners[j][:2]), np.minimum(self.corners[i][2:], self.corners[j][2:])
+        area = [float(np.prod(self.corners[k][2:] - self.corners[k][:2])) for k in (i, j)]
+        return float(np.prod(np.maximum(high - low, 0))) / min(area)
+
+    def take_place(self, i: int, j: int) -> None:
+        """i stays, at the measured place of j."""
+        self.measured[i], self.corners[i] = True, self.corners[j]
+        self.start[i] = self.start[j]
+        known = self.start[i] == self.start[i]
+        self.place[i] = (self.what[i], self.start[i] + self.edit_at[i]) if known and isinstance(self.what[i], str) else None
+        self.label[i] = (self.kind[i], self.phrase[i]) if self.fits[j] and isinstance(self.what[i], str) else None
+        self.fits[i], self.proven[i] = self.fits[j], known and self.kind[i] in C.TEXT_TYPES
+        self.enter(i)
+
+
+def merged(rows: pd.DataFrame, first: int = 0, seen: Occurrences | None = None) -> tuple[list[int], dict[int, int], Occurrences]:
+    """(rows that stay, row whose place each of some takes, the lookup) for the rows from number `first` on, in review order."""
+    seen = seen or Occurrences(rows)
+    stay, place_of = [], {}
+    for j in range(first, len(rows)):
+        i = seen.earliest(j)
         if i is None:
-            result.append({**row, "status": row.get("status") or "open", "seen_in_latest": True,
-                           "first_detected_at": now, "last_detected_at": now})
-            continue
-        claimed.add(i)
-        result[i] = {**old[i], **row, "uid": old[i]["uid"], "seq": old[i]["seq"], "status": old[i].get("status") or "open",
-                     "seen_in_latest": True, "first_detected_at": result[i]["first_detected_at"], "last_detected_at": now}
-    return result
+            stay.append(j)
+            seen.enter(j)
+        elif seen.measured[j] and not seen.measured[i]:
+            seen.take_place(i, j)
+            place_of[i] = j
+    return stay, place_of, seen
 
 
-def _records(pdf: pd.DataFrame) -> list[dict]:
-    pdf = pdf.sort_values(["seq", "uid"], kind="stable")
-    return [{k: (None if v is None or v is pd.NaT or v != v else v) for k, v in r.items()} for r in pdf.to_dict("records")]
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["seq", "uid"], kind="stable").reset_index(drop=True)
 
 
-def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame({c: [r.get(c) for r in rows] for c in columns}, columns=columns)
-    for c in ("text_start", "text_end"):
-        out[c] = out[c].astype("Int32")
+def _moved(rows: pd.DataFrame, chosen: list[int], place_of: dict[int, int]) -> pd.DataFrame:
+    """The chosen rows, each at its final place."""
+    out = rows.iloc[chosen].reset_index(drop=True)
+    out[_PLACED] = rows[_PLACED].iloc[[place_of.get(i, i) for i in chosen]].reset_index(drop=True)
+    return out
+
+
+def merge_page(rows: pd.DataFrame) -> pd.DataFrame:
+    """First finding of an occurrence stays; a later measured box replaces an estimated one."""
+    rows = _ordered(rows)
+    stay, place_of, _ = merged(rows)
+    return _moved(rows, stay, place_of)
+
+
+def update_history(old: pd.DataFrame, new: pd.DataFrame, now: dt.datetime, mark_unseen: bool = True) -> pd.DataFrame:
+    """History of a page after an analysis: nothing is lost, decisions and identities stay.
+
+    Both frames have the history and key columns; so has the result, old findings first.
+    """
+    columns = [*HISTORY_COLUMNS, *KEY_COLUMNS]
+    old, new = _ordered(old[columns]), _ordered(new[columns])
+    rows = pd.concat([f.astype(object) for f in (old, new)], ignore_index=True)
+    stay, place_of, lookup = merged(rows, len(old))
+    lookup.entries = {}
+    for i in range(len(old)):
+        lookup.enter(i)
+    again: dict[int, int] = {}
+    for j in stay:
+        i = lookup.earliest(j, again.keys())
+        if i is not None:
+            again[i] = j
+    fresh = [j for j in stay if j not in set(again.values())]
+    chosen = [again.get(i, i) for i in range(len(old))] + fresh
+    out = _moved(rows, chosen, place_of)
+    kept = rows.iloc[[*range(len(old)), *fresh]].reset_index(drop=True)
+    out["uid"], out["seq"] = kept["uid"], kept["seq"]
+    found = pd.Series([i in again for i in range(len(old))] + [True] * len(fresh), dtype=bool)
+    is_new = pd.Series([False] * len(old) + [True] * len(fresh), dtype=bool)
+    blank = kept["status"].isna() | (kept["status"] == "")
+    out["status"] = kept["status"].mask(blank & found, "open")
+    earlier = kept["seen_in_latest"].map(lambda v: v is not False and v != False)  # noqa: E712  unknown counts as seen
+    out["seen_in_latest"] = found | (earlier & (not mark_unseen))
+    first = kept["first_detected_at"].where(kept["first_detected_at"].notna(), kept["last_detected_at"])
+    out["first_detected_at"] = first.where(first.notna() & ~is_new, now)
+    out["last_detected_at"] = kept["last_detected_at"].mask(found, now)
+    return out[columns]
+
+
+def typed(rows: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """The columns in types that the result schema takes; missing numbers stay missing."""
+    out = rows[columns].reset_index(drop=True)
+    for c in ("text_start", "text_end", "edit_at"):
+        if c in columns:
+            out[c] = pd.to_numeric(out[c], errors="coerce").astype("Int32")
+    for c in (*BOX, "confidence"):
+        out[c] = out[c].astype(float)
+    for c in ("first_detected_at", "last_detected_at"):
+        if c in columns:
+            out[c] = pd.to_datetime(out[c])
     return out
 
 
-def _shared(keyed: DataFrame, kinds: Column | None = None) -> Column:
-    """Whether another finding of the page shares the change or the phrase (or the uid)."""
+def _shared() -> Column:
+    """Whether another finding of the page shares the change, the phrase or the uid."""
     def many(*key) -> Column:
         return F.count("*").over(W.partitionBy(*PAGE, *key)) > 1
-    return many("change") & (F.col("change") != "") | many("phrase") | many("uid")
+    return F.col("what").isNotNull() & (many("what") | many("phrase")) | many("uid")
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:
     """One finding per occurrence; singletons pass through natively."""
-    k = with_keys(findings.select(MERGE_COLUMNS))
-    k = cut_lineage(k.withColumn("shared", _shared(k)).select(*MERGE_COLUMNS, "shared"))     # two users
+    ship_package(findings.sparkSession)
+    k = keyed(findings.select(MERGE_COLUMNS)).withColumn("shared", _shared())
 
     def one_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(merge_rows(_records(pdf)), MERGE_COLUMNS)
-    merged = k.filter("shared").select(MERGE_COLUMNS).groupBy(*PAGE).applyInPandas(one_page, MERGE_SCHEMA)
-    return k.filter("NOT shared").select(MERGE_COLUMNS).unionByName(merged)
+        return typed(merge_page(pdf), MERGE_COLUMNS)
+    twins = k.filter("shared").select(*MERGE_COLUMNS, *KEY_COLUMNS).groupBy(*PAGE).applyInPandas(one_page, MERGE_SCHEMA)
+    return k.filter("NOT shared").select(MERGE_COLUMNS).unionByName(twins)
 
 
 HISTORY_COLUMNS = [*MERGE_COLUMNS, "seen_in_latest", "first_detected_at", "last_detected_at"]
@@ -198,11 +241,11 @@ def reconcile(previous: DataFrame, detected: DataFrame, analyzed_at: dt.datetime
     `previous` has the history columns, `detected` the merge columns. Only findings that share a
     key with another one of their page are decided in order.
     """
+    ship_package(previous.sparkSession)
     history = {"seen_in_latest": "boolean", "first_detected_at": "timestamp", "last_detected_at": "timestamp"}
     new = detected.select(*MERGE_COLUMNS, *[F.lit(None).cast(t).alias(c) for c, t in history.items()])
     rows = previous.select(HISTORY_COLUMNS).withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
-    k = with_keys(rows)
-    k = cut_lineage(k.withColumn("shared", _shared(k)).select(*HISTORY_COLUMNS, "is_new", "shared"))     # two users
+    k = keyed(rows).withColumn("shared", _shared())
     now = F.lit(analyzed_at)
     alone = k.filter("NOT shared")
     seen = F.when(F.col("is_new"), True).otherwise(F.lit(False) if mark_unseen else F.coalesce("seen_in_latest", F.lit(True)))
@@ -213,7 +256,6 @@ def reconcile(previous: DataFrame, detected: DataFrame, analyzed_at: dt.datetime
         "status": F.when(F.col("is_new"), F.coalesce("status", F.lit("open"))).otherwise(F.col("status"))}).select(HISTORY_COLUMNS)
 
     def one_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, fresh = pdf[~pdf["is_new"]], pdf[pdf["is_new"]]
-        return _frame(reconcile_rows(_records(old), _records(fresh), analyzed_at, mark_unseen), HISTORY_COLUMNS)
+        return typed(update_history(pdf[~pdf["is_new"]], pdf[pdf["is_new"]], analyzed_at, mark_unseen), HISTORY_COLUMNS)
     ordered = k.filter("shared").groupBy(*PAGE).applyInPandas(one_page, HISTORY_SCHEMA)
     return alone.unionByName(ordered)

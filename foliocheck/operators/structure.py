@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliocheck import constants as C
-from foliocheck.functions import text as T
+from foliocheck.session import ship_package
+from foliocheck.functions import digits as N, text as T
 from foliocheck.operators import layout_rules as LR
 
 PAGE = ["book_id", "page_number"]
@@ -21,9 +22,9 @@ def body_headings(pages: DataFrame) -> DataFrame:
     p = pages.select(*PAGE, top.alias("top"), contents.alias("contents")).filter("NOT contents")
     p = p.withColumn("hit", hit).filter("hit <> ''").filter(F.instr("top", F.col("hit")) - 1 <= 180)
     name = F.regexp_replace(T.squash(F.regexp_extract("hit", C.P_BODY_HEADING, 2)), r"\s{2,}.*", "")
-    return p.select("book_id", F.regexp_extract("hit", C.P_BODY_HEADING, 1).cast("bigint").alias("number"),
+    return p.select("book_id", N.number(F.regexp_extract("hit", C.P_BODY_HEADING, 1)).alias("number"),
                     F.substring(name, 1, 90).alias("name"), F.col("page_number").alias("page"), F.lit("").alias("unit"),
-                    F.lit(0.92).alias("confidence"), F.lit("body_heading").alias("source"), F.lit("pdf").alias("page_numbering"))
+                    F.lit(0.92).alias("confidence"), F.lit("body_heading").alias("source"), F.lit("pdf").alias("page_numbering")).filter("number IS NOT NULL")
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def heading_lines(pages: DataFrame) -> DataFrame:
     lines = lines.withColumn("line", F.regexp_replace("line", r"^[|¦\s]+", "")).filter(F.col("line").rlike(C.P_LINE_HEADING))
     part = lambda i: F.regexp_extract("line", C.P_LINE_HEADING, i)
     name = T.strip(part(3))
-    unit = F.when(F.lower(part(1)) == "unit", F.concat(F.lit("Unit "), part(2).cast("bigint").cast("string"), F.lit(": "), name)).otherwise("")
-    return lines.select(*PAGE, "line_no", "contents", part(2).cast("bigint").alias("number"), name.alias("name"), unit.alias("unit"))
+    unit = F.when(F.lower(part(1)) == "unit", F.concat(F.lit("Unit "), N.plain(part(2)), F.lit(": "), name)).otherwise("")
+    return lines.select(*PAGE, "line_no", "contents", N.number(part(2)).alias("number"), name.alias("name"), unit.alias("unit")).filter("number IS NOT NULL")
 
 
 def observed_headings(pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
@@ -61,7 +62,8 @@ def printed_toc(pages: DataFrame) -> DataFrame:
     lines = pages.filter(T.is_contents_page(F.col("text"))).select(*PAGE, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     part = lambda i: F.regexp_extract("line", C.P_TOC_LINE, i)
     t = lines.filter(F.col("line").rlike(C.P_TOC_LINE)).select(
-        "book_id", "page_number", "line_no", part(1).cast("bigint").alias("number"), T.strip(part(2)).alias("title"), part(3).cast("int").alias("printed_page"))
+        "book_id", "page_number", "line_no", N.number(part(1)).alias("number"), T.strip(part(2)).alias("title"), N.number(part(3), "int").alias("printed_page"))
+    t = t.filter("number IS NOT NULL AND printed_page IS NOT NULL")
     rn = F.row_number().over(W.partitionBy("book_id", "title", "printed_page").orderBy("page_number", "line_no"))
     return t.withColumn("rn", rn).filter("rn = 1").drop("rn")
 
@@ -78,8 +80,8 @@ def printed_toc_inline(pages: DataFrame, front: int = 15) -> DataFrame:
     # The look-ahead needs what follows, so the parts are cut from the match without it.
     cut = P_TOC_INLINE[:P_TOC_INLINE.index("(?=")] + r"\s*$"
     part = lambda i: F.regexp_extract("hit", cut, i)
-    t = hits.select(*PAGE, "n", part(1).cast("bigint").alias("number"), T.strip(part(2)).alias("title"), part(3).cast("int").alias("printed_page"))
-    return t.filter((F.length("title") > 2) & (F.col("printed_page") > 0))
+    t = hits.select(*PAGE, "n", N.number(part(1)).alias("number"), T.strip(part(2)).alias("title"), N.number(part(3), "int").alias("printed_page"))
+    return t.filter(F.col("number").isNotNull() & (F.length("title") > 2) & (F.col("printed_page") > 0))
 
 
 def pair_toc_columns(words: DataFrame, contents: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def pair_toc_columns(words: DataFrame, contents: DataFrame) -> DataFrame:
     near = rows.select(*PAGE, "label", "l_mid").join(nums, PAGE).filter("abs(n_mid - l_mid) < 10")
     near = near.groupBy(*PAGE, "label").agg(F.min_by("n_str", "n_idx").alias("n_str"))
     out = rows.join(near, [*PAGE, "label"], "left")
-    out = out.select(*PAGE, "label", F.coalesce(F.regexp_replace("n_str", r"\D", "").cast("bigint"), F.lit(0)).alias("number"), "title", "printed_page")
+    out = out.select(*PAGE, "label", F.coalesce(N.number(F.regexp_replace("n_str", r"\D", "")), F.lit(0)).alias("number"), "title", "printed_page")
     rn = F.row_number().over(W.partitionBy("book_id", F.lower("title"), "printed_page").orderBy("page_number", "label"))
     return out.withColumn("rn", rn).filter("rn = 1").drop("rn")
 
@@ -240,6 +242,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 def flatten_outline(outline: DataFrame, books: DataFrame) -> DataFrame:
     """Bookmarks in reading order with their unit; `number` and `name` are set for chapters whose
     page exists. A book's outline is a small tree, so each book is walked on its own."""
+    ship_package(outline.sparkSession)
     flat = outline.groupBy("book_id").applyInPandas(_walk, "book_id string, place int, node_id int, title string, page int, unit string")
     j = flat.join(books.select("book_id", "page_count"), "book_id")
     page = F.when(F.col("page").between(1, F.col("page_count")), F.col("page"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliocheck.operators import findings as O, identity as I, review as R
+from foliocheck.session import ship_package
 
 PAGE = ["book_id", "page_number"]
 REPORT_SCHEMA = I.MERGE_SCHEMA + ", analyzed_at timestamp"
@@ -34,18 +35,17 @@ class _PageHistory(StatefulProcessor):
     """Keeps the findings of one page across analyses; emits the whole page after each of them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.findings = handle.getMapState("findings", "uid string", I.HISTORY_SCHEMA)
+        self.findings = handle.getMapState("findings", "uid string", I.HISTORY_SCHEMA + I.KEY_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues):
         fresh = pd.concat(list(rows), ignore_index=True)
-        old = [dict(zip(I.HISTORY_COLUMNS, value)) for _, value in self.findings.iterator()]
-        old.sort(key=lambda r: (r["seq"], r["uid"]))
+        columns = [*I.HISTORY_COLUMNS, *I.KEY_COLUMNS]
+        page = pd.DataFrame([value for _, value in self.findings.iterator()], columns=columns)
         for moment, run in fresh.groupby("analyzed_at", sort=True):
-            now = pd.Timestamp(moment).to_pydatetime()
-            old = I.reconcile_rows(old, I._records(run[I.MERGE_COLUMNS]), now)
-        for row in old:
-            self.findings.updateValue((row["uid"],), tuple(_plain(row.get(c), c) for c in I.HISTORY_COLUMNS))
-        yield I._frame(old, I.HISTORY_COLUMNS)
+            page = I.update_history(page, run.reindex(columns=columns), pd.Timestamp(moment).to_pydatetime())
+        for row in page.to_dict("records"):
+            self.findings.updateValue((row["uid"],), tuple(_plain(row[c], c) for c in columns))
+        yield I.typed(page, I.HISTORY_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -54,7 +54,7 @@ class _PageHistory(StatefulProcessor):
 def _plain(value, column: str):
     if value is None or value is pd.NaT or value != value:
         return None
-    if column in ("page_number", "seq", "text_start", "text_end"):
+    if column in ("page_number", "seq", "text_start", "text_end", "edit_at"):
         return int(value)
     if column in ("first_detected_at", "last_detected_at"):
         return pd.Timestamp(value).to_pydatetime()
@@ -67,7 +67,8 @@ def reconcile_stream(reports: DataFrame) -> DataFrame:
     State is one page's findings under its own key, so it is spread over the cluster and grows
     only with the findings of pages.
     """
-    return reports.groupBy(*PAGE).transformWithStateInPandas(
+    ship_package(reports.sparkSession)
+    return I.keyed(reports).groupBy(*PAGE).transformWithStateInPandas(
         statefulProcessor=_PageHistory(), outputStructType=I.HISTORY_SCHEMA, outputMode="Update", timeMode="None")
 
 
@@ -127,6 +128,7 @@ class _Heartbeats(StatefulProcessor):
 def stale_stream(heartbeats: DataFrame, cutoff: dt.timedelta = dt.timedelta(minutes=15)) -> DataFrame:
     """Running pages whose heartbeat stops, by event time (watermark 30 minutes)."""
     h = heartbeats.withWatermark("heartbeat_at", "30 minutes")
+    ship_package(h.sparkSession)
     return h.groupBy(*PAGE).transformWithStateInPandas(
         statefulProcessor=_Heartbeats(int(cutoff.total_seconds() * 1000)), outputStructType="book_id string, page_number int, new_status string",
         outputMode="Append", timeMode="EventTime")

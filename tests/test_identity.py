@@ -46,13 +46,21 @@ def test_merge_pairs(spark):
     assert pairs == {f"base{i}" for i, (_, n) in enumerate(PAIRS) if n == 1}
 
 
-def test_sign_change_keeps_first():
+def test_sign_change_keeps_first(spark):
     a = f(uid="n", type="number", quote="+1", suggestion="−1", status="accepted")
     b = f(uid="m", type="inconsistency", quote="+1", suggestion="-1")
-    out = I.merge_rows([a, b])
+    out = I.merge_findings(spark.createDataFrame(rows(a, b), FINDING)).collect()
     assert len(out) == 1 and out[0]["uid"] == "n" and out[0]["status"] == "accepted"
 
 
+def test_later_measured_place_is_taken_over(spark):
+    guess = f(uid="g", box_source="unverified", xmin=0.0, ymin=0.0, xmax=1000.0, ymax=1000.0)
+    fixed = f(uid="m", xmin=10.0)
+    moved = f(uid="o", text_start=400, box_source="unverified")
+    out = {r.uid: r for r in I.merge_findings(spark.createDataFrame(rows(guess, fixed, moved), FINDING)).collect()}
+    assert set(out) == {"g", "o"} and out["g"].xmin == 10.0 and out["g"].box_source == "pdf_text" and out["g"].text_start == 15
+
+
 def runs():
     first = [f(uid="a", status="accepted"), f(uid="d", text_start=70, quote="Second :", suggestion="Second: ", status="dismissed", ymin=600.0, ymax=620.0)]
     second = [f(uid="new"), f(uid="h", quote="Heading :", suggestion="Heading: ", text_start=90, ymin=800.0, ymax=820.0)]
