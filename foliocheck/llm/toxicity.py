@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliocheck.llm.ngrams import Distinct, codes, hashed
-from foliocheck.session import ship_package
+from foliocheck.session import cut_lineage, ship_package
 
 ORDERS = (4, 5, 6)
 BITS = 18
@@ -30,6 +30,7 @@ MIN_RATIO = 1.5        # so is one whose log ratio is smaller
 ALPHA = 1.0
 PENALTY = 1e-3
 STEPS = 200
+TASKS = 16             # tasks that read the sampled texts
 
 
 def features(text: str | None, distinct: Distinct) -> np.ndarray:
@@ -37,34 +38,51 @@ def features(text: str | None, distinct: Distinct) -> np.ndarray:
     return distinct(np.concatenate([hashed(points, n, BITS) for n in ORDERS]))
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    distinct = Distinct(BITS)
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per label of this task: documents, and how many of them have each n-gram."""
+    distinct, docs, counts = Distinct(BITS), [0, 0], np.zeros((2, 1 << BITS), dtype=np.int32)
     for batch in batches:
-        yield pd.DataFrame({"label": batch["label"], "slots": [features(t, distinct).astype(np.int32).tobytes() for t in batch["text"]]})
+        for label, text in zip(batch["label"], batch["text"]):
+            docs[label > 0] += 1
+            counts[int(label > 0), features(text, distinct)] += 1
+    yield pd.DataFrame({"label": [0, 1], "docs": docs, "counts": [c.tobytes() for c in counts]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """(weights by slot, intercept). `docs` has doc_id and text, `labels` doc_id and label 0/1; both may be larger than the sample."""
-    ship_package(docs.sparkSession)
+    """(weights by slot, intercept). `docs` has doc_id and text, `labels` doc_id and label 0/1; both may be larger than the sample.
+
+    TASKS tables of counts reach the driver, and of each sampled text only the n-grams whose ratio tells something.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
     known = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("label", "text")
-    rows = texts.mapInPandas(_pack, "label int, slots binary").toPandas()
-    y = rows["label"].to_numpy(dtype=float)
-    if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return np.zeros(1 << BITS), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    lists = [np.frombuffer(x, dtype=np.int32) for x in rows["slots"]]
-    size = 1 << BITS
-    in_toxic, in_rest = (sum((np.bincount(x, minlength=size) for x, t in zip(lists, y) if t == want), np.zeros(size)) for want in (1, 0))
-    ratio = np.log((in_toxic + ALPHA) / (y.sum() + 2 * ALPHA)) - np.log((in_rest + ALPHA) / ((1 - y).sum() + 2 * ALPHA))
-    ratio[in_toxic + in_rest < MIN_DOCS] = 0.0
-    return _regress(lists, y, ratio)
+    texts = cut_lineage(texts.repartition(TASKS))
+    size, n, counts = 1 << BITS, np.zeros(2), np.zeros((2, 1 << BITS))
+    for row in texts.mapInPandas(_frequencies, "label int, docs long, counts binary").toLocalIterator():
+        n[row.label] += row.docs
+        counts[row.label] += np.frombuffer(row.counts, dtype=np.int32)
+    if n.min() == 0:
+        share = float(n[1] / n.sum()) if n.sum() else 0.0
+        return np.zeros(size), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    ratio = np.log((counts[1] + ALPHA) / (n[1] + 2 * ALPHA)) - np.log((counts[0] + ALPHA) / (n[0] + 2 * ALPHA))
+    ratio[counts.sum(axis=0) < MIN_DOCS] = 0.0
+    telling = spark.sparkContext.broadcast(np.abs(ratio) >= MIN_RATIO)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        distinct = Distinct(BITS)
+        for batch in batches:
+            found = [features(t, distinct) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "slots": [x[telling.value[x]].astype(np.int32).tobytes() for x in found]})
+
+    rows = texts.mapInPandas(pack, "label int, slots binary").toPandas()
+    order = rows.sort_values(["label", "slots"], kind="stable")
+    return _regress([np.frombuffer(x, dtype=np.int32) for x in order["slots"]], (order["label"] > 0).to_numpy(dtype=float), ratio)
 
 
 def _regress(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression over presence times ratio, by accelerated gradient steps; both labels weigh the same."""
-    lists = [x[np.abs(ratio[x]) >= MIN_RATIO] for x in lists]
     cols = np.concatenate(lists)
     used, cols = np.unique(cols, return_inverse=True)
     row = np.repeat(np.arange(len(y)), [len(x) for x in lists])

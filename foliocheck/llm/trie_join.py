@@ -92,14 +92,25 @@ def _insert(root: _Node, tokens: list[int], me: int, forest: Forest) -> None:
         node = kid
 
 
+def _mark_anew(root: _Node, forest: Forest) -> None:
+    """Sets every mark to the component that the whole subtree belongs to by now, -1 if to several."""
+    order, at = [root], 0
+    while at < len(order):
+        order.extend(order[at].kids.values())
+        at += 1
+    for node in reversed(order):
+        marks = {forest.root(e) for e in node.ends} | {kid.mark for kid in node.kids.values()}
+        node.mark = marks.pop() if len(marks) == 1 else -1
+
+
 def join_block(sets: list[list[int]], groups: list[int] | None = None) -> list[int]:
     """The component (smallest set number) of each set. `sets` hold ascending tokens; sets of equal `groups` are joined beforehand."""
     forest, first = Forest(len(sets)), {}
     for i, group in enumerate(groups or ()):
         forest.join(first.setdefault(group, i), i)
     sizes = [len(s) for s in sets]
-    root = None
-    for me in sorted(range(len(sets)), key=sizes.__getitem__):
+    root, due = None, 32
+    for number, me in enumerate(sorted(range(len(sets)), key=sizes.__getitem__)):
         if not sizes[me]:
             continue
         if root is None:
@@ -107,4 +118,8 @@ def join_block(sets: list[list[int]], groups: list[int] | None = None) -> list[i
         else:
             _walk(root, sets[me], me, sizes, forest)
         _insert(root, sets[me], me, forest)
+        if number >= due:
+            # Components grow together; marks that were mixed when they were set may be whole now.
+            _mark_anew(root, forest)
+            due = number + max(32, number // 8)
     return [forest.root(i) for i in range(len(sets))]
