@@ -1,5 +1,5 @@
 """Queries of model answers, requests, retrieval, commands and streams."""
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import Window as W, functions as F
@@ -9,6 +9,7 @@ from foliocheck.operators import contexts as X, retrieval as R
 from foliocheck.plans import structure as PS
 from foliocheck.plans.stats import view
 from foliocheck.sources import corpus, findings as FS, responses as A
+from foliocheck.session import checkpoint_dir
 from foliocheck.streaming import jobs
 
 PAGE = ["book_id", "page_number"]
@@ -73,8 +74,7 @@ def w10(spark, d):
 def _drain(stream, mode):
     """Runs a stream over what is there now into a table folder and reads the table back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    run = f"{base}/stream-{uuid.uuid4()}"
+    run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
 
     def write(batch, batch_id):
         # A complete result replaces the table; appended rows go under their batch number, so a
@@ -88,8 +88,11 @@ def _drain(stream, mode):
 
 def event_stream(spark, d):
     """The event files as a stream of findings: what was found, how severe, what became of it."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # The table is one file or a folder of part files; a stream watches folders.
+    table = spark.read.parquet(f"{d}/events.parquet")
+    one_file = {os.path.basename(f) for f in table.inputFiles()} == {"events.parquet"}
+    files = spark.readStream.schema(table.schema)
+    e = files.option("pathGlobFilter", "events.parquet").parquet(d) if one_file else files.parquet(f"{d}/events.parquet")
     return e.selectExpr(
         "concat('book-', lpad(CAST(event_id div 500 AS STRING), 12, '0')) AS book_id", "CAST(event_id div 10 % 50 + 1 AS INT) AS page_number", "CAST(event_id AS STRING) AS uid",
         "CASE event_type WHEN 'click' THEN 'spelling' WHEN 'view' THEN 'heading' ELSE 'image' END AS type", "CASE event_id % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' ELSE 'minor' END AS severity",

@@ -26,22 +26,12 @@ def plain_spaces(col):
     return F.regexp_replace(col, _ODD_SPACE, " ")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table that sits in very few files one task per core.
-
-    A large table already has more splits than cores and is left alone, so this never adds a
-    shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores, *keys)
-
-
 def pages(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cols = _exprs(seeds.page_columns("div"))
     if text:
         cols.append(F.expr(seeds.page_text("div")).alias("text"))
-        docs = spread(docs.select("doc_id", "n_chars", "text"), "doc_id").withColumn("text", plain_spaces(F.col("text")))
+        docs = docs.withColumn("text", plain_spaces(F.col("text")))
     return docs.select(*cols)
 
 
@@ -56,14 +46,14 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_of(page_rows: DataFrame) -> DataFrame:
     """Printed word boxes of page texts.
 
-    Offsets come from the positions of line breaks and blanks, found in one linear pass per
-    page, so neither a window nor a shuffle is needed. Crowded pages get a smaller line pitch
+    Offsets are running sums over the lengths of lines and words, kept inside the row, so
+    neither a window nor a shuffle is needed. Crowded pages get a smaller line pitch
     instead of losing rows.
     """
     def starts(col: str, mark: str):
-        chars = F.regexp_extract_all(F.col(col), F.lit("(?s)."), F.lit(0))
-        at = F.filter(F.transform(chars, lambda c, i: F.when(c == mark, i).otherwise(F.lit(-1))), lambda p: p >= 0)
-        return F.concat(F.array(F.lit(0)), F.transform(at, lambda p: p + 1))
+        parts = F.split(F.col(col), mark)
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda at, part: F.concat(at, F.array(F.element_at(at, -1) + F.length(part) + 1)))
+        return F.slice(ends, 1, F.size(parts))
 
     keep = [*PAGE_KEY, "doc_id"]
     lines = page_rows.select(
@@ -75,7 +65,7 @@ def words_of(page_rows: DataFrame) -> DataFrame:
                          F.col("l.line").alias("line"), F.col("l.line_start").alias("line_start"))
     exploded = lines.select(
         *keep, "n_chars", "n_lines", "line_no", "line_start",
-        F.when(F.length("line") <= 60, F.col("line")).alias("short_line"),
+        F.coalesce(F.col("line").isin(seeds.LARGE_LINES) | F.col("line").startswith("Chapter "), F.lit(False)).alias("large"),
         F.size(F.split("line", " ")).alias("line_words"),
         F.posexplode(F.arrays_zip(F.split("line", " ").alias("str"), starts("line", " ").alias("off"))
                      ).alias("w_no", "w"))
@@ -88,14 +78,12 @@ _WORD_COLUMNS = ["book_id", "page_number", "doc_id", "word_idx", "str", "xmin",
 
 
 def place_words(w: DataFrame) -> DataFrame:
-    large = ", ".join(f"'{v}'" for v in seeds.LARGE_LINES)
     return (w.selectExpr(
         "*",
         f"CASE WHEN {seeds.EXERCISE_PAGES} THEN 300.0D ELSE 40.0D END AS y0",
         f"CAST(line_no + line_start div {seeds.ROW_CHARS} + off div {seeds.ROW_CHARS} AS INT) AS row",
         f"n_lines + n_chars div {seeds.ROW_CHARS} + 1 AS n_rows",
-        "page_number = 1 AND line_no IN (1, 2) AS toc_row",
-        f"coalesce(short_line IN ({large}) OR short_line LIKE 'Chapter %', false) AS large")
+        "page_number = 1 AND line_no IN (1, 2) AS toc_row")
         .selectExpr("*", f"least({seeds.LINE_PITCH}D, (940.0D - y0) / n_rows) AS pitch")
         .selectExpr("*", "least(12.0D, pitch * 2 / 3) * CASE WHEN large THEN 2 ELSE 1 END AS h",
                     f"CASE WHEN NOT toc_row THEN 60.0D + 7.5D * (off % {seeds.ROW_CHARS}) "
@@ -131,9 +119,7 @@ def text_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts partitioned by page key."""
     docs = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "text", f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number")
-    few = docs.rdd.getNumPartitions() * 2 <= spark.sparkContext.defaultParallelism
-    docs = spread(docs, *PAGE_KEY) if few else docs.repartition(*PAGE_KEY)
-    return (docs.withColumn("text", plain_spaces(F.col("text")))
+    return (docs.repartition(*PAGE_KEY).withColumn("text", plain_spaces(F.col("text")))
             .select("doc_id", *PAGE_KEY, F.expr(seeds.page_text("div")).alias("text")))
 
 

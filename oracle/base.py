@@ -62,7 +62,7 @@ FROM (SELECT *, least(12.0::DOUBLE, pitch * 2 / 3) * CASE WHEN large THEN 2 ELSE
              line_no + line_start // {seeds.ROW_CHARS} + off // {seeds.ROW_CHARS} AS row,
              n_lines + n_chars // {seeds.ROW_CHARS} + 1 AS n_rows,
              page_number = 1 AND line_no IN (1, 2) AS toc_row,
-             line IN ({_large}) OR (length(line) <= 60 AND line LIKE 'Chapter %') AS large
+             line IN ({_large}) OR line LIKE 'Chapter %' AS large
       FROM (SELECT *, CAST(sum(length(str) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY w_no)
                            - length(str) - 1 AS BIGINT) AS off
         FROM (SELECT *, len(string_split(line, ' ')) AS line_words, unnest(string_split(line, ' ')) AS str,
