@@ -72,4 +72,4 @@ def location_phrase(measured: Column, xmin: Column, ymin: Column, xmax: Column,
     return F.when(measured & finite(xmin, ymin, xmax, ymax), F.concat(
         F.when(cx < 500, "left").otherwise("right"), F.lit(" side, "),
         F.when(cy < 330, "upper").when(cy > 660, "lower").otherwise("middle"), F.lit(" part of the page"))
-    ).otherwise("the location still needs visual verification")
+    ).otherwise("no measured place; look for it on the page")

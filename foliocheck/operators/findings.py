@@ -104,12 +104,12 @@ def classify_error(errors: DataFrame, col: str = "error") -> DataFrame:
         "fetch failed", "aborted", "JSON_PARSE_ERROR"))
     inner = F.get_json_object(T.strip(m), "$.error.message")
     friendly = (F.when(F.coalesce(m, F.lit("")) == "", "")
-                .when(internal, "The model hit an internal error. Analysis was paused to prevent repeated requests.")
+                .when(internal, "The model failed on its side; processing stops here so that it is not asked again and again.")
                 .when(any_of("DEADLINE", "504", "timed out", "aborted"),
-                      "The model timed out. Analysis was paused to prevent repeated requests.")
+                      "No answer from the model in time; processing stops here so that it is not asked again and again.")
                 .when(any_of("429", "RESOURCE_EXHAUSTED"),
-                      "The model is busy. Analysis was paused to prevent repeated requests.")
-                .when(T.strip(m).startswith("{"), F.coalesce(inner, F.lit("Analysis failed")))
+                      "The model takes no more requests for now; processing stops here until it does.")
+                .when(T.strip(m).startswith("{"), F.coalesce(inner, F.lit("The page could not be analysed")))
                 .when(F.length(m) > 140, F.concat(F.substring(m, 1, 140), F.lit("…"))).otherwise(m))
     return errors.withColumns({"friendly": friendly, "fatal_auth": fatal, "retryable": retry})
 

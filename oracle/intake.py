@@ -90,10 +90,10 @@ ORACLES = {
       CASE WHEN valid THEN round(ymin / 10, 6) END AS y, CASE WHEN valid THEN round((xmax - xmin) / 10, 6) END AS w,
       CASE WHEN valid THEN round((ymax - ymin) / 10, 6) END AS h, resolved, ignored FROM review_v"""),
     "b5_classify_error": compose(r"""SELECT event_id, CASE WHEN error = '' THEN ''
-       WHEN internal THEN 'The model hit an internal error. Analysis was paused to prevent repeated requests.'
-       WHEN regexp_matches(error, 'DEADLINE|504|timed out|aborted') THEN 'The model timed out. Analysis was paused to prevent repeated requests.'
-       WHEN regexp_matches(error, '429|RESOURCE_EXHAUSTED') THEN 'The model is busy. Analysis was paused to prevent repeated requests.'
-       WHEN starts_with(trim(error), '{') THEN coalesce(CASE WHEN json_valid(error) THEN json_extract_string(error, '$.error.message') END, 'Analysis failed')
+       WHEN internal THEN 'The model failed on its side; processing stops here so that it is not asked again and again.'
+       WHEN regexp_matches(error, 'DEADLINE|504|timed out|aborted') THEN 'No answer from the model in time; processing stops here so that it is not asked again and again.'
+       WHEN regexp_matches(error, '429|RESOURCE_EXHAUSTED') THEN 'The model takes no more requests for now; processing stops here until it does.'
+       WHEN starts_with(trim(error), '{') THEN coalesce(CASE WHEN json_valid(error) THEN json_extract_string(error, '$.error.message') END, 'The page could not be analysed')
        WHEN length(error) > 140 THEN substring(error, 1, 140) || '…' ELSE error END AS friendly, fatal AS fatal_auth,
        NOT regexp_matches(error, 'ENOENT|no such file') AND NOT fatal AND (internal OR
         regexp_matches(error, '429|RESOURCE_EXHAUSTED|timed out|DEADLINE|504|UNAVAILABLE|503|500|fetch failed|aborted|JSON_PARSE_ERROR')) AS retryable
@@ -132,6 +132,6 @@ ORACLES = {
       FROM (SELECT *, trim(CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '(?i)\.pdf$', '') WHEN 1 THEN '   ' ELSE html END, {WS}) AS t FROM pages)"""),
     "b15_location_phrase": compose(f"""SELECT uid, CASE WHEN {MEASURED} AND xmin IS NOT NULL THEN
       concat(CASE WHEN (xmin + xmax) / 2 < 500 THEN 'left' ELSE 'right' END, ' side, ', CASE WHEN (ymin + ymax) / 2 < 330 THEN 'upper'
-      WHEN (ymin + ymax) / 2 > 660 THEN 'lower' ELSE 'middle' END, ' part of the page') ELSE 'the location still needs visual verification' END AS location
+      WHEN (ymin + ymax) / 2 > 660 THEN 'lower' ELSE 'middle' END, ' part of the page') ELSE 'no measured place; look for it on the page' END AS location
       FROM findings_v"""),
 }

@@ -34,8 +34,8 @@ ORACLES = {
        SELECT p.book_id, p.page_number, k.seq, k.text, row_number() OVER (PARTITION BY p.book_id, p.page_number ORDER BY k.seq DESC) AS r FROM pages_v p JOIN know_v k ON k.book_id = p.book_id
         AND (scope = 'book' OR (scope = 'page' AND k.page_number = p.page_number))) WHERE r <= 12 GROUP BY ALL),
       f AS (SELECT book_id, page_number, substring('[' || string_agg(CAST(to_json(struct_pack(type := type, quote := quote, suggestion := suggestion, status := status)) AS VARCHAR), ',' ORDER BY seq, uid) || ']', 1, 14000) AS prior FROM findings_v GROUP BY ALL),
-      x AS (SELECT book_id, page_number, substring(concat('Chapter: ', chapter_name, '; observed PDF pages ', start_page, '-', end_page, '; boundary confidence ', conf, '.', chr(10), 'Extracted evidence covers ', indexed, '/', end_page - start_page + 1, ' chapter pages. ',
-        CASE WHEN indexed < end_page - start_page + 1 THEN 'PARTIAL CONTEXT: do not claim every chapter page was examined.' ELSE 'Every chapter page has extracted evidence; the excerpts are bounded source facts.' END, chr(10), substring(coalesce(body, ''), 1, 6600)), 1, 10000) AS c FROM excerpt_v)
+      x AS (SELECT book_id, page_number, substring(concat('Chapter: ', chapter_name, '; PDF pages ', start_page, '-', end_page, '; certainty of its limits ', conf, '.', chr(10), 'Pages read so far: ', indexed, '/', end_page - start_page + 1, ' chapter pages. ',
+        CASE WHEN indexed < end_page - start_page + 1 THEN 'PARTIAL CONTEXT: the rest of the chapter has not been read.' ELSE 'The whole chapter has been read; long pages are cut below.' END, chr(10), substring(coalesce(body, ''), 1, 6600)), 1, 10000) AS c FROM excerpt_v)
       SELECT p.book_id, p.page_number, sha256(substring(p.text, 1, 24000)) AS transcript, sha256(x.c) AS context, CAST(length(k.knowledge) AS BIGINT) AS knowledge_chars, coalesce(f.prior, '[]') AS prior, 'Keep to the style sheet.' AS instructions
       FROM pages_v p LEFT JOIN x ON x.book_id = p.book_id AND x.page_number = p.page_number LEFT JOIN k ON k.book_id = p.book_id AND k.page_number = p.page_number LEFT JOIN f ON f.book_id = p.book_id AND f.page_number = p.page_number"""),
     "b17_parse_issue_refs": compose(f"SELECT conv_id, turn, array_to_string({distinct_first('r', 30)}, ',') AS refs FROM refs_v"),

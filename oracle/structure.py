@@ -99,13 +99,13 @@ view("split1_v", f"""SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER
 view("split2_v", """SELECT *, place // greatest(1, CAST(ceil(n / least(2, greatest(1, ceil(est / 18000)))) AS BIGINT)) AS chunk FROM (SELECT *, sum(least(length(t), share)) OVER (PARTITION BY book_id, chapter_key) AS est FROM
   (SELECT *, floor((32000 - n * 24) / n) AS share FROM split1_v))""")
 view("split3_v", """SELECT *, CAST(greatest(160, least(share, floor((18000 - size * 24) / size))) AS BIGINT) AS budget FROM (SELECT *, count(*) OVER (PARTITION BY book_id, chapter_key, chunk) AS size FROM split2_v)""")
-CARD = """concat('CHAPTER MEMORY (cached chapter-context-v2; pages ', start_page, '-', end_page, '; boundary confidence ', printf('%.2f', conf), ')', chr(10), 'Chapter: ', chapter_name, '. Kind: lesson. Central topic: topic of ', chapter_name, '.', chr(10),
-  'Overview: An overview.', chr(10), 'In-scope topics: Shapes | Page ', page_number, chr(10), 'Out-of-scope tests: None established', chr(10),
-  CASE WHEN page_number % 2 = 0 THEN concat('Current-page guidance:', chr(10), '- Page ', page_number, ': expected text; continuity next') ELSE 'Current-page guidance: No special note' END, chr(10),
-  CASE WHEN page_number % 3 = 0 OR page_number < 4 THEN concat('Chapter-derived hypotheses:', chr(10), '- Page ? order hypothesis (0.50): late Evidence: line 2') WHEN page_number % 4 = 0 THEN
-   concat('Chapter-derived hypotheses:', chr(10), '- Page ', page_number, ' order hypothesis (0.50): late Evidence: line 2') ELSE 'Chapter-derived hypotheses: None for this page' END, chr(10),
-  'Concepts/rules: Order', chr(10), 'Learning objectives: Read | Write', chr(10), 'Terminology: None', chr(10), 'Characters/entities:', chr(10), '- Ann: guide; tall; relations: Bob; pages ', page_number, ', 3', chr(10),
-  'Story/sequence continuity: None', chr(10), 'Activities:', chr(10), '- Draw (pages ', page_number, '): practice; alignment: good')"""
+CARD = """concat('CHAPTER SUMMARY (version chapter-context-v2; pages ', start_page, '-', end_page, '; certainty of its limits ', printf('%.2f', conf), ')', chr(10), 'Chapter: ', chapter_name, '. Kind: lesson. Main subject: topic of ', chapter_name, '.', chr(10),
+  'Summary: An overview.', chr(10), 'Covers: Shapes | Page ', page_number, chr(10), 'Leaves out: nothing', chr(10),
+  CASE WHEN page_number % 2 = 0 THEN concat('For this page:', chr(10), '- Page ', page_number, ': expected text; continuity next') ELSE 'For this page: nothing noted' END, chr(10),
+  CASE WHEN page_number % 3 = 0 OR page_number < 4 THEN concat('Doubts raised by the chapter:', chr(10), '- Page ? order hypothesis (0.50): late Evidence: line 2') WHEN page_number % 4 = 0 THEN
+   concat('Doubts raised by the chapter:', chr(10), '- Page ', page_number, ' order hypothesis (0.50): late Evidence: line 2') ELSE 'Doubts raised by the chapter: no doubts here' END, chr(10),
+  'Ideas and rules: Order', chr(10), 'Aims: Read | Write', chr(10), 'Terms: None', chr(10), 'Who and what:', chr(10), '- Ann: guide; tall; relations: Bob; pages ', page_number, ', 3', chr(10),
+  'Order of events: None', chr(10), 'Activities:', chr(10), '- Draw (pages ', page_number, '): practice; alignment: good')"""
 BH = r"(?i)(?:^|\s)(?:chapter|ch\.?|अध्याय)\s*(\d+)\s*[:.\-–—]?\s*([^.!?।]{2,90})"
 
 ORACLES = {
@@ -144,8 +144,8 @@ ORACLES = {
     "f13_structure_status": compose(f"""SELECT b.book_id, b.page_count, i AS indexed, CASE WHEN i < page_count THEN 'partial' WHEN w THEN 'degraded' ELSE 'ready' END AS status FROM books_v b
       JOIN (SELECT book_id, count(*) FILTER (WHERE {INDEXED}) AS i FROM pages_v GROUP BY book_id) p ON p.book_id = b.book_id
       JOIN (SELECT book_id, bool_or(confidence < .6 AND source <> 'front_matter') AS w FROM chapters_v GROUP BY book_id) c ON c.book_id = b.book_id"""),
-    "f14_chapter_coverage": compose(f"""SELECT book_id, chapter_key, indexed, total, CASE WHEN indexed < total THEN 'Chapter context covers ' || indexed || '/' || total || ' pages; chapter-wide validation is incomplete.'
-       WHEN confidence < .6 THEN 'Chapter boundaries are uncertain; alignment checks need manual review.' WHEN status = 'error' THEN 'Chapter memory could not be completed; source text remains available.' ELSE '' END AS warning,
+    "f14_chapter_coverage": compose(f"""SELECT book_id, chapter_key, indexed, total, CASE WHEN indexed < total THEN 'Of this chapter, ' || indexed || '/' || total || ' pages are indexed, so checks across it see only a part.'
+       WHEN confidence < .6 THEN 'Where this chapter begins or ends is a guess; a person should confirm what depends on it.' WHEN status = 'error' THEN 'There is no summary of this chapter; its page texts can still be used.' ELSE '' END AS warning,
        CASE WHEN status = 'ready' THEN analysis_version || ':' || substring(content_hash, 1, 12) ELSE 'evidence:' || indexed || '/' || total END AS context_version FROM (
       SELECT c.book_id, c.chapter_key, c.confidence, CAST(c.end_page - c.start_page + 1 AS BIGINT) AS total, coalesce(i.n, 0) AS indexed, x.status, x.content_hash, x.analysis_version FROM chapters_v c
        LEFT JOIN (SELECT book_id, chapter_key, count(*) FILTER (WHERE {INDEXED}) AS n FROM placed_v GROUP BY ALL) i ON i.book_id = c.book_id AND i.chapter_key = c.chapter_key
@@ -162,9 +162,9 @@ ORACLES = {
     "u4_purge_books": compose("""WITH live AS (SELECT book_id FROM books_v WHERE book_no % 7 <> 6 AND book_no % 5 <> 2)
       SELECT book_id, CAST(page_number AS VARCHAR) AS key, 'page' AS kind FROM pages_v SEMI JOIN live USING (book_id)
       UNION ALL SELECT book_id, chapter_key, 'context' FROM contexts_v SEMI JOIN live USING (book_id)"""),
-    "w11_local_context": compose("""SELECT book_id, chapter_key, page_number, sha256(c) AS context, CAST(length(c) AS BIGINT) AS chars FROM (SELECT *, concat('Chapter: ', chapter_name, '; observed PDF pages ', start_page, '-', end_page, '; boundary confidence ', conf,
-       '.', chr(10), 'Extracted evidence covers ', indexed, '/', end_page - start_page + 1, ' chapter pages. ', CASE WHEN indexed < end_page - start_page + 1 THEN 'PARTIAL CONTEXT: do not claim every chapter page was examined.'
-        ELSE 'Every chapter page has extracted evidence; the excerpts are bounded source facts.' END, chr(10), substring(coalesce(body, ''), 1, 6600)) AS c FROM excerpt_v)"""),
+    "w11_local_context": compose("""SELECT book_id, chapter_key, page_number, sha256(c) AS context, CAST(length(c) AS BIGINT) AS chars FROM (SELECT *, concat('Chapter: ', chapter_name, '; PDF pages ', start_page, '-', end_page, '; certainty of its limits ', conf,
+       '.', chr(10), 'Pages read so far: ', indexed, '/', end_page - start_page + 1, ' chapter pages. ', CASE WHEN indexed < end_page - start_page + 1 THEN 'PARTIAL CONTEXT: the rest of the chapter has not been read.'
+        ELSE 'The whole chapter has been read; long pages are cut below.' END, chr(10), substring(coalesce(body, ''), 1, 6600)) AS c FROM excerpt_v)"""),
     "w12_split_chapter": compose("""SELECT book_id, chapter_key, page_number, CAST(chunk AS BIGINT) AS chunk, budget, sha256(c) AS text, CAST(length(c) AS BIGINT) AS chars FROM (SELECT *, CASE WHEN length(t) <= budget THEN t ELSE
        substring(t, 1, CAST(greatest(1, floor(budget * .68)) AS INT)) || ' ... ' || right(t, CAST(greatest(1, budget - greatest(1, floor(budget * .68)) - 5) AS INT)) END AS c FROM split3_v)"""),
     "w13_render_context": compose(f"""SELECT book_id, page_number, CASE WHEN doc_id % 10 = 3 THEN concat('Use page ', page_number) ELSE substring({CARD}, 1, 4500) END AS context FROM placed_v"""),
