@@ -52,14 +52,25 @@ def parse_companion(responses: DataFrame) -> DataFrame:
             .withColumn("observations", F.when(F.col("reject").isNull(), F.filter("p.observations", usable))).drop("p"))
 
 
-def build_request_pack(pages: DataFrame, findings: DataFrame, contexts: DataFrame, knowledge: DataFrame, instructions: Column) -> DataFrame:
-    """One bounded request row per page: transcript, chapter context, knowledge, instructions and
-    the earlier findings to revisit."""
+def build_request_pack(pages: DataFrame, findings: DataFrame, contexts: DataFrame, knowledge: DataFrame, instructions: Column, prior_chars: int = 14000) -> DataFrame:
+    """One bounded request row per page: transcript, chapter context, knowledge, instructions and the earlier findings to revisit.
+
+    `prior` is a JSON array of whole findings of at most `prior_chars` characters; `prior_left_out` says how many did not fit.
+    """
+    def fitting(found: Column) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            longer = F.concat(state["text"], F.when(state["text"] == "", "").otherwise(","), x["j"])
+            fits = (state["left"] == 0) & (F.length(longer) <= prior_chars - 2)
+            return F.struct(F.when(fits, longer).otherwise(state["text"]).alias("text"), (state["left"] + F.when(fits, 0).otherwise(1)).alias("left"))
+        return F.aggregate(found, F.struct(F.lit("").alias("text"), F.lit(0).alias("left")), add)
+
     prior = F.to_json(F.struct("type", "quote", "suggestion", "status"))
     f = findings.groupBy("book_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("seq", "uid", prior.alias("j")))).alias("l"))
-    f = f.select("book_id", "page_number", F.substring(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")), 1, 14000).alias("prior"))
+    f = f.select("book_id", "page_number", fitting(F.col("l")).alias("p")).select(
+        "book_id", "page_number", F.concat(F.lit("["), "p.text", F.lit("]")).alias("prior"), F.col("p.left").alias("prior_left_out"))
     p = (pages.select("book_id", "page_number", F.substring("text", 1, 24000).alias("transcript"))
          .join(contexts.select("book_id", "page_number", F.substring("context", 1, 10000).alias("context")), ["book_id", "page_number"], "left")
          .join(knowledge.select("book_id", "page_number", F.substring("knowledge", 1, 1800).alias("knowledge")), ["book_id", "page_number"], "left")
          .join(f, ["book_id", "page_number"], "left"))
+    p = p.withColumn("prior_left_out", F.coalesce("prior_left_out", F.lit(0)))
     return p.withColumn("prior", F.coalesce("prior", F.lit("[]"))).withColumn("instructions", F.substring(instructions, 1, 2000))

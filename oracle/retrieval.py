@@ -1,5 +1,6 @@
 """Oracle SQL of model answers, requests, retrieval, commands and streams."""
 from oracle.base import view, compose
+from oracle.intake import squash
 from foliocheck import constants as C
 
 view("salv_v", r"""SELECT *, CASE WHEN json_valid(raw) THEN raw WHEN json_valid(regexp_extract(raw, '(?s)\{.*\}', 0)) THEN regexp_extract(raw, '(?s)\{.*\}', 0) END AS j FROM responses_v""")
@@ -23,7 +24,45 @@ view("records_v", """SELECT book_id, uid, page_number, CAST(row_number() OVER (P
   'uid sidebarNumber page type severity quote suggestion explanation status box boxSource xmin ymin xmax ymax seenInLatestAnalysis', uid, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_number, seq, uid) AS VARCHAR),
   CAST(page_number AS VARCHAR), type, severity, substring(quote, 1, 600), substring(suggestion, 1, 600), substring(explanation, 1, 600), status, box_source)) AS record FROM findings_v""")
 
+# Sentences in parts of 700 characters, numbered per page; `first` and `n` speak of the whole sentence.
+view("chunk_parts_v", rf"""SELECT book_id, page_number, row_number() OVER (PARTITION BY book_id, page_number ORDER BY s_no, o) AS k, o = 0 AS first, n, substring(s, CAST(o + 1 AS BIGINT), 700) AS part
+  FROM (SELECT book_id, page_number, s_no, s, length(s) AS n, unnest(range(0, greatest(1, length(s)), 700)) AS o FROM (
+    SELECT book_id, page_number, unnest(l) AS s, unnest(range(len(l))) AS s_no FROM (
+      SELECT book_id, page_number, string_split(regexp_replace(t, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM (SELECT book_id, page_number, {squash("text")} AS t FROM pages_v) WHERE t <> '')))""")
+
+view("page_chunks_v", """SELECT * FROM (
+        WITH RECURSIVE pack AS (
+          SELECT book_id, page_number, CAST(0 AS BIGINT) AS k, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM chunk_parts_v WHERE k = 1
+          UNION ALL
+          SELECT p.book_id, p.page_number, p.k, CASE WHEN full_again OR cur1 = '' THEN p.part ELSE cur1 || ' ' || p.part END,
+                 CASE WHEN full_again THEN list_append(done1, trim(cur1)) ELSE done1 END
+          FROM (SELECT q.*, length(cur1) + length(q.part) > 700 AS full_again FROM (
+            SELECT c.*, CASE WHEN whole THEN '' ELSE c.cur END AS cur1, CASE WHEN whole THEN list_append(c.done, trim(c.cur)) ELSE c.done END AS done1 FROM (
+              SELECT x.book_id, x.page_number, x.k, x.part, a.cur, a.done, x.first AND a.cur <> '' AND length(a.cur) + x.n > 700 AS whole
+              FROM pack a JOIN chunk_parts_v x ON x.book_id = a.book_id AND x.page_number = a.page_number AND x.k = a.k + 1) c) q) p)
+        SELECT book_id, page_number, CASE WHEN cur <> '' THEN list_append(done, trim(cur)) ELSE done END AS chunks FROM pack
+        QUALIFY row_number() OVER (PARTITION BY book_id, page_number ORDER BY k DESC) = 1)""")
+
 ORACLES = {
+    "w9_chunk_text": compose("""SELECT book_id, page_number, CAST(i - 1 AS INT) AS chunk_no, CAST(length(chunks[i]) AS INT) AS chars, sha256(chunks[i]) AS digest FROM (
+      SELECT book_id, page_number, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM page_chunks_v)"""),
+    "w10_retrieve_context": compose(f"""SELECT query_id, CAST(length(context) AS INT) AS chars, sha256(context) AS digest FROM (
+      SELECT query_id, substring(array_to_string(picks, chr(10) || chr(10)), 1, 12000) AS context FROM (
+        WITH RECURSIVE asked AS (
+          SELECT q.query_id, q.message, {squash("CASE WHEN q.query_id % 3 = 0 THEN substring(p.text, 1, 40) ELSE '' END")} AS picked, coalesce(c.chunks, CAST([] AS VARCHAR[])) AS chunks
+          FROM queries_v q JOIN pages_v p ON p.book_id = q.book_id AND p.page_number = q.current
+          LEFT JOIN page_chunks_v c ON c.book_id = p.book_id AND c.page_number = p.page_number),
+        worded AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', message, picked)), '[\\p{{L}}\\p{{N}}]{{3,}}') AS w FROM asked),
+        termed AS (SELECT *, list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: NOT list_contains({STOP}, x))[1:12] AS terms FROM worded),
+        split AS (SELECT query_id, terms, unnest(chunks) AS c, unnest(range(len(chunks))) AS i FROM termed),
+        ranked AS (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY len(list_filter(terms, lambda t: contains(lower(c), t))) DESC, i) AS k FROM split),
+        fill AS (
+          SELECT query_id, CAST(0 AS BIGINT) AS k, length(picked) AS used, CASE WHEN picked <> '' THEN ['User-selected text: ' || picked] ELSE CAST([] AS VARCHAR[]) END AS picks FROM termed
+          UNION ALL
+          SELECT f.query_id, r.k, CASE WHEN len(picks) < 18 AND used + length(r.c) <= 12000 THEN used + length(r.c) ELSE used END,
+                 CASE WHEN len(picks) < 18 AND used + length(r.c) <= 12000 THEN list_append(picks, r.c) ELSE picks END
+          FROM fill f JOIN ranked r ON r.query_id = f.query_id AND r.k = f.k + 1)
+        SELECT query_id, picks FROM fill QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1))"""),
     "a12_parse_model_findings": compose("""SELECT doc_id, reject, CASE WHEN reject IS NULL THEN CAST(json_array_length(j, '$.issues') AS BIGINT) END AS issues,
       CASE WHEN reject IS NULL THEN json_extract_string(j, '$.issues[0].quote') END AS quote, CASE WHEN reject IS NULL THEN json_extract_string(j, '$.issues[1].type') END AS type,
       CASE WHEN reject IS NULL THEN CAST(json_extract(j, '$.issues[0].box_2d[2]') AS DOUBLE) END AS ymax FROM parsed_v"""),
