@@ -5,8 +5,9 @@ ones - an identifier or secret that alone would be noise, an endpoint - are repo
 characters of each other in the same text.
 
 Spans come from one split and one extraction per pattern: the gaps and match lengths of a text give the offsets as running sums. The parts
-are few next to the text; they are exploded, cut into bins as wide as a scope and joined bin by bin against the first and last position of
-every part kind in a bin, so the work is linear in the parts however many of them one text holds. No text is shuffled.
+are few next to the text; they are exploded, put into every bin (as wide as a scope) that they touch and joined bin by bin against the first
+and last position of every part kind in a bin, so the work is linear in the matched characters however many parts one text holds and
+however long they are. No text is shuffled.
 
 Defined cases: null text is empty and has no spans; rows that repeat a document get the same result each; equal positions are ordered by
 kind; an empty table gives no rows; other columns pass through, those named like an added column are replaced.
@@ -81,9 +82,13 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     A weak identifier needs a secret, a weak secret an identifier or an endpoint, an endpoint an identifier and a secret.
     """
     doc = ["doc_id", "text_hash"]
-    binned = found.withColumn("bin", F.floor(F.col("start") / scope).cast("long"))
-    summary = binned.groupBy(*doc, "bin", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    near = (binned.filter(~F.col("strong")).select(*doc, "kind", "role", "start", "end", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("near_bin")).alias("w")
+    def bins(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(*[F.floor(at / scope).cast("long") for at in (first, last)]))
+    # Two parts of one bin are less than a scope apart, so its first start and last end are near a third part only if one of its parts is.
+    summary = (found.select(*doc, "role", "start", "end", bins(F.col("start"), F.col("end") - 1).alias("bin"))
+               .groupBy(*doc, "bin", "role").agg(F.min("start").alias("first"), F.max("end").alias("last")))
+    reach = bins(F.col("start") - scope - 1, F.col("end") + scope)
+    near = (found.filter(~F.col("strong")).select(*doc, "kind", "role", "start", "end", reach.alias("near_bin")).alias("w")
             .join(summary.alias("s"), (F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))) & (F.col("w.text_hash") == F.col("s.text_hash"))
                   & (F.col("w.near_bin") == F.col("s.bin")) & (F.col("w.role") != F.col("s.role"))
                   & (F.col("s.first") <= F.col("w.end") + scope) & (F.col("s.last") >= F.col("w.start") - scope)))

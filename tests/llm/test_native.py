@@ -1,6 +1,7 @@
 """Mixing, secret scan, line dedup and quality rules against plain Python over odd rows."""
 import collections
 import hashlib
+import random
 import re
 
 from foliocheck.llm import line_dedup, mixing, quality_rules, secret_scan
@@ -115,3 +116,30 @@ def test_secret_spans_and_links(spark, odd, empty):
     assert "abcdefgh1" not in cleaned[0] and "tiny2" in cleaned[3] and cleaned[2].startswith("AKIA AKIAABC [SECRET]")
     assert all(not r.secrets for r in secret_scan.scan(odd).collect()) and secret_scan.scan(odd).count() == len(cases.odd_rows())
     assert secret_scan.scan(empty).collect() == []
+
+
+def test_secret_parts_link_at_their_ends_however_long(spark):
+    key, far = "k9" * 500, " " * 199
+    texts = [f"token = {key}\nuser: bob", f"user: bob\ntoken = {key}", f"token = {key}{far} user: bob", f"token = {key}{far}  user: bob",
+             f"https://{'x' * 1000}.org password=tiny1", f"user: {'z' * 1000} password=tiny1", f"password=tiny1{far} user: {'z' * 1000}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.secrets] for r in secret_scan.scan(docs).collect()}
+    assert got == {0: ["assign", "weak_login"], 1: ["weak_login", "assign"], 2: ["assign", "weak_login"], 3: ["assign"],
+                   4: ["weak_assign"], 5: ["weak_login", "weak_assign"], 6: ["weak_assign", "weak_login"]}
+
+
+def test_secret_links_equal_brute_force_on_distance(spark):
+    rng, rows = random.Random(8), []
+    for doc in range(60):
+        for _ in range(rng.randint(2, 7)):
+            start = rng.randrange(3000)
+            rows.append((doc, 0, "k", rng.choice(["identifier", "secret", "endpoint"]), start, start + rng.choice([1, 5, 30, 200, 201, 700, 1500]), rng.random() < 0.3))
+    rows = list({r[:6]: r for r in rows}.values())
+    def near(w, role):
+        return any(q[0] == w[0] and q[3] == role != w[3] and q[4] <= w[5] + 200 and q[5] >= w[4] - 200 for q in rows)
+    def reported(w):
+        identifier, secret, endpoint = (near(w, r) for r in ("identifier", "secret", "endpoint"))
+        return w[6] or {"identifier": secret, "secret": identifier or endpoint, "endpoint": identifier and secret}[w[3]]
+    found = spark.createDataFrame(rows, "doc_id long, text_hash long, kind string, role string, start long, end long, strong boolean")
+    got = sorted((r.doc_id, r.start, r.end) for r in secret_scan.link(found).collect())
+    assert got == sorted((w[0], w[4], w[5]) for w in rows if reported(w)) and len(got) < len(rows)
