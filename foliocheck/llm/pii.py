@@ -50,7 +50,8 @@ _NAMES = {
     ("cyrillic", "s"): "Белов Волков Громов Демин Жуков Зимин Котов Лосев Орлов Фомин".split(),
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
-_HINT = re.compile(r"\d{2}|@")
+#: What every pattern above needs at least.
+_HINT = re.compile(r"[\d@]")
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:

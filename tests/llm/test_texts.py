@@ -93,6 +93,13 @@ def test_pii_surrogates(spark, odd, empty):
     assert pii.pseudonymize(odd).count() == len(cases.odd_rows()) and pii.pseudonymize(empty).collect() == []
 
 
+@pytest.mark.parametrize("kind, entity", [("email", "a@b.org"), ("iban", "DE44 5001 0517 5407 3249 31"), ("ipv4", "8.8.8.8"), ("ipv4", "1.2.3.4"),
+                                          ("national_id", "123-45-6789"), ("card", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), ("card", "4-1-1-1-1-1-1-1-1-1-1-1-1"),
+                                          ("phone", "(77) 555 1655"), ("phone", "+1 77 555 1655"), ("phone", "771 555 1655")])
+def test_pii_finds_each_kind_alone(kind, entity):
+    assert pii.find(f"resolver at {entity} answers") == [(12, 12 + len(entity), kind)]
+
+
 def test_pii_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("ipv4", f"1.2.3.{i}") for i in range(10)] + [("name_f", f"name{i}") for i in range(300)], "kind string, entity string")
     rows = pii.surrogates(found).collect()
