@@ -5,6 +5,11 @@ the same gender and script. The canonical form ignores case and separators, so e
 same surrogate in its own spelling. Surrogates are checked against each other and against the real entities of the corpus; the ones that
 collide are drawn again until all are distinct. Entities are checked as a distributed table: nothing but a flag reaches the driver.
 
+Names are detected behind titles, as many capitalised words as follow; each part between hyphens is a name of its own, the last word is the
+surname. Every other mention of a detected name in the same text, capitalised and as a whole word, is replaced too. Behind a title that
+tells no gender, a given name has the gender that the corpus tells of the same person, or else of the same given name; where it tells none
+or both, the name stays name_x.
+
 Defined cases: null and empty texts have no entities and stay as they are; overlapping matches go to the first in text order, the longer
 one if they start together, then to the kind first in KINDS; rows that repeat a document are rewritten each; an empty table gives no rows;
 other columns pass through, those named like an added column are replaced.
@@ -36,10 +41,16 @@ _PATTERNS = {
              r"|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
 }
 #: Titles that announce a name, by the gender they tell.
-_TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta"],
-           "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "x": ["Dr", "Prof"]}
-_NAME = re.compile(r"\b(" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.? ((?:[^\W\d_]+-)?[^\W\d_]{2,})(?: ([^\W\d_]{2,}))?")
+_TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Госпожа", "госпожа", "Г-жа", "г-жа", "Пані", "пані"],
+           "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "Г-н", "г-н", "Пан", "пан"],
+           "x": ["Dr", "Prof", "Доктор", "доктор", "Д-р", "д-р", "Профессор", "профессор", "Проф", "проф"]}
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
+_TITLE = "(?:" + "|".join(_GENDER) + r")\b\.?"
+_TITLED = re.compile(rf"(?<![\w-])(?:{_TITLE} )+")
+#: A word of a name; small words that stand inside a name, and initials, stay as they are.
+_STEP = re.compile(r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ten|ter|zu) |[^\W\d_]\.[ -]?)*([^\W\d_]+(?:[-'’][^\W\d_]+)*)")
+_PART = re.compile(r"(['’]?)([^\W\d_]{2,})")
+_MENTION = re.compile(r"\b[^\W\d_]{2,}\b")
 #: Surrogate names by script and gender.
 _NAMES = {
     ("latin", "f"): "Adela Berta Celia Dora Edith Flora Greta Helga Irma Judith Klara Lydia Marta Nora Olga Paula Rita Sonja Thea Vera".split(),
@@ -54,20 +65,44 @@ _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 _HINT = re.compile(r"[\d@]")
 
 
+def _titled(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, person) of the names behind titles; the person of a given name is its whole name."""
+    out = []
+    for m in _TITLED.finditer(text):
+        told = {_GENDER[t] for t in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", m.group())} - {"x"}
+        gender = told.pop() if len(told) == 1 else "x"
+        words, at = [], m.end()
+        while (step := _STEP.match(text, at)) and step.group(1)[0].isupper() and step.group(1) not in _GENDER:
+            parts = _PART.finditer(text, step.start(1), step.end(1))
+            words.append([part.span(2) for part in parts if not part.group(1) or part.group(2)[0].isupper()])
+            if not text.startswith(" ", step.end()):
+                break
+            at = step.end() + 1
+        words = [w for w in words if w]
+        person = canonical("surname", "".join(text[a:b] for w in words for a, b in w))
+        out += [(a, b, "surname" if w is words[-1] else f"name_{gender}", "" if w is words[-1] else person) for w in words for a, b in w]
+    return out
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and without overlap."""
+    return [span[:3] for span in _found(text)]
+
+
+def _found(text: str | None) -> list[tuple[int, int, str, str]]:
+    """`find` with the person that a given name belongs to."""
     spans = []
     if text and _HINT.search(text):
-        spans = [(m.start(), m.end(), m.lastgroup) for m in _ANY.finditer(text)]
-    for m in _NAME.finditer(text or ""):
-        first, second = m.group(2), m.group(3)
-        gender = _GENDER[m.group(1)]
-        if not first[0].isupper():
-            continue
-        if second and second[0].isupper():
-            spans += [(*m.span(2), f"name_{gender}"), (*m.span(3), "surname")]
-        else:
-            spans.append((*m.span(2), "surname"))
+        spans = [(m.start(), m.end(), m.lastgroup, "") for m in _ANY.finditer(text)]
+    titled = _titled(text or "")
+    if titled:
+        places, names = {a for a, *_ in titled}, {}
+        for a, b, *what in titled:
+            names.setdefault(text[a:b].casefold(), what)
+        spans += titled
+        for m in _MENTION.finditer(text):
+            if m.start() not in places and m.group()[0].isupper() and (what := names.get(m.group().casefold())):
+                spans.append((*m.span(), *what))
     out, at = [], 0
     for span in sorted(spans, key=lambda s: (s[0], -s[1], KINDS.index(s[2]))):
         if span[0] >= at:
@@ -148,18 +183,31 @@ def rendered(kind: str, surface: str, made: str) -> str:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, end, kind, surface, entity of every mention."""
+    """doc_id, text_hash, start, end, kind, surface, entity, person of every mention."""
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string,surface:string,entity:string>>")
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string,surface:string,entity:string,person:string>>")
     def detect(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([[(a, b, k, t[a:b], canonical(k, t[a:b])) for a, b, k in find(t)] for t in batch], dtype=object)
+            yield pd.Series([[(a, b, k, t[a:b], canonical(k, t[a:b]), p) for a, b, k, p in _found(t)] for t in batch], dtype=object)
 
     return (docs.select("doc_id", F.xxhash64(whole("text")).alias("text_hash"), F.explode(detect("text")).alias("m"))
             .select("doc_id", "text_hash", "m.*").dropDuplicates(["doc_id", "text_hash", "start"]))
 
 
+def genders(found: DataFrame) -> DataFrame:
+    """kind, entity, person of `found` and `told`, the kind with the gender that is known of a name_x."""
+    names = found.select("kind", "entity", "person").distinct()
+    known = names.filter(F.col("kind").isin("name_f", "name_m"))
+
+    def only(name: str, *key: str) -> DataFrame:
+        return known.groupBy(*key).agg(F.min("kind").alias(name), F.max("kind").alias("__llm_other")).filter(F.col(name) == F.col("__llm_other")).drop("__llm_other")
+
+    open_names = names.filter("kind = 'name_x'").join(only("by_person", "entity", "person"), ["entity", "person"], "left").join(only("by_name", "entity"), ["entity"], "left")
+    return (names.filter("kind <> 'name_x'").withColumn("told", F.col("kind"))
+            .unionByName(open_names.select("kind", "entity", "person", F.coalesce("by_person", "by_name", "kind").alias("told"))))
+
+
 def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, entity, made: one distinct surrogate per entity, equal to no entity of the same kind."""
     @F.pandas_udf("string")
@@ -182,7 +230,10 @@ def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """`docs` with `text` rewritten and `entities`, the number of replaced mentions per kind."""
     found = cut_lineage(mentions(docs))
-    named = found.join(surrogates(found, key), ["kind", "entity"])
+    told = cut_lineage(genders(found))
+    entities = told.select(F.col("told").alias("kind"), "entity")
+    made = told.join(surrogates(entities, key).withColumnRenamed("kind", "told"), ["told", "entity"])
+    named = found.join(made, ["kind", "entity", "person"]).withColumn("kind", F.col("told"))
 
     @F.pandas_udf("string")
     def spell(kind: pd.Series, surface: pd.Series, made: pd.Series) -> pd.Series:

@@ -100,6 +100,26 @@ def test_pii_finds_each_kind_alone(kind, entity):
     assert pii.find(f"resolver at {entity} answers") == [(12, 12 + len(entity), kind)]
 
 
+def test_pii_names_are_replaced_at_every_mention(spark):
+    texts = ["Mr John Smith came. Smith said so; JOHN agreed, and smithy did not. Goldsmith, Smith's.", "Earlier Jones. Mrs Jane Smith-Jones spoke.", "Mr John Paul Smith slept.",
+             "г-жа Анна Петрова и Петрова", "Prof. Dr. Anna Smith", "Mrs Anna Smith", "Herr Ludwig van Beethoven and Beethoven", "Mr J. Smith", "Dr Robin Brown",
+             "Mr Kim Lee", "Mrs Kim Ray", "Dr Kim Ray", "Dr Kim Other", "the mr smith of no title case", "Mr O'Brien's cat met Mrs Jo Stone and Dr Mill. Brien, Stone, Mill; Cat"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
+    got = {i: r.text for i, r in rows.items()}
+    john, smith = re.match(r"Mr (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mr {john} {smith} came. {smith} said so; {john.upper()} agreed, and smithy did not. Goldsmith, {smith}'s."
+    jones = re.match(r"Earlier (\w+)\.", got[1]).group(1)
+    assert jones != "Jones" and re.fullmatch(rf"Earlier {jones}\. Mrs \w+ {smith}-{jones} spoke\.", got[1]) and "Jane" not in got[1]
+    assert re.fullmatch(rf"Mr {john} (?!Paul)\w+ {smith} slept\.", got[2]) and got[7] == f"Mr J. {smith}"
+    assert re.fullmatch(r"г-жа ([а-яА-Я]+) ([а-яА-Я]+) и \2", got[3]) and "Петрова" not in got[3] and "Анна" not in got[3]
+    assert got[4].split()[2:] == got[5].split()[1:] and rows[4].entities.name_f == 1 and rows[4].entities.name_x == 0
+    assert re.fullmatch(r"Herr (?!Ludwig)\w+ van (\w+) and \1", got[6]) and "Beethoven" not in got[6]
+    assert rows[8].entities.name_x == 1 and got[13] == texts[13]
+    assert [text for text in ("Brien", "Jo", "Stone", "Mill") if re.search(rf"\b{text}\b", got[14])] == [] and got[14].endswith("; Cat") and "'s cat met Mrs" in got[14]
+    assert got[10].split()[1:] == got[11].split()[1:] and rows[11].entities.name_f == 1 and rows[12].entities.name_x == 1
+
+
 def test_pii_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("ipv4", f"1.2.3.{i}") for i in range(10)] + [("name_f", f"name{i}") for i in range(300)], "kind string, entity string")
     rows = pii.surrogates(found).collect()
