@@ -41,6 +41,18 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of `keys`, the same in every run. Each task sends a value once, so a row that is found everywhere gathers nowhere."""
+    rest = [c for c in rows.columns if c not in keys]
+    hashable = [c for c, kind in rows.dtypes if c in rest and "map<" not in kind]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*hashable)).alias("__llm_row")).select(*keys, "__llm_row.*")
+
+
+def id_keys(doc_id: str = "doc_id") -> dict[str, Column]:
+    """Key columns under which null ids meet as equals in a plain join."""
+    return {"__llm_id": F.coalesce(F.col(doc_id), F.lit(0)), "__llm_no_id": F.col(doc_id).isNull()}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 

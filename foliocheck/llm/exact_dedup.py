@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliocheck.llm.common import shared_dir, whole
+from foliocheck.llm.common import id_keys, one_of_each, shared_dir, whole
 from foliocheck.session import ship_package
 
 CAPACITY = 4096        # entries per bucket
@@ -136,7 +136,8 @@ def members(docs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of `docs` that stay: a semi-join on the id that each entry keeps, so no group ever meets in one task."""
-    stays = build_index(docs, capacity).select(F.col("keep_id"), F.col("h"), F.col("text_sha256"))
-    text = whole("text")
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["keep_id"]) & (F.xxhash64(text) == stays["h"]) & (F.sha2(text, 256) == stays["text_sha256"]), "left_semi")
+    """One row of each group: of the rows with the id that an entry keeps, the one that `one_of_each` takes. No group ever meets in one task."""
+    keys = ["__llm_id", "__llm_no_id", "__llm_h", "__llm_sha"]
+    stays = build_index(docs, capacity).withColumns(id_keys("keep_id")).select(*keys[:2], F.col("h").alias(keys[2]), F.col("text_sha256").alias(keys[3]))
+    keyed = docs.withColumns({**id_keys(), "__llm_h": F.xxhash64(whole("text")), "__llm_sha": F.sha2(whole("text"), 256)})
+    return one_of_each(keyed, keys).join(stays, keys, "left_semi").select(docs.columns)

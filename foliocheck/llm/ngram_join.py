@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliocheck.llm.common import ascii_lower, let, shared_dir, whole, words
+from foliocheck.llm.common import ascii_lower, id_keys, let, one_of_each, shared_dir, whole, words
 from foliocheck.llm.components import components
 from foliocheck.llm.trie_join import join_block
 from foliocheck.session import cut_lineage, ship_package
@@ -59,10 +59,10 @@ def _part_size(n: Column) -> Column:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n, the set's digest s1, s2, and the part of the set that is exchanged. The set is computed once per row."""
+    """doc_id, n, the set's digest s1, s2, the hash h of the text, and the part of the set that is exchanged. The set is computed once per row."""
     row = let(F.sort_array(shingles(whole("text"))), lambda s: F.struct(
         F.size(s).cast("long").alias("n"), F.xxhash64(s).alias("s1"), F.xxhash64(F.lit(1), s).alias("s2"), F.slice(s, 1, _part_size(F.size(s))).alias("part")))
-    return docs.select("doc_id", row.alias("row")).select("doc_id", "row.n", "row.s1", "row.s2", "row.part")
+    return docs.select("doc_id", F.xxhash64(whole("text")).alias("h"), row.alias("row")).select("doc_id", "row.n", "row.s1", "row.s2", "h", "row.part")
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -231,26 +231,38 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`, and class_key, equal for equal shingle sets."""
+    return _link_rows(docs, block).select("doc_id", "n_shingles", "component_id", "class_key")
+
+
+def _link_rows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`link_documents` with text_hash, and group: the class that its component is named by inside, null without shingles.
+
+    Two components can have the same component_id, where an id is given to several texts; their groups differ.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     path = f"{shared_dir(spark)}/ngram-join-{uuid.uuid4().hex}"
     _digests(docs).write.parquet(path)
-    digests = spark.read.schema("doc_id long, n long, s1 long, s2 long, part array<long>").parquet(path)
+    digests = spark.read.schema("doc_id long, n long, s1 long, s2 long, h long, part array<long>").parquet(path)
     hot = spark.sparkContext.broadcast(hot_counters(digests))
-    named = digests.select("doc_id", "n", "s1", "s2").withColumn("cid", F.concat(F.hex("s1"), F.lit("-"), F.hex("s2")))
+    named = digests.select("doc_id", "n", "s1", "s2", "h").withColumn("cid", F.concat(F.hex("s1"), F.lit("-"), F.hex("s2")))
     classes = named.filter("n > 0").groupBy("cid", "s1", "n").agg(F.min("doc_id").alias("min_doc"))
     candidates = components(_stars(_kept(_tokens(digests, hot)))).select(F.col("node").alias("s1"), F.col("label").alias("comp"))
     members = classes.join(candidates, "s1").filter(F.col("min_doc").isNotNull())
     labels = cut_lineage(_linked(docs, members, block))
     smallest = labels.join(classes.select("cid", "min_doc"), "cid").groupBy("label").agg(F.min("min_doc").alias("component"))
-    resolved = classes.select("cid", "min_doc").join(labels.join(smallest, "label").select("cid", "component"), "cid", "left")
-    resolved = resolved.select("cid", F.coalesce("component", "min_doc").alias("component"))
+    resolved = classes.select("cid", "min_doc").join(labels.join(smallest, "label").select("cid", "label", "component"), "cid", "left")
+    resolved = resolved.select("cid", F.coalesce("label", "cid").alias("group"), F.coalesce("component", "min_doc").alias("component"))
     found = named.join(resolved, "cid", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-                        F.col("cid").alias("class_key"))
+                        F.col("cid").alias("class_key"), F.col("h").alias("text_hash"), "group")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id."""
-    keep = link_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__llm_keep")), "left_semi")
+    """One row of each component: of those with the smallest doc_id, a null one only where there is no other, the one with the smallest text hash."""
+    keys = ["__llm_no_id", "__llm_id", "__llm_h"]
+    rows = _link_rows(docs).withColumns(id_keys()).withColumnRenamed("text_hash", "__llm_h")
+    apart = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])      # a row without shingles is its own component
+    keep = rows.groupBy(F.coalesce("group", apart)).agg(F.min(F.struct(*keys)).alias("keep")).select("keep.*")
+    keyed = docs.withColumns({**id_keys(), "__llm_h": F.xxhash64(whole("text"))})
+    return one_of_each(keyed, keys).join(keep, keys, "left_semi").select(docs.columns)

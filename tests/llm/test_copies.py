@@ -106,6 +106,26 @@ def test_exact_dedup(odd, empty):
     assert exact_dedup.members(empty, exact_dedup.build_index(empty)).collect() == []
 
 
+def test_dedups_keep_one_row_of_each_group(spark):
+    rows = cases.odd_rows() + cases.odd_rows()[3:] + [(5, "another text that shares its id with a near copy", "en", "a", 3)] * 2 + [(90, "Alpha beta gamma delta epsilon zeta", "en", "a", 35)]
+    docs = cases.frame(spark, rows).repartition(3)
+    order = lambda pairs: sorted(pairs, key=repr)
+    groups = collections.defaultdict(list)
+    for doc, text, *_ in rows:
+        groups[text or ""].append(doc)
+    want = [(max((i for i in ids if i is not None), default=None), text) for text, ids in groups.items()]
+    assert order((r.doc_id, r.text or "") for r in exact_dedup.dedup(docs).collect()) == order(want)
+    distinct = order({(doc, text or "") for doc, text, *_ in rows})
+    root = brute([shingles(text) for _, text in distinct])
+    least = {}
+    for (doc, text), r in zip(distinct, root):
+        if doc is not None and (r not in least or doc < least[r]):
+            least[r] = doc
+    got = [(r.doc_id, r.text or "") for r in ngram_join.dedup(docs).collect()]
+    place = {pair: r for pair, r in zip(distinct, root)}
+    assert sorted(place[pair] for pair in got) == sorted(set(root)) and all(pair[0] == least.get(place[pair]) for pair in got)
+
+
 def test_directory_doubles_where_a_bucket_is_overfull():
     load = {p: 1 for p in range(16)} | {3: 100}
     depth, owner = exact_dedup.directory(load, capacity=4, max_depth=4)
