@@ -1,7 +1,7 @@
 """DuckDB SQL for the rows of those queries that SQL can express, over the same tables."""
 from __future__ import annotations
 
-from foliocheck.llm import mixing, ngram_join, quality_rules, secret_scan
+from foliocheck.llm import collocations, mixing, ngram_join, quality_rules, secret_scan, sharding
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -99,6 +99,62 @@ m AS (SELECT d.doc_id, len(w)::bigint AS n_words, length(array_to_string(w, ''))
 SELECT doc_id, {measures.replace("n_text_lines, ", "")}, ({base}) AS base_failed, NOT ({base} OR {failed}) AS kept FROM m"""
 
 
+def _shards() -> str:
+    def tree(nodes: list[sharding.Shard]) -> str:
+        return ", ".join(f"('{s.region}', '{s.region}/{s.rack}', '{s.region}/{s.rack}/{s.shard}', {s.shard}, {s.weight}::double)" for s in nodes)
+    def drawn(node: str) -> str:
+        return f"(('0x' || md5('{sharding.SEED}:' || {node} || ':' || k)[1:13])::bigint + 0.5) / 4503599627370496.0"
+    def level(parent: str, child: str) -> str:
+        # The winner among the children of the node that the level before chose.
+        return f"""(SELECT doc_id, k, grown, arg_max(node, (ln({drawn("node")}) / w, node)) AS node FROM
+  (SELECT p.doc_id, p.k, p.grown, c.node, c.w FROM {parent} JOIN (SELECT grown, {child.split(",")[0]} AS up, {child.split(",")[1]} AS node, sum(w) AS w FROM tree GROUP BY ALL) c ON c.grown = p.grown AND c.up = p.node)
+  GROUP BY ALL)"""
+    regions = level("(SELECT doc_id, k, grown, '' AS node FROM d, (SELECT unnest([false, true]) AS grown)) p", "'',region")
+    racks = level(f"{regions} p", "region,rack")
+    shards = level(f"{racks} p", "rack,leaf")
+    return f"""
+WITH tree AS (SELECT * REPLACE (grown = 1 AS grown) FROM (SELECT 0 AS grown, * FROM (VALUES {tree(sharding.layout())}) v(region, rack, leaf, shard, w)
+              UNION ALL SELECT 1, * FROM (VALUES {tree(sharding.grow(sharding.layout()))}) v(region, rack, leaf, shard, w))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) AS k FROM documents),
+s AS (SELECT doc_id, grown, shard FROM {shards} p JOIN tree USING (grown) WHERE leaf = node),
+m AS (SELECT d.*, octet_length(encode(text)) + 1 AS size, {drawn("'slot'")} AS turn,
+             xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::bigint)),
+                                         lambda x, b: xor(x >> 8, ({_byte_steps()}::bigint[])[(xor(x, b) & 255) + 1]))) AS text_crc32 FROM d)
+SELECT m.doc_id, m.size::bigint AS size, m.text_crc32::bigint AS text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY turn, m.doc_id) - 1 AS slot, b.shard AS grown_shard
+FROM m JOIN s a ON a.doc_id = m.doc_id AND NOT a.grown JOIN s b ON b.doc_id = m.doc_id AND b.grown"""
+
+
+def _byte_steps() -> list[int]:
+    """What each byte adds to a CRC-32, by its rule: eight shifts, each followed by the polynomial where a one falls out."""
+    steps = list(range(256))
+    for _ in range(8):
+        steps = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in steps]
+    return steps
+
+
+def _phrases() -> str:
+    least, most, top = collocations.MIN_COUNT, collocations.MAX_WORDS, collocations.TOP
+    return rf"""
+WITH p AS (SELECT lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?
+-
+]')) AS piece FROM (SELECT text, coalesce(lang, 'und') AS lang FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM o, (SELECT unnest(range(1, {most + 1})) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, count(*)::hugeint AS f FROM g GROUP BY ALL HAVING count(*) >= {least}),
+n AS (SELECT lang, sum(len(w))::hugeint AS n FROM w GROUP BY 1),
+c AS (SELECT * FROM f WHERE k >= 2),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, cut, 1000 * c.f * n.n // (l.f * r.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN n ON n.lang = c.lang
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[cut + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (SELECT DISTINCT lang, array_to_string(words[i:i + j - 1], ' ') AS phrase, f FROM (SELECT *, unnest(range(1, k)) AS i FROM c), (SELECT unnest(range(2, {most})) AS j)
+          WHERE j < k AND i + j - 1 <= k),
+open AS (SELECT * FROM lowest x WHERE NOT EXISTS (SELECT 1 FROM inner_parts s WHERE s.lang = x.lang AND s.phrase = x.phrase AND 100 * s.f >= 100 * x.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n::bigint AS n, score::bigint AS score
+FROM open QUALIFY rank <= {top}"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": _mix(),
     "op2_ngram_join": _ngrams(),
@@ -106,4 +162,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": _EXACT,
     "op8_line_dedup": _LINES,
     "op10_quality_rules": _quality(),
+    "op11_sharding": _shards(),
+    "op13_collocations": _phrases(),
 }

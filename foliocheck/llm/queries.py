@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliocheck.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, toxicity
+from foliocheck.llm import bpe, collocations, exact_dedup, language_id, line_dedup, mixing, ngram_join, periodic, pii, quality_rules, secret_scan, sharding, toxicity
 from foliocheck.llm.common import read, whole
 from foliocheck.llm.oracles import ORACLES  # noqa: F401  registered beside the queries
 
@@ -82,6 +82,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return sharding.number(placed).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.collapse(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(periodic.written(F.col("runs")), 256).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_join": op2_ngram_join,
@@ -93,4 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sharding": op11_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
\ No newline at end of file
