@@ -5,9 +5,10 @@ shared folder. Length k + 1 comes from a merge join of the relation with itself
 apart are one phrase of a word more. Its phrases are counted by groups, and the new relation is the semi-join with the groups that are frequent.
 
 Layout. Occurrences stay where their texts were read: a row of a relation is a block of about BLOCK_BYTES of text of one language, its sorted
-positions and local phrase numbers packed as columns (`_pack`); the merge join runs inside blocks as array operations. What moves is one row per
+positions and local phrase numbers packed as columns (`_pack`); the merge join runs inside blocks as array operations. What moves is one entry per
 (block, phrase) with a count: to the groups by phrase, and the frequent ones back to their blocks by a cogroup. So a word that is found
-everywhere makes one row per block, nothing is broadcast, and a task holds one block at a time. Phrases are named by the block and number of
+everywhere makes one entry per block, nothing is broadcast, and a task holds one block at a time. Entries of joined phrases travel in lists by
+their first part; a first part found more than LANE times is dealt to lanes by the second, so that no list head gathers a large share. Phrases are named by the block and number of
 one of their occurrences (`gid`), not by hashes: counts are exact. A frequent phrase carries the counts of all its first and last parts, handed
 on from the phrases it is joined from, so that scores need no further look-up.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,13 @@ BLOCK_BYTES = 8 << 20
 #: A gid is partition, block of the partition and local number in one long.
 _BLOCK_BITS, _LOCAL_BITS = 18, 25
 _LANES = 64
+LANE = 1 << 20
 
 _FIRST = "block bigint, lang string, pos binary, ids binary, words array<string>, counts array<bigint>"
-_RELATION = "block bigint, lang string, pos binary, ids binary, gid array<bigint>, f array<bigint>, a array<bigint>, b array<bigint>, word array<string>"
-_PAIRS = "block bigint, lang string, a array<bigint>, b array<bigint>, counts array<bigint>"
+_RELATION = ("block bigint, lang string, pos binary, ids binary, gid array<bigint>, f array<bigint>, "
+             "named array<struct<gid:bigint,f:bigint,a:bigint,b:bigint,word:string>>")
+_PAIRS = "block bigint, lang string, a bigint, lane int, start bigint, b array<bigint>, counts array<bigint>"
+_NAMED = pa.struct([(c, pa.int64()) for c in ("gid", "f", "a", "b")] + [("word", pa.string())])
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -71,13 +76,13 @@ def _block(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray
     return pos, local[codes[pos]], names.take(pa.array(used)), counts[used]
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokenize(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     task, n_blocks = TaskContext.get().partitionId(), 0
     for batch in batches:
         langs = pc.fill_null(batch.column("lang"), "und")
         for lang in langs.unique():
             text = batch.column("text").filter(pc.equal(langs, lang))
-            share = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(), dtype=np.int64) // BLOCK_BYTES
+            share = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(), dtype=np.int64) // block_bytes
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(share)) + 1, [len(text)]]).tolist()
             for a, b in zip(cuts, cuts[1:]):
                 made = _block(text.slice(a, b - a))
@@ -92,48 +97,58 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_blocks += 1
 
 
-def _adjacent(pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge join of a sorted relation with itself one position on: (positions, local numbers of the joined phrases, first and second part of each
-    phrase, its count)."""
+def _adjacent(pos: np.ndarray, ids: np.ndarray, gid: np.ndarray, f: np.ndarray, lane: int) -> tuple[np.ndarray, ...]:
+    """Merge join of a sorted relation with itself one position on: (positions, local numbers of the joined phrases; first part, lane, second part and
+    count of each phrase). Phrases are numbered by first part, lane and second part."""
     here = np.flatnonzero(np.diff(pos) == 1)
-    width = int(ids.max()) + 1 if len(ids) else 1
+    width = len(gid) or 1
     pairs, numbers, counts = np.unique(ids[here] * width + ids[here + 1], return_inverse=True, return_counts=True)
-    return pos[here], numbers, pairs // width, pairs % width, counts
+    first, second = pairs // width, pairs % width
+    lanes = 1 + f[first] // lane
+    spread = (gid[second].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % lanes
+    order = np.lexsort((second, spread, first))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return pos[here], place[numbers], gid[first[order]], spread[order], gid[second[order]], counts[order]
 
 
-def _relation(row: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gid = row.column("gid")[i].values
-    return np.cumsum(_unpack(row.column("pos")[i].as_py())), _unpack(row.column("ids")[i].as_py()), gid.to_numpy()
+def _relation(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, ...]:
+    """(positions, local numbers, gid and count of each local number) of a block."""
+    return (np.cumsum(_unpack(rows.column("pos")[i].as_py())), _unpack(rows.column("ids")[i].as_py()),
+            rows.column("gid")[i].values.to_numpy(), rows.column("f")[i].values.to_numpy())
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], lane_size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            pos, ids, gid = _relation(batch, i)
-            _, _, first, second, counts = _adjacent(pos, ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), *[
-                pa.ListArray.from_arrays([0, len(counts)], pa.array(v, pa.int64())) for v in (gid[first], gid[second], counts)]], ["block", "lang", "a", "b", "counts"])
+            _, _, first, lane, second, counts = _adjacent(*_relation(batch, i), lane_size)
+            head = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (lane[1:] != lane[:-1])])) if len(first) else np.empty(0, np.int64)
+            ends = np.concatenate([head, [len(first)]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("block")[i], len(head)), pa.repeat(batch.column("lang")[i], len(head)), pa.array(first[head]), pa.array(lane[head].astype(np.int32)),
+                                              pa.array(head), *[pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (second, counts)]],
+                                             ["block", "lang", "a", "lane", "start", "b", "counts"])
 
 
 def _semi_join(block: int, lang: str, pos: np.ndarray, numbers: np.ndarray, frequent: pa.Table, parts: tuple[np.ndarray, np.ndarray] | None, words: pa.Array | None) -> pa.Table:
-    """The rows of a block's relation whose phrase is among the frequent ones; `f` is 0 but where the block names the phrase, and only there stand
-    the parts, or the word, it is made of."""
+    """The rows of a block's relation whose phrase is among the frequent ones. `named` lists the phrases that this block names, with the parts or the
+    word they are made of."""
     frequent = frequent.sort_by("local")
     local, gid, f = (frequent.column(c).to_numpy() for c in ("local", "gid", "f"))
     new = np.full(int(numbers.max()) + 1, -1, np.int64)
     new[local] = np.arange(len(local))
     kept = new[numbers] >= 0
-    own = f > 0
+    own = gid == (block << _LOCAL_BITS) + local
+    made_of = [pa.array(p[local[own]]) if parts else pa.nulls(int(own.sum()), pa.int64()) for p in (parts or (0, 0))]
+    word = words.take(pa.array(local[own])) if words is not None else pa.nulls(int(own.sum()), pa.string())
+    named = pa.StructArray.from_arrays([pa.array(gid[own]), pa.array(f[own]), *made_of, word], fields=list(_NAMED))
     def listed(v):
         return pa.ListArray.from_arrays([0, len(v)], v)
-    first, second = [pa.array(np.where(own, p[local], 0)) if parts else pa.nulls(len(local), pa.int64()) for p in (parts or (0, 0))]
-    word = pc.if_else(pa.array(own), words.take(pa.array(local)), None) if words is not None else pa.nulls(len(local), pa.string())
     return pa.table({"block": pa.array([block], pa.int64()), "lang": pa.array([lang], pa.string()), "pos": pa.array([_pack(np.diff(pos[kept], prepend=0))]), "ids": pa.array([_pack(new[numbers][kept])]),
-                     "gid": listed(pa.array(gid)), "f": listed(pa.array(f)), "a": listed(first), "b": listed(second), "word": listed(word)})
+                     "gid": listed(pa.array(gid)), "f": listed(pa.array(f)), "named": listed(named)})
 
 
-_NONE = pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("lang", pa.string()), ("pos", pa.binary()), ("ids", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("gid", "f", "a", "b")],
-                                                  ("word", pa.list_(pa.string())))})
+_NONE = pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("lang", pa.string()), ("pos", pa.binary()), ("ids", pa.binary()), ("gid", pa.list_(pa.int64())), ("f", pa.list_(pa.int64())),
+                                                  ("named", pa.list_(_NAMED)))})
 
 
 def _keep_words(rows: pa.Table, frequent: pa.Table) -> pa.Table:
@@ -143,20 +158,24 @@ def _keep_words(rows: pa.Table, frequent: pa.Table) -> pa.Table:
     return _semi_join(rows.column("block")[0].as_py(), rows.column("lang")[0].as_py(), pos, ids, frequent, None, rows.column("words")[0].values)
 
 
-def _keep_phrases(rows: pa.Table, frequent: pa.Table) -> pa.Table:
+def _keep_phrases(rows: pa.Table, frequent: pa.Table, lane_size: int) -> pa.Table:
     if not rows.num_rows or not frequent.num_rows:
         return _NONE
-    pos, ids, gid = _relation(rows, 0)
-    pos, numbers, first, second, _ = _adjacent(pos, ids)
-    return _semi_join(rows.column("block")[0].as_py(), rows.column("lang")[0].as_py(), pos, numbers, frequent, (gid[first], gid[second]), None)
+    pos, numbers, first, _, second, _ = _adjacent(*_relation(rows, 0), lane_size)
+    return _semi_join(rows.column("block")[0].as_py(), rows.column("lang")[0].as_py(), pos, numbers, frequent, (first, second), None)
+
+
+def _keeping(lane: int):
+    def keep(rows: pa.Table, frequent: pa.Table) -> pa.Table:
+        return _keep_phrases(rows, frequent, lane)
+    return keep
 
 
 def _frequent(counted: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """(block, local, gid, f) of the rows (gid of their own, keys, n) whose group reaches `min_count`; `f` only where the group got its name."""
+    """(block, local, gid, f) of the rows (gid of their own, keys, n) whose group reaches `min_count`."""
     group = Window.partitionBy(*keys)
     found = counted.withColumns({"f": F.sum("n").over(group), "gid": F.min("own").over(group)}).filter(F.col("f") >= min_count)
-    return found.select(F.shiftright("own", _LOCAL_BITS).alias("block"), F.col("own").bitwiseAND((1 << _LOCAL_BITS) - 1).alias("local"), "gid",
-                        F.when(F.col("own") == F.col("gid"), F.col("f")).otherwise(0).alias("f"))
+    return found.select(F.shiftright("own", _LOCAL_BITS).alias("block"), F.col("own").bitwiseAND((1 << _LOCAL_BITS) - 1).alias("local"), "gid", "f")
 
 
 def _own() -> Column:
@@ -165,7 +184,7 @@ def _own() -> Column:
 
 def _named(relation: DataFrame) -> DataFrame:
     """One row per frequent phrase of a relation: gid, lang, f, and the parts or the word that make it up."""
-    return relation.select("lang", F.explode(F.arrays_zip("gid", "f", "a", "b", "word")).alias("p")).filter("p.f > 0").select("lang", "p.*")
+    return relation.select("lang", F.explode("named").alias("p")).select("lang", "p.*")
 
 
 def _longer(named: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -177,7 +196,8 @@ def _longer(named: DataFrame, shorter: DataFrame) -> DataFrame:
         F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"), "a", "b")
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, block_bytes: int = BLOCK_BYTES,
+                     lane: int = LANE) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n) with all words counted; per length the phrases found `min_count` times or more as gid, lang, phrase, f, heads, tails, a, b)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -187,29 +207,31 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    tokens = kept(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_tokenize, _FIRST), "words")
+    tokens = kept(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(partial(_tokenize, block_bytes=block_bytes), _FIRST), "words")
     sizes = tokens.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     counted = tokens.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select(_own(), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     found = _frequent(counted, ["lang", "word"], min_count)
     relation = kept(tokens.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keep_words, _RELATION), "1")
     levels = [kept(_named(relation).select("gid", "lang", F.col("word").alias("phrase"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"), "a", "b"), "phrases1")]
     for k in range(2, max_words + 1):
-        counted = relation.mapInArrow(_pairs, _PAIRS).select("block", "lang", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("i", "w")).select(
-            _own(), "lang", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.counts").alias("n"))
+        # The lists move and are opened behind the exchange, where their heads already lie together.
+        lists = relation.mapInArrow(partial(_pairs, lane_size=lane), _PAIRS).repartition("a", "lane")
+        counted = (lists.select("block", "lang", "a", "lane", "start", F.posexplode(F.arrays_zip("b", "counts")).alias("j", "w"))
+                   .withColumn("i", F.col("start") + F.col("j")).select(_own(), "lang", "a", "lane", F.col("w.b").alias("b"), F.col("w.counts").alias("n")))
         if k == max_words:      # no longer phrase needs its occurrences
-            named = counted.groupBy("lang", "a", "b").agg(F.sum("n").alias("f"), F.min("own").alias("gid")).filter(F.col("f") >= min_count)
+            named = counted.groupBy("lang", "a", "lane", "b").agg(F.sum("n").alias("f"), F.min("own").alias("gid")).filter(F.col("f") >= min_count)
         else:
-            found = _frequent(counted.drop("lang"), ["a", "b"], min_count)
-            relation = kept(relation.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keep_phrases, _RELATION), str(k))
+            found = _frequent(counted.drop("lang"), ["a", "lane", "b"], min_count)
+            relation = kept(relation.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keeping(lane), _RELATION), str(k))
             named = _named(relation)
         levels.append(kept(_longer(named, levels[-1]), f"phrases{k}"))
     return sizes, levels
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, block_bytes: int = BLOCK_BYTES, lane: int = LANE) -> DataFrame:
     """Per language the `top` phrases of 2 to `max_words` words by score: lang, rank, phrase, a (its count), l, r (counts of the parts of its weakest
     cut), n (all words), score. A phrase that a longer one contains each time it occurs is left to that one."""
-    sizes, levels = frequent_phrases(docs, min_count, max_words)
+    sizes, levels = frequent_phrases(docs, min_count, max_words, block_bytes, lane)
     candidates = None
     for phrases, longer in zip(levels[1:], [*levels[2:], None]):
         if longer is not None:

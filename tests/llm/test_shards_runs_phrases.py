@@ -183,14 +183,13 @@ def brute_phrases(rows: list[tuple], least: int, most: int, top: int) -> list[tu
 
 
 @pytest.mark.parametrize("least,most,top", [(3, 5, 2000), (2, 3, 4), (6, 2, 50)])
-def test_phrases_equal_brute_force(spark, monkeypatch, least, most, top):
+def test_phrases_equal_brute_force(spark, least, most, top):
     rng = random.Random(9)
     vocabulary = ["the", "The", "new", "york", "ñu", "\U0001f600", "x=1", "of", "a", "don't"]
     rows = [("".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\t", ", ", "\n", "...", " ! "]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None, "und"])) for _ in range(60)]
     rows += [(None, "en"), ("", None), (" ,. \t", "fr"), ("new york new york new york new york", "en"), ("in the new york of a", "en")]
-    monkeypatch.setattr(collocations, "BLOCK_BYTES", 500)
     docs = spark.createDataFrame([(t, g, 1) for t, g in rows], "text string, lang string, score int").repartition(3)
-    got = sorted(tuple(r) for r in collocations.collocations(docs, least, most, top).collect())
+    got = sorted(tuple(r) for r in collocations.collocations(docs, least, most, top, block_bytes=500, lane=20).collect())
     assert got == brute_phrases(rows, least, most, top) and len(got) > 5
 
 
