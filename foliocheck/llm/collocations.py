@@ -7,8 +7,8 @@ apart are one phrase of a word more. Its phrases are counted by groups, and the
 Layout. Occurrences stay where their texts were read: a row of a relation is a block of about BLOCK_BYTES of text of one language, its sorted
 positions and local phrase numbers packed as columns (`_pack`); the merge join runs inside blocks as array operations. What moves is one entry per
 (block, phrase) with a count: to the groups by phrase, and the frequent ones back to their blocks by a cogroup. So a word that is found
-everywhere makes one entry per block, nothing is broadcast, and a task holds one block at a time. Entries of joined phrases travel in lists by
-their first part; a first part found more than LANE times is dealt to lanes by the second, so that no list head gathers a large share. Phrases are named by the block and number of
+everywhere makes one entry per block, nothing is broadcast, and a task holds one block at a time. Entries of joined phrases travel as lists, one per
+block and bucket of first parts; a first part found more than LANE times is dealt to several buckets by the second. Phrases are named by the block and number of
 one of their occurrences (`gid`), not by hashes: counts are exact. A frequent phrase carries the counts of all its first and last parts, handed
 on from the phrases it is joined from, so that scores need no further look-up.
 
@@ -41,11 +41,12 @@ BLOCK_BYTES = 8 << 20
 _BLOCK_BITS, _LOCAL_BITS = 18, 25
 _LANES = 64
 LANE = 1 << 20
+BUCKETS = 1 << 13
 
 _FIRST = "block bigint, lang string, pos binary, ids binary, words array<string>, counts array<bigint>"
 _RELATION = ("block bigint, lang string, pos binary, ids binary, gid array<bigint>, f array<bigint>, "
              "named array<struct<gid:bigint,f:bigint,a:bigint,b:bigint,word:string>>")
-_PAIRS = "block bigint, lang string, a bigint, lane int, start bigint, b array<bigint>, counts array<bigint>"
+_PAIRS = "block bigint, lang string, bucket bigint, start bigint, a array<bigint>, b array<bigint>, counts array<bigint>"
 _NAMED = pa.struct([(c, pa.int64()) for c in ("gid", "f", "a", "b")] + [("word", pa.string())])
 
 
@@ -97,19 +98,22 @@ def _tokenize(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[p
                 n_blocks += 1
 
 
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
 def _adjacent(pos: np.ndarray, ids: np.ndarray, gid: np.ndarray, f: np.ndarray, lane: int) -> tuple[np.ndarray, ...]:
-    """Merge join of a sorted relation with itself one position on: (positions, local numbers of the joined phrases; first part, lane, second part and
-    count of each phrase). Phrases are numbered by first part, lane and second part."""
+    """Merge join of a sorted relation with itself one position on: (positions, local numbers of the joined phrases; bucket, first part, second part and
+    count of each phrase). Phrases are numbered by bucket, first part and second part."""
     here = np.flatnonzero(np.diff(pos) == 1)
     width = len(gid) or 1
     pairs, numbers, counts = np.unique(ids[here] * width + ids[here + 1], return_inverse=True, return_counts=True)
     first, second = pairs // width, pairs % width
-    lanes = 1 + f[first] // lane
-    spread = (gid[second].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % lanes
-    order = np.lexsort((second, spread, first))
+    bucket = _mixed(gid[first] + _mixed(gid[second]) % (1 + f[first] // lane)) % BUCKETS
+    order = np.lexsort((second, first, bucket))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return pos[here], place[numbers], gid[first[order]], spread[order], gid[second[order]], counts[order]
+    return pos[here], place[numbers], bucket[order], gid[first[order]], gid[second[order]], counts[order]
 
 
 def _relation(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, ...]:
@@ -121,12 +125,12 @@ def _relation(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, ...]
 def _pairs(batches: Iterator[pa.RecordBatch], lane_size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            _, _, first, lane, second, counts = _adjacent(*_relation(batch, i), lane_size)
-            head = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (lane[1:] != lane[:-1])])) if len(first) else np.empty(0, np.int64)
-            ends = np.concatenate([head, [len(first)]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("block")[i], len(head)), pa.repeat(batch.column("lang")[i], len(head)), pa.array(first[head]), pa.array(lane[head].astype(np.int32)),
-                                              pa.array(head), *[pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (second, counts)]],
-                                             ["block", "lang", "a", "lane", "start", "b", "counts"])
+            _, _, bucket, first, second, counts = _adjacent(*_relation(batch, i), lane_size)
+            head = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.concatenate([head, [len(bucket)]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("block")[i], len(head)), pa.repeat(batch.column("lang")[i], len(head)), pa.array(bucket[head]), pa.array(head),
+                                              *[pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (first, second, counts)]],
+                                             ["block", "lang", "bucket", "start", "a", "b", "counts"])
 
 
 def _semi_join(block: int, lang: str, pos: np.ndarray, numbers: np.ndarray, frequent: pa.Table, parts: tuple[np.ndarray, np.ndarray] | None, words: pa.Array | None) -> pa.Table:
@@ -161,7 +165,7 @@ def _keep_words(rows: pa.Table, frequent: pa.Table) -> pa.Table:
 def _keep_phrases(rows: pa.Table, frequent: pa.Table, lane_size: int) -> pa.Table:
     if not rows.num_rows or not frequent.num_rows:
         return _NONE
-    pos, numbers, first, _, second, _ = _adjacent(*_relation(rows, 0), lane_size)
+    pos, numbers, _, first, second, _ = _adjacent(*_relation(rows, 0), lane_size)
     return _semi_join(rows.column("block")[0].as_py(), rows.column("lang")[0].as_py(), pos, numbers, frequent, (first, second), None)
 
 
@@ -214,14 +218,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     relation = kept(tokens.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keep_words, _RELATION), "1")
     levels = [kept(_named(relation).select("gid", "lang", F.col("word").alias("phrase"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"), "a", "b"), "phrases1")]
     for k in range(2, max_words + 1):
-        # The lists move and are opened behind the exchange, where their heads already lie together.
-        lists = relation.mapInArrow(partial(_pairs, lane_size=lane), _PAIRS).repartition("a", "lane")
-        counted = (lists.select("block", "lang", "a", "lane", "start", F.posexplode(F.arrays_zip("b", "counts")).alias("j", "w"))
-                   .withColumn("i", F.col("start") + F.col("j")).select(_own(), "lang", "a", "lane", F.col("w.b").alias("b"), F.col("w.counts").alias("n")))
+        # The lists move and are opened behind the exchange, where their buckets already lie together.
+        lists = relation.mapInArrow(partial(_pairs, lane_size=lane), _PAIRS).repartition("bucket")
+        counted = (lists.select("block", "lang", "bucket", "start", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("j", "w"))
+                   .withColumn("i", F.col("start") + F.col("j")).select(_own(), "lang", "bucket", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.counts").alias("n")))
         if k == max_words:      # no longer phrase needs its occurrences
-            named = counted.groupBy("lang", "a", "lane", "b").agg(F.sum("n").alias("f"), F.min("own").alias("gid")).filter(F.col("f") >= min_count)
+            named = counted.groupBy("lang", "bucket", "a", "b").agg(F.sum("n").alias("f"), F.min("own").alias("gid")).filter(F.col("f") >= min_count)
         else:
-            found = _frequent(counted.drop("lang"), ["a", "lane", "b"], min_count)
+            found = _frequent(counted.drop("lang"), ["bucket", "a", "b"], min_count)
             relation = kept(relation.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keeping(lane), _RELATION), str(k))
             named = _named(relation)
         levels.append(kept(_longer(named, levels[-1]), f"phrases{k}"))
