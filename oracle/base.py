@@ -16,21 +16,22 @@ def view(name: str, sql: str) -> None:
 def compose(body: str) -> str:
     """Prefix `body` with every view it names, in dependency order."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(sql: str) -> None:
         for name in VIEWS:
-            if name not in order and re.search(rf"\b{name}\b", sql):
+            if name not in seen and re.search(rf"\b{name}\b", sql):
+                seen.add(name)          # before its own SQL, which may name it: a recursive view
                 need(VIEWS[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
     need(body)
-    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith(('_rw', '_p', '_m3', '_gr')) else ''}({VIEWS[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith(('_rw', '_p', '_m3', '_gr', '_mat')) else ''}({VIEWS[n]})" for n in order)
     body = body.strip()
     if not ctes:
         return body
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"WITH RECURSIVE {ctes},\n{body[5:]}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
 
 
 def _cols(columns):

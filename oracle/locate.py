@@ -16,14 +16,48 @@ def cs_tokens(c):
     return tokens(c).replace("lower(", "(", 1)
 
 
-def ranked(name, words, source):
+KEY = "book_id, page_number"
+
+
+def peeled(p):
+    """View {p}_ord_mat (keys, part, word_idx, ord) over {p}_parts: while words are left, the first from the top leads a line and takes all level with it."""
+    view(f"{p}_peel", f"""SELECT {KEY}, part, word_idx, x, y, h, 0 AS line FROM {p}_parts UNION ALL
+      SELECT {KEY}, part, word_idx, x, y, h, line + 1 FROM (SELECT *, first_value(y + h / 2) OVER w AS lead_mid, first_value(h) OVER w AS lead_h FROM {p}_peel
+        WINDOW w AS (PARTITION BY {KEY}, part ORDER BY y, x, word_idx)) WHERE abs(y + h / 2 - lead_mid) > greatest(3.0::DOUBLE, 0.55::DOUBLE * least(h, lead_h))""")
+    view(f"{p}_ord_mat", f"""SELECT {KEY}, part, word_idx, x, y, h, row_number() OVER (PARTITION BY {KEY}, part ORDER BY line, x, word_idx) - 1 AS ord
+      FROM (SELECT {KEY}, part, word_idx, x, y, h, max(line) AS line FROM {p}_peel GROUP BY ALL)""")
+
+
+def streams(p, words, grp="NULL"):
+    """View {p}_st_mat (keys, stream, ord, word_idx): the reading orders of each page of a words view."""
+    view(f"{p}_box", f"SELECT {KEY}, word_idx, xmin AS x, ymin AS y, xmax - xmin AS w, ymax - ymin AS h, {grp} AS grp FROM {words}")
+    view(f"{p}l_parts", f"SELECT *, 1 AS part FROM {p}_box")
+    peeled(f"{p}l")
+    view(f"{p}_gap", f"""SELECT {KEY}, ord, CAST(floor((x + w + nx) / 40 + 0.5) * 20 AS INT) AS cut FROM (SELECT o.*, b.w, lead(o.x) OVER n AS nx, lead(o.y) OVER n AS ny, lead(o.h) OVER n AS nh
+      FROM {p}l_ord_mat o JOIN {p}_box b USING (book_id, page_number, word_idx) WINDOW n AS (PARTITION BY {KEY} ORDER BY ord)) WHERE abs(y - ny) < greatest(h, nh) AND nx - x - w > 35""")
+    view(f"{p}_cut", f"""SELECT {KEY}, cut, row_number() OVER (PARTITION BY {KEY} ORDER BY count(*) DESC, min(ord)) AS turn FROM (SELECT * FROM {p}_gap WHERE cut > 180 AND cut < 820
+      UNION ALL SELECT DISTINCT {KEY}, -1, 500 FROM {p}_box) GROUP BY {KEY}, cut QUALIFY turn <= 6""")
+    view(f"{p}_par", f"""SELECT *, 1 + dense_rank() OVER (PARTITION BY {KEY} ORDER BY first) AS part FROM (SELECT *, min(word_idx) OVER (PARTITION BY {KEY}, grp) AS first FROM {p}_box WHERE grp IS NOT NULL)""")
+    view(f"{p}c_parts", f"""SELECT {KEY}, word_idx, x, y, h, part FROM {p}_par UNION ALL
+      SELECT {KEY}, word_idx, x, y, h, coalesce(last, 1) + 2 * turn - 1 + CASE WHEN x + w / 2 >= cut THEN 1 ELSE 0 END FROM {p}_box JOIN {p}_cut USING (book_id, page_number)
+      LEFT JOIN (SELECT {KEY}, max(part) AS last FROM {p}_par GROUP BY ALL) USING (book_id, page_number)""")
+    peeled(f"{p}c")
+    view(f"{p}_st_mat", f"""SELECT {KEY}, 0 AS stream, row_number() OVER (PARTITION BY {KEY} ORDER BY word_idx) - 1 AS ord, word_idx FROM {p}_box
+      UNION ALL SELECT {KEY}, part, ord, word_idx FROM {p}l_ord_mat UNION ALL SELECT {KEY}, part, ord, word_idx FROM {p}c_ord_mat""")
+
+
+def ranked(name, words, source, orders=None):
+    """Views {name}_rw (words by rank in each reading order, or as stored) and {name}_pt (their tokens)."""
+    placed = f"{words} JOIN {orders}_st_mat USING (book_id, page_number, word_idx)" if orders else f"(SELECT *, 0 AS stream, word_idx AS ord FROM {words})"
     view(f"{name}_rw", f"""SELECT *, CAST(sum(n_tok) OVER w - n_tok AS BIGINT) AS tok_start, row_number() OVER w AS rank FROM
-      (SELECT *, {source} AS src, len(toks) AS n_tok FROM (SELECT *, {cs_tokens('str')} AS toks FROM {words}))
-      WINDOW w AS (PARTITION BY book_id, page_number ORDER BY word_idx)""")
-    view(f"{name}_pt", f"""SELECT book_id, page_number, rank, tok_start + unnest(range(len(toks))) AS pos, unnest(toks) AS tok_cs FROM {name}_rw""")
+      (SELECT *, {source} AS src, len(toks) AS n_tok FROM (SELECT *, {cs_tokens('str')} AS toks FROM {placed}))
+      WINDOW w AS (PARTITION BY book_id, page_number, stream ORDER BY ord)""")
+    view(f"{name}_pt", f"""SELECT book_id, page_number, stream, rank, tok_start + unnest(range(len(toks))) AS pos, unnest(toks) AS tok_cs FROM {name}_rw""")
 
 
-ranked("nat", "words_v", "'pdf_text'")
+streams("nato", "words_v")
+ranked("nat0", "words_v", "'pdf_text'")
+ranked("nat", "words_v", "'pdf_text'", "nato")
 
 
 def locate(p, quotes, rw, starts=None):
@@ -32,24 +66,24 @@ def locate(p, quotes, rw, starts=None):
     view(f"{p}_qt", rf"""SELECT fid, book_id, page_number, k, unnest(q) AS q_cs, unnest(range(k)) AS j FROM
       (SELECT *, len(q) AS k FROM (SELECT *, {cs_tokens('quote')} AS q FROM {quotes}))
       WHERE k > 0 AND NOT (k = 1 AND regexp_matches(q[1], '^\d+$') AND NOT allow_numeric)""")
-    view(f"{p}_s", starts or f"""SELECT fid, q.book_id, q.page_number, pos - j AS start, min(rank) AS first, max(rank) AS last,
+    view(f"{p}_s", starts or f"""SELECT fid, q.book_id, q.page_number, t.stream, pos - j AS start, min(rank) AS first, max(rank) AS last,
       count(*) FILTER (WHERE q_cs = tok_cs) = max(k) AS case_exact, true AS exact, 1.0::DOUBLE AS score
       FROM {p}_qt q JOIN {base}_pt t ON t.book_id = q.book_id AND t.page_number = q.page_number AND lower(t.tok_cs) = lower(q.q_cs)
-      GROUP BY fid, q.book_id, q.page_number, pos - j HAVING count(*) = max(k)""")
-    joins = " ".join(f"LEFT JOIN {base}_rw {a}{i} ON {a}{i}.book_id = s.book_id AND {a}{i}.page_number = s.page_number AND {a}{i}.rank = s.{c} {o} {i}"
+      GROUP BY fid, q.book_id, q.page_number, t.stream, pos - j HAVING count(*) = max(k)""")
+    joins = " ".join(f"LEFT JOIN {base}_rw {a}{i} ON {a}{i}.book_id = s.book_id AND {a}{i}.page_number = s.page_number AND {a}{i}.stream = s.stream AND {a}{i}.rank = s.{c} {o} {i}"
                      for a, c, o in (("l", "first", "-"), ("r", "last", "+")) for i in (1, 2, 3))
     view(f"{p}_n", f"""SELECT s.*, CASE WHEN coalesce(l1.n_tok, 1) <> 0 THEN 0 WHEN coalesce(l2.n_tok, 1) <> 0 THEN 1 WHEN coalesce(l3.n_tok, 1) <> 0 THEN 2 ELSE 3 END AS nl,
       CASE WHEN coalesce(r1.n_tok, 1) <> 0 THEN 0 WHEN coalesce(r2.n_tok, 1) <> 0 THEN 1 WHEN coalesce(r3.n_tok, 1) <> 0 THEN 2 ELSE 3 END AS nr FROM {p}_s s {joins}""")
-    view(f"{p}_g", f"""SELECT g.fid, g.start, g.i, g.j, string_agg(w.str, ' ' ORDER BY w.rank) AS txt FROM
+    view(f"{p}_g", f"""SELECT g.fid, g.stream, g.start, g.i, g.j, string_agg(w.str, ' ' ORDER BY w.rank) AS txt FROM
       (SELECT *, unnest(range(nr + 1)) AS j FROM (SELECT *, unnest(range(nl + 1)) AS i FROM {p}_n)) g
-      JOIN {base}_rw w ON w.book_id = g.book_id AND w.page_number = g.page_number AND w.rank BETWEEN g.first - g.i AND g.last + g.j GROUP BY ALL""")
-    view(f"{p}_k", f"""SELECT g.fid, g.start, min(i * 10 + j) AS ij FROM {p}_g g JOIN {quotes} q ON q.fid = g.fid AND contains(g.txt, {squash('q.quote')}) GROUP BY ALL""")
-    view(f"{p}_w", f"""SELECT n.fid, n.book_id, n.page_number, n.start, n.case_exact, n.exact, n.score, k.ij IS NOT NULL AS literal_exact, w.rank, w.xmin, w.ymin, w.xmax, w.ymax,
-      w.text_start, w.text_end, w.src FROM {p}_n n LEFT JOIN {p}_k k ON k.fid = n.fid AND k.start = n.start
-      JOIN {base}_rw w ON w.book_id = n.book_id AND w.page_number = n.page_number AND w.rank BETWEEN n.first - coalesce(k.ij, 0) // 10 AND n.last + coalesce(k.ij, 0) % 10""")
+      JOIN {base}_rw w ON w.book_id = g.book_id AND w.page_number = g.page_number AND w.stream = g.stream AND w.rank BETWEEN g.first - g.i AND g.last + g.j GROUP BY ALL""")
+    view(f"{p}_k", f"""SELECT g.fid, g.stream, g.start, min(i * 10 + j) AS ij FROM {p}_g g JOIN {quotes} q ON q.fid = g.fid AND contains(g.txt, {squash('q.quote')}) GROUP BY ALL""")
+    view(f"{p}_w", f"""SELECT n.fid, n.book_id, n.page_number, n.stream, n.start, n.case_exact, n.exact, n.score, k.ij IS NOT NULL AS literal_exact, w.rank, w.xmin, w.ymin, w.xmax, w.ymax,
+      w.text_start, w.text_end, w.src FROM {p}_n n LEFT JOIN {p}_k k ON k.fid = n.fid AND k.stream = n.stream AND k.start = n.start
+      JOIN {base}_rw w ON w.book_id = n.book_id AND w.page_number = n.page_number AND w.stream = n.stream AND w.rank BETWEEN n.first - coalesce(k.ij, 0) // 10 AND n.last + coalesce(k.ij, 0) % 10""")
     view(f"{p}_f", f"""SELECT *, first_value(xmin) OVER w AS sx, lag(xmin) OVER w AS px0, lag(xmax) OVER w AS px1, lag(ymin) OVER w AS py0, lag(ymax) OVER w AS py1,
-      lag(text_end) OVER w AS pe, lag(src) OVER w AS ps FROM {p}_w WINDOW w AS (PARTITION BY fid, start ORDER BY rank)""")
-    view(f"{p}_c", f"""SELECT fid, book_id, page_number, start, case_exact, exact, score, literal_exact, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax,
+      lag(text_end) OVER w AS pe, lag(src) OVER w AS ps FROM {p}_w WINDOW w AS (PARTITION BY fid, stream, start ORDER BY rank)""")
+    view(f"{p}_c", f"""SELECT fid, book_id, page_number, stream, start, case_exact, exact, score, literal_exact, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax,
       arg_min(text_start, rank) AS text_start, arg_max(text_end, rank) AS text_end, CASE WHEN bool_and(src = 'ocr_text') THEN 'ocr_text' ELSE 'pdf_text' END AS source,
       bool_and(px0 IS NULL
        OR (abs(ymin - py0) <= tall * .65 AND xmin >= px0 - 3 AND xmin - px1 <= greatest(50, tall * 4))
@@ -57,12 +91,13 @@ def locate(p, quotes, rw, starts=None):
        OR (src = 'pdf_text' AND ps = 'pdf_text' AND text_start >= pe AND text_start - pe <= 3 AND
            sqrt(pow(greatest(0, xmin - px1, px0 - xmax), 2) + pow(greatest(0, ymin - py1, py0 - ymax), 2)) <= greatest(15, 4 * least(px1 - px0, py1 - py0, xmax - xmin, ymax - ymin)))) AS continuous
       FROM (SELECT *, greatest(ymax - ymin, py1 - py0, 3) AS tall FROM {p}_f) GROUP BY ALL""")
-    view(f"{p}_p", f"""SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY fid ORDER BY exact DESC, score DESC, ymin, xmin, start) AS place FROM (
-      SELECT *, row_number() OVER (PARTITION BY fid, round(xmin, 3), round(ymin, 3), round(xmax, 3), round(ymax, 3) ORDER BY start) AS rn FROM {p}_c WHERE continuous AND xmax > xmin AND ymax > ymin) WHERE rn = 1""")
+    view(f"{p}_p", f"""SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY fid ORDER BY exact DESC, score DESC, ymin, xmin, stream, start) AS place FROM (
+      SELECT *, row_number() OVER (PARTITION BY fid, round(xmin, 3), round(ymin, 3), round(xmax, 3), round(ymax, 3) ORDER BY stream, start) AS rn FROM {p}_c WHERE continuous AND xmax > xmin AND ymax > ymin) WHERE rn = 1""")
 
 
 view("fq_v", f"SELECT uid AS fid, book_id, page_number, quote, source = 'linter' AS allow_numeric FROM findings_v WHERE {TEXTUAL}")
-locate("lq", "fq_v", "nat")
+locate("lq", "fq_v", "nat0")
+locate("la", "fq_v", "nat")
 
 
 def ground(p, findings, rw):
@@ -92,7 +127,7 @@ def ground(p, findings, rw):
 
 
 ground("g9", "findings_v", "nat")
-ranked("nat10", "native10_v", "'pdf_text'")
+ranked("nat10", "native10_v", "'pdf_text'", "nato")
 view("native10_v", "SELECT * FROM words_v WHERE page_number % 10 <> 7")
 ground("g10", "findings_v", "nat10")
 view("base10_v", "SELECT book_id, page_number, max(text_end) + 1 AS base FROM native10_v GROUP BY ALL")
@@ -100,7 +135,8 @@ view("retry10_v", f"""SELECT f.* REPLACE (CASE WHEN f.box_source = 'ai' THEN 'ai
   WHERE {TEXTUAL.replace('quote', 'f.quote').replace('type', 'f.type')} AND len({tokens('f.quote')}) > 0 AND NOT {MEASURED.replace('box_source', 'g.box_source')}""")
 view("shift10_v", """SELECT w.* REPLACE (text_start + coalesce(base, 1) AS text_start, text_end + coalesce(base, 1) AS text_end) FROM ocr_words_v w
   LEFT JOIN base10_v b ON b.book_id = w.book_id AND b.page_number = w.page_number""")
-ranked("ocr10", "shift10_v", "'ocr_text'")
+streams("ocro", "ocr_words_v", "concat(block_id, ':1')")
+ranked("ocr10", "shift10_v", "'ocr_text'", "ocro")
 ground("h10", "retry10_v", "ocr10")
 
 view("typo_v", """SELECT concat('q', doc_id) AS fid, book_id, page_number, false AS allow_numeric, CASE WHEN doc_id % 2 = 0 THEN 'the part will Complte the figure'
@@ -109,11 +145,11 @@ view("typo_v", """SELECT concat('q', doc_id) AS fid, book_id, page_number, false
 
 def fuzzy(p, rw):
     sim = "CASE WHEN lower(q_cs) = lower(tok_cs) THEN 1.0::DOUBLE WHEN greatest(length(q_cs), length(tok_cs)) > 100 THEN 0 ELSE 1 - levenshtein(lower(q_cs), lower(tok_cs)) / greatest(length(q_cs), length(tok_cs)) END"
-    return f"""SELECT fid, book_id, page_number, start, first, last, case_exact, worst = 1 AS exact, score FROM (
-      SELECT fid, book_id, page_number, start, min(rank) AS first, max(rank) AS last, avg(sim) AS score, min(sim) AS worst, count(*) AS n, max(k) AS k, count(*) FILTER (WHERE q_cs = tok_cs) = max(k) AS case_exact FROM (
-       SELECT fid, q.book_id, q.page_number, k, q_cs, tok_cs, rank, pos - j AS start, {sim} AS sim FROM {p}_qt q JOIN {rw}_pt t ON t.book_id = q.book_id AND t.page_number = q.page_number
+    return f"""SELECT fid, book_id, page_number, stream, start, first, last, case_exact, worst = 1 AS exact, score FROM (
+      SELECT fid, book_id, page_number, stream, start, min(rank) AS first, max(rank) AS last, avg(sim) AS score, min(sim) AS worst, count(*) AS n, max(k) AS k, count(*) FILTER (WHERE q_cs = tok_cs) = max(k) AS case_exact FROM (
+       SELECT fid, q.book_id, q.page_number, stream, k, q_cs, tok_cs, rank, pos - j AS start, {sim} AS sim FROM {p}_qt q JOIN {rw}_pt t ON t.book_id = q.book_id AND t.page_number = q.page_number
        WHERE k >= 2 AND least(length(q_cs), length(tok_cs)) >= greatest(length(q_cs), length(tok_cs)) * .8) WHERE sim >= .8
-      GROUP BY fid, book_id, page_number, start) WHERE n = k AND (worst = 1 OR score >= .9)"""
+      GROUP BY fid, book_id, page_number, stream, start) WHERE n = k AND (worst = 1 OR score >= .9)"""
 
 
 locate("ty", "typo_v", "nat", fuzzy("ty", "nat"))
@@ -142,6 +178,8 @@ D10 = "book_id, page_number, seq, rule_id, type, severity, quote, suggestion, xm
 ORACLES = {
     "j6_continuous": compose("SELECT fid, CAST(start AS BIGINT) AS start, literal_exact, continuous FROM lq_c"),
     "j7_locate_phrases": compose(f"SELECT fid, case_exact, literal_exact, {R6}, text_start, text_end, CAST(place AS INT) AS place FROM lq_p"),
+    "j5_reading_streams": compose("SELECT book_id, page_number, CAST(stream AS INT) AS stream, CAST(ord AS INT) AS ord, CAST(word_idx AS INT) AS word_idx FROM ocro_st_mat"),
+    "j7_locate_phrases_all_orders": compose(f"SELECT fid, case_exact, literal_exact, {R6}, text_start, text_end, CAST(place AS INT) AS place FROM la_p"),
     "j8_fuzzy_locate": compose(f"SELECT fid, exact, round(score, 6) AS score, {R6}, text_start, text_end, CAST(place AS INT) AS place FROM ty_p"),
     "j9_ground_findings": compose(f"SELECT {GO} FROM g9_out"),
     "j10_ground_with_fallback": compose(f"""SELECT {GO} FROM (SELECT g.* FROM g10_out g ANTI JOIN retry10_v r ON r.uid = g.uid UNION ALL SELECT * FROM h10_out)"""),
