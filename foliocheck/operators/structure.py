@@ -1,13 +1,10 @@
 """Book structure: headings, printed contents, openers, chapters and their pages."""
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliocheck import constants as C
-from foliocheck.session import ship_package
+from foliocheck.session import cut_lineage
 from foliocheck.functions import digits as N, text as T
 from foliocheck.operators import layout_rules as LR
 
@@ -149,8 +146,8 @@ def chapter_bounds(books: DataFrame, starts: DataFrame) -> DataFrame:
         "chapter_key", chapter_key(F.col("page"), F.col("name"))).drop("page_count")
 
 
-def infer_chapters(books: DataFrame, pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Chapters of every book from observed headings and, with words, printed contents and openers."""
+def infer_chapters(books: DataFrame, pages: DataFrame, words: DataFrame | None = None, bookmarks: DataFrame | None = None) -> DataFrame:
+    """Chapters of every book from observed headings and, with words, printed contents and openers, and, with `bookmarks` (of `bookmark_chapters`), from those."""
     seen = observed_headings(pages, words)
     order = F.col("page").cast("bigint") * 100000 + F.col("line_no")
     cand = seen.withColumn("ord", order)
@@ -158,6 +155,8 @@ def infer_chapters(books: DataFrame, pages: DataFrame, words: DataFrame | None =
         contents = pages.filter(T.is_contents_page(F.col("text"))).select(*PAGE)
         opened = toc_openers(words, all_toc(pages, words, contents), contents, seen.filter("unit <> ''"))
         cand = cand.unionByName(opened.withColumn("ord", order + 100000000000))
+    if bookmarks is not None:
+        cand = cand.unionByName(bookmarks.withColumn("ord", F.col("ord") - 100000000000), allowMissingColumns=True)
     return chapter_bounds(books, best_start_per_page(cand))
 
 
@@ -215,36 +214,41 @@ def running_unit(pages: DataFrame, headers: DataFrame) -> DataFrame:
     return u.withColumn("u", F.last("unit", ignorenulls=True).over(w)).filter("kind = 1").select(*PAGE, F.coalesce("u", F.lit("")).alias("unit"))
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first order of one book's bookmarks; a unit covers its children and later siblings."""
-    kids: dict = {}
-    for r in pdf.sort_values(["ord", "node_id"]).itertuples():
-        kids.setdefault(None if pd.isna(r.parent_id) else int(r.parent_id), []).append(r)
-    out, stack = [], [(iter(kids.get(None, [])), [""])]
-    while stack:
-        nodes, unit = stack[-1]
-        node = next(nodes, None)
-        if node is None:
-            stack.pop()
-            continue
-        title = (node.title or "").strip()
-        if re.match(r"(?:Unit\b|इकाई)", title, re.I):
-            unit[0] = title
-        if title:
-            out.append((node.book_id, len(out), int(node.node_id), title, None if pd.isna(node.page) else int(node.page), unit[0]))
-        if int(node.node_id) in kids:
-            stack.append((iter(kids[int(node.node_id)]), [unit[0]]))
-    df = pd.DataFrame(out, columns=["book_id", "place", "node_id", "title", "page", "unit"])
-    df["page"] = df["page"].astype("Int32")
-    return df
+def outline_paths(outline: DataFrame) -> DataFrame:
+    """Every bookmark with its path from the root, whose order is the reading order, its unit, and why it has no place, if so.
+
+    A unit title covers its later siblings and all that lies below them. Paths grow by doubling: each round a row takes over the path, the unit and
+    the parent of the row it hangs on, so a tree of depth d takes log2(d) joins. (A recursive query would stop at a million rows of all books.)
+    `reject` is `no parent` under a bookmark that does not exist and `cycle` for bookmarks that hang on themselves and all below them.
+    """
+    title = T.strip(F.coalesce("title", F.lit("")))
+    scope = W.partitionBy("book_id", "parent_id").orderBy("ord", "node_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    step = F.concat(*[F.lpad((F.col(c).cast("bigint") + 2147483648).cast("string"), 10, "0") for c in ("ord", "node_id")])
+    rows = outline.select("book_id", "node_id", title.alias("title"), "page", F.col("parent_id").alias("up"), step.alias("step"), step.alias("path"),
+                          F.last(F.when(title.rlike(r"(?i)^(?:Unit\b|इकाई)"), title), ignorenulls=True).over(scope).alias("unit"))
+    there = outline.select("book_id", F.col("node_id").alias("up"), F.lit(True).alias("there")).distinct()
+    rows = rows.join(there, ["book_id", "up"], "left").withColumn(
+        "reject", F.when(F.col("up").isNotNull() & F.col("there").isNull(), "no parent").when(F.col("up") == F.col("node_id"), "cycle")).drop("there")
+    while True:
+        rows = cut_lineage(rows)
+        if rows.filter("up IS NOT NULL AND reject IS NULL").isEmpty():
+            return rows.drop("up", "step")
+        above = rows.select("book_id", F.col("node_id").alias("up"), F.col("path").alias("up_path"), F.col("unit").alias("up_unit"), F.col("up").alias("up_up"), F.col("reject").alias("up_reject"))
+        open_ = F.col("reject").isNull() & F.col("up_path").isNotNull()
+        again = F.array_contains(F.split("up_path", "/"), F.col("step"))
+        rows = rows.join(above, ["book_id", "up"], "left").select(
+            "book_id", "node_id", "title", "page", "step", F.when(open_, F.col("up_up")).otherwise(F.col("up")).alias("up"),
+            F.when(open_ & ~again, F.concat_ws("/", "up_path", "path")).otherwise(F.col("path")).alias("path"),
+            F.when(open_, F.coalesce("unit", "up_unit")).otherwise(F.col("unit")).alias("unit"),
+            F.coalesce("reject", F.when(open_ & again, "cycle"), "up_reject").alias("reject"))
 
 
 def flatten_outline(outline: DataFrame, books: DataFrame) -> DataFrame:
-    """Bookmarks in reading order with their unit; `number` and `name` are set for chapters whose
-    page exists. A book's outline is a small tree, so each book is walked on its own."""
-    ship_package(outline.sparkSession)
-    flat = outline.groupBy("book_id").applyInPandas(_walk, "book_id string, place int, node_id int, title string, page int, unit string")
-    j = flat.join(books.select("book_id", "page_count"), "book_id")
+    """Bookmarks in reading order with their unit; `number` and `name` are set for chapters whose page exists. Bookmarks without a title or a place in
+    the tree are left out; `outline_rejects` lists the latter."""
+    order = W.partitionBy("book_id").orderBy("path")
+    flat = outline_paths(outline).filter("reject IS NULL AND title <> ''").withColumn("place", F.row_number().over(order) - 1)
+    j = flat.withColumn("unit", F.coalesce("unit", F.lit(""))).join(books.select("book_id", "page_count"), "book_id")
     page = F.when(F.col("page").between(1, F.col("page_count")), F.col("page"))
     pattern = r"(?i)^(?:Chapter|अध्याय)\s*(\d+|[IVXLCDM]+)\s*[:.-]?\s*(.*)$"
     chapter = page.isNotNull() & F.col("title").rlike(pattern)
@@ -252,6 +256,42 @@ def flatten_outline(outline: DataFrame, books: DataFrame) -> DataFrame:
                     F.when(chapter, F.regexp_extract("title", pattern, 1)).alias("number"), F.when(chapter, F.regexp_extract("title", pattern, 2)).alias("name"))
 
 
+def outline_rejects(outline: DataFrame) -> DataFrame:
+    """Bookmarks that hang on none that exists, or on themselves."""
+    return outline_paths(outline).filter("reject IS NOT NULL").select("book_id", "node_id", "title", "reject")
+
+
+def bookmark_chapters(flat: DataFrame, confidence: float = 1.0) -> DataFrame:
+    """Chapters that the bookmarks name, as starts. A bookmark decides over anything that is seen on its page; Roman numbers count as unnumbered."""
+    return flat.filter("name IS NOT NULL").select(
+        "book_id", "page", F.lit(0).alias("line_no"), F.coalesce(N.number(F.col("number")), F.lit(0)).cast("bigint").alias("number"), "name", "unit",
+        F.lit(confidence).alias("confidence"), F.lit("bookmark").alias("source"), F.col("place").cast("bigint").alias("ord"))
+
+
+def best_start_per_number(starts: DataFrame, books: DataFrame) -> DataFrame:
+    """One start for each chapter number of a book, or for each name and page where there is no number: the highest confidence, the first on ties
+    (`ord`). Pages outside the book do not count."""
+    s = starts.join(books.select("book_id", "page_count"), "book_id").filter("page BETWEEN 1 AND page_count").drop("page_count")
+    number = F.coalesce("number", F.lit(0))
+    key = F.when(number != 0, number.cast("string")).otherwise(F.concat(T.slug(F.col("name")), F.lit("-"), F.col("page").cast("string")))
+    rn = F.row_number().over(W.partitionBy("book_id", key).orderBy(F.col("confidence").desc(), "ord"))
+    return s.withColumn("rn", rn).filter("rn = 1").drop("rn")
+
+
+def numbered_bounds(books: DataFrame, starts: DataFrame) -> DataFrame:
+    """Chapters from one start per number: each lasts to the page before the next, one page at least; a book without starts is one chapter."""
+    none = books.join(starts.select("book_id").distinct(), "book_id", "left_anti").select(
+        "book_id", F.lit(1).alias("page"), F.lit(1).cast("bigint").alias("number"), F.lit("Unclassified book content").alias("name"), F.lit("").alias("unit"),
+        F.lit(0.2).alias("confidence"), F.lit("book_fallback").alias("source"), F.lit(0).cast("bigint").alias("ord"))
+    c = starts.select(none.columns).unionByName(none).join(books.select("book_id", "page_count"), "book_id")
+    order = W.partitionBy("book_id").orderBy("page", "ord")
+    slug = T.slug(F.col("name"))
+    c = c.withColumns({"next": F.lead("page").over(order), "turn": F.row_number().over(order)})
+    return c.select("book_id", F.col("page").alias("start_page"), F.coalesce(F.greatest("page", F.col("next") - 1), "page_count").alias("end_page"), "number", "name", "unit", "confidence", "source",
+                    F.concat_ws("-", F.lit("chapter"), F.when(F.coalesce("number", F.lit(0)) != 0, F.col("number")).otherwise(F.col("turn")).cast("string"),
+                                F.when(slug != "", slug).otherwise(F.col("page").cast("string"))).alias("chapter_key"))
+
+
 def dedupe_toc(toc: DataFrame) -> DataFrame:
     """Contents rows once per title, numbering and page, first seen first."""
     place = F.coalesce("page", "printed_page")

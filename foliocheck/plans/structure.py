@@ -61,8 +61,19 @@ def j4(spark, d):
     return o.drop("line_no")
 
 
+def bookmarks(spark, d, confidence=1.0):
+    return S.bookmark_chapters(S.flatten_outline(corpus.outline(spark, d), corpus.books(spark, d)), confidence)
+
+
+def numbered_starts(spark, d):
+    """Chapter starts of two kinds: bookmarks, and headings in the running text, which are surer."""
+    seen = S.body_headings(corpus.pages(spark, d)).withColumn("ord", F.col("page").cast("bigint") + 1000000)
+    cols = ["book_id", "page", "number", "name", "unit", "confidence", "source", "ord"]
+    return S.best_start_per_number(bookmarks(spark, d, 0.82).select(cols).unionByName(seen.select(cols)), corpus.books(spark, d))
+
+
 def r5(spark, d):
-    c = S.infer_chapters(corpus.books(spark, d), corpus.pages(spark, d), cut_lineage(corpus.words(spark, d)))
+    c = S.infer_chapters(corpus.books(spark, d), corpus.pages(spark, d), cut_lineage(corpus.words(spark, d)), bookmarks(spark, d))
     return c.select("book_id", "start_page", "end_page", "number", "name", "unit", "confidence", "source", "chapter_key")
 
 
@@ -145,7 +156,9 @@ QUERIES = {
     "j3_pair_toc_columns": lambda s, d: S.pair_toc_columns(corpus.words(s, d), contents(s, d)).drop("label"),
     "j4_toc_openers": j4,
     "w1_chapter_bounds": lambda s, d: chapters(s, d).select("book_id", "start_page", "end_page", "name", "source", "chapter_key"),
+    "w1_numbered_bounds": lambda s, d: S.numbered_bounds(corpus.books(s, d), numbered_starts(s, d)),
     "w2_best_start_per_page": w2,
+    "w2_best_start_per_number": lambda s, d: numbered_starts(s, d).select("book_id", "page", "number", "name", "unit", "confidence", "source"),
     "w3_running_unit": lambda s, d: S.running_unit(corpus.pages(s, d, text=False), headers(s, d)),
     "c9_sparse_chapter": lambda s, d: X.sparse_chapter(corpus.pages(s, d), chapters(s, d)).withColumn("avg_chars", F.round("avg_chars", 6)),
     "f6_token_usage": lambda s, d: X.token_usage(corpus.pages(s, d, text=False), chapters(s, d)),

@@ -64,7 +64,8 @@ def openers(units):
 view("open_v", openers("obs_v"))
 view("openw_v", openers("obsw_v"))
 view("cand_full_v", """SELECT book_id, page, number, name, unit, confidence, source, CAST(page AS BIGINT) * 100000 + line_no AS ord FROM obsw_v
-  UNION ALL SELECT book_id, page, number, name, unit, confidence, source, CAST(page AS BIGINT) * 100000 + 100000000000 FROM openw_v""")
+  UNION ALL SELECT book_id, page, number, name, unit, confidence, source, CAST(page AS BIGINT) * 100000 + 100000000000 FROM openw_v
+  UNION ALL SELECT book_id, page, coalesce(TRY_CAST(number AS BIGINT), 0), name, unit, 1.0::DOUBLE, 'bookmark', place - 100000000000 FROM flat_v WHERE name IS NOT NULL""")
 view("chapters_full_v", bounds("cand_full_v"))
 view("outline_v", f"""WITH b AS (SELECT {seeds.book_id('//')} AS book_id, doc_id % 50 + 1 AS p FROM documents)
   SELECT book_id, p * 10 + 1 AS node_id, CAST(NULL AS BIGINT) AS parent_id, p AS ord, CASE WHEN p % 32 = 2 THEN concat('Unit ', p // 16 + 1, ': Thinking') ELSE concat('Part ', p // 16 + 1) END AS title, CAST(NULL AS BIGINT) AS page FROM b WHERE p % 16 = 2
@@ -106,12 +107,19 @@ CARD = """concat('CHAPTER SUMMARY (version chapter-context-v2; pages ', start_pa
    concat('Doubts raised by the chapter:', chr(10), '- Page ', page_number, ' order hypothesis (0.50): late Evidence: line 2') ELSE 'Doubts raised by the chapter: no doubts here' END, chr(10),
   'Ideas and rules: Order', chr(10), 'Aims: Read | Write', chr(10), 'Terms: None', chr(10), 'Who and what:', chr(10), '- Ann: guide; tall; relations: Bob; pages ', page_number, ', 3', chr(10),
   'Order of events: None', chr(10), 'Activities:', chr(10), '- Draw (pages ', page_number, '): practice; alignment: good')"""
+SLUG = rf"substring(regexp_replace(regexp_replace(lower({squash('name')}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 70)"
 BH = r"(?i)(?:^|\s)(?:chapter|ch\.?|अध्याय)\s*(\d+)\s*[:.\-–—]?\s*([^.!?।]{2,90})"
 
-ORACLES = {
-    "r1_body_headings": compose(rf"""SELECT book_id, CAST(regexp_extract(hit, '{BH}', 1) AS BIGINT) AS number, substring(regexp_replace({squash(f"regexp_extract(hit, '{BH}', 2)")}, '\s{{2,}}.*', ''), 1, 90) AS name, page_number AS page, '' AS unit,
+view("body_v", rf"""SELECT book_id, CAST(regexp_extract(hit, '{BH}', 1) AS BIGINT) AS number, substring(regexp_replace({squash(f"regexp_extract(hit, '{BH}', 2)")}, '\s{{2,}}.*', ''), 1, 90) AS name, page_number AS page, '' AS unit,
       0.92::DOUBLE AS confidence, 'body_heading' AS source, 'pdf' AS page_numbering FROM (SELECT *, regexp_extract(top, '{BH}', 0) AS hit FROM (SELECT *, substring({squash('text')}, 1, 500) AS top FROM pages_v))
-      WHERE NOT regexp_matches(top, '(?i)\b(?:table\s+of\s+contents|contents|index|विषय[ -]?सूची)\b') AND hit <> '' AND instr(top, hit) - 1 <= 180"""),
+      WHERE NOT regexp_matches(top, '(?i)\b(?:table\s+of\s+contents|contents|index|विषय[ -]?सूची)\b') AND hit <> '' AND instr(top, hit) - 1 <= 180""")
+view("numbered_v", f"""SELECT book_id, page, number, name, unit, confidence, source, ord FROM (SELECT s.*, row_number() OVER (PARTITION BY s.book_id, CASE WHEN number <> 0 THEN CAST(number AS VARCHAR)
+    ELSE {SLUG} || '-' || page END ORDER BY confidence DESC, ord) AS rn FROM (
+      SELECT book_id, page, coalesce(TRY_CAST(number AS BIGINT), 0) AS number, name, unit, 0.82::DOUBLE AS confidence, 'bookmark' AS source, place AS ord FROM flat_v WHERE name IS NOT NULL
+      UNION ALL SELECT book_id, page, number, name, unit, confidence, source, page + 1000000 FROM body_v) s JOIN books_v b ON b.book_id = s.book_id WHERE page BETWEEN 1 AND page_count) WHERE rn = 1""")
+
+ORACLES = {
+    "r1_body_headings": compose("SELECT * FROM body_v"),
     "r2_observed_headings": compose("SELECT * FROM obsw_v"),
     "r3_printed_toc": compose("SELECT book_id, number, title, printed_page FROM ptoc_v"),
     "r4_flatten_outline": compose("SELECT * EXCLUDE (place) FROM flat_v"),
@@ -128,6 +136,11 @@ ORACLES = {
     "j3_pair_toc_columns": compose("SELECT book_id, page_number, number, title, printed_page FROM pair_v"),
     "j4_toc_openers": compose("SELECT * FROM open_v"),
     "w1_chapter_bounds": compose("SELECT book_id, start_page, end_page, name, source, chapter_key FROM chapters_v"),
+    "w1_numbered_bounds": compose(f"""SELECT book_id, page AS start_page, CAST(coalesce(greatest(page, lead(page) OVER w - 1), page_count) AS INT) AS end_page, number, name, unit, confidence, source,
+      concat('chapter-', CASE WHEN number <> 0 THEN number ELSE row_number() OVER w END, '-', CASE WHEN {SLUG} <> '' THEN {SLUG} ELSE CAST(page AS VARCHAR) END) AS chapter_key
+      FROM (SELECT n.*, page_count FROM (SELECT * FROM numbered_v UNION ALL SELECT book_id, 1, 1, 'Unclassified book content', '', 0.2::DOUBLE, 'book_fallback', 0 FROM books_v ANTI JOIN numbered_v USING (book_id)) n
+        JOIN books_v b ON b.book_id = n.book_id) WINDOW w AS (PARTITION BY book_id ORDER BY page, ord)"""),
+    "w2_best_start_per_number": compose("SELECT book_id, page, number, name, unit, confidence, source FROM numbered_v"),
     "w2_best_start_per_page": compose("SELECT book_id, page, number, name, unit, confidence, source FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY confidence DESC, ord) AS rn FROM cand_text_v) WHERE rn = 1"),
     "w3_running_unit": compose("""SELECT p.book_id, p.page_number, coalesce(arg_max(h.unit, (h.page, h.line_no)), '') AS unit FROM pages_v p LEFT JOIN obs_v h ON h.book_id = p.book_id AND h.unit <> '' AND h.page <= p.page_number GROUP BY ALL"""),
     "c9_sparse_chapter": compose(f"SELECT book_id, chapter_key, round(a, 6) AS avg_chars, a < 180 AS sparse FROM (SELECT book_id, chapter_key, avg(length({squash('text')})) AS a FROM placed_v GROUP BY ALL)"),
