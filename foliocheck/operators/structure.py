@@ -287,7 +287,7 @@ def numbered_bounds(books: DataFrame, starts: DataFrame) -> DataFrame:
     order = W.partitionBy("book_id").orderBy("page", "ord")
     slug = T.slug(F.col("name"))
     c = c.withColumns({"next": F.lead("page").over(order), "turn": F.row_number().over(order)})
-    return c.select("book_id", F.col("page").alias("start_page"), F.coalesce(F.greatest("page", F.col("next") - 1), "page_count").alias("end_page"), "number", "name", "unit", "confidence", "source",
+    return c.select("book_id", F.col("page").alias("start_page"), F.when(F.col("next").isNull(), F.col("page_count")).otherwise(F.greatest("page", F.col("next") - 1)).alias("end_page"), "number", "name", "unit", "confidence", "source",
                     F.concat_ws("-", F.lit("chapter"), F.when(F.coalesce("number", F.lit(0)) != 0, F.col("number")).otherwise(F.col("turn")).cast("string"),
                                 F.when(slug != "", slug).otherwise(F.col("page").cast("string"))).alias("chapter_key"))
 

@@ -29,8 +29,22 @@ EXERCISE = [
     ("then", 100, 138), ("1", 140, 138), ("letter", 156, 138), ("backward", 212, 138),
     ("E", 100, 170), ("I", 150, 170), ("H", 200, 170), ("L", 250, 170), ("K", 300, 170),
     ("+4", 125, 200), ("+1", 175, 200), ("+4", 225, 200), ("+1", 275, 200),
+    # Two columns, stored row by row.
+    ("seek", 100, 60), ("the", 140, 60), ("other", 600, 60), ("words", 648, 60),
+    ("hidden", 100, 75), ("marks", 156, 75), ("stand", 600, 75), ("apart", 648, 75),
 ]
 EXERCISE_PAGES = "doc_id % 23 = 4"
+#: Findings of a model on those pages: a phrase that runs down one column, one that jumps from column to column, and step labels of which only
+#: the letter exercise tells which print is meant.
+EXERCISE_FINDINGS = [("down", "grammar", "seek the hidden marks", "seek the hidden mark"), ("across", "grammar", "the other words hidden", "the other word hidden"),
+                     ("step", "number", "+1", "-1"), ("wrong", "number", "+1", "+9")]
+
+
+def exercise_finding_columns(name: str, kind: str, quote: str, suggestion: str) -> list[str]:
+    boxes = [f"CAST(NULL AS DOUBLE) AS {b}" for b in ("xmin", "ymin", "xmax", "ymax")]
+    return ["book_id", "page_number", "doc_id", f"'{name}' AS rule_id", "CAST(95000000 AS BIGINT) AS seq", f"'{kind}' AS type", "'minor' AS severity", f"'{quote}' AS quote",
+            f"'{suggestion}' AS suggestion", "'' AS explanation", *boxes, "'unverified' AS box_source", "'ai' AS source", "CAST(NULL AS INT) AS text_start",
+            "CAST(NULL AS INT) AS text_end", "CAST(0.9 AS DOUBLE) AS confidence", "'open' AS status", f"concat('{name}-', CAST(doc_id AS VARCHAR(20))) AS uid"]
 
 
 def book_no(div: str) -> str:

@@ -1,6 +1,7 @@
 """Oracle SQL of phrase location and grounding."""
 from oracle.base import view, compose
 from oracle.intake import squash, tokens, MEASURED
+from foliocheck.sources import seeds
 
 TEXTUAL = "trim(quote) <> '' AND type NOT IN ('image','alignment','layout','spacing','overflow')"
 SIGNED = r"regexp_matches(trim(quote), '^[+−-]\d+$')"
@@ -126,7 +127,15 @@ def ground(p, findings, rw):
       UNION ALL SELECT sha256(concat_ws('|', fid, CAST(ms AS VARCHAR), CAST(round(mx0, 3) AS VARCHAR), CAST(round(my0, 3) AS VARCHAR))), book_id, page_number, type, quote, suggestion, mx0, my0, mx1, my1, msrc, ms, me, 'open' FROM {p}_cp""")
 
 
-ground("g9", "findings_v", "nat")
+view("exercise_findings_v", " UNION ALL ".join(f"SELECT {', '.join(seeds.exercise_finding_columns(*f))} FROM pages_v WHERE {seeds.EXERCISE_PAGES}" for f in seeds.EXERCISE_FINDINGS))
+# A signed number takes the labels that the letter exercise proves wrong; each label after the first is a finding of its own.
+view("proved_v", f"""SELECT f.uid AS puid, d.xmin AS px0, d.ymin AS py0, d.xmax AS px1, d.ymax AS py1, d.text_start AS ps, d.text_end AS pe, row_number() OVER (PARTITION BY f.uid ORDER BY d.xmin, d.text_start) AS turn
+  FROM (SELECT * FROM findings_v UNION ALL BY NAME SELECT * FROM exercise_findings_v) f JOIN d8_v d ON d.book_id = f.book_id AND d.page_number = f.page_number AND d.quote = f.quote
+   AND replace(d.suggestion, '−', '-') = replace(f.suggestion, '−', '-') WHERE f.text_start IS NULL AND {SIGNED.replace('quote', 'f.quote')}""")
+view("seeded_v", """SELECT f.* REPLACE (coalesce(px0, xmin) AS xmin, coalesce(py0, ymin) AS ymin, coalesce(px1, xmax) AS xmax, coalesce(py1, ymax) AS ymax, CASE WHEN puid IS NULL THEN box_source ELSE 'pdf_text' END AS box_source,
+    coalesce(ps, text_start) AS text_start, coalesce(pe, text_end) AS text_end, CASE WHEN turn > 1 THEN sha256(concat_ws('|', uid, CAST(ps AS VARCHAR))) ELSE uid END AS uid, CASE WHEN turn > 1 THEN 'open' ELSE status END AS status)
+  FROM (SELECT * FROM findings_v UNION ALL BY NAME SELECT * FROM exercise_findings_v) f LEFT JOIN proved_v ON puid = f.uid""")
+ground("g9", "seeded_v", "nat")
 ranked("nat10", "native10_v", "'pdf_text'", "nato")
 view("native10_v", "SELECT * FROM words_v WHERE page_number % 10 <> 7")
 ground("g10", "findings_v", "nat10")

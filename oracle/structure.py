@@ -136,7 +136,7 @@ ORACLES = {
     "j3_pair_toc_columns": compose("SELECT book_id, page_number, number, title, printed_page FROM pair_v"),
     "j4_toc_openers": compose("SELECT * FROM open_v"),
     "w1_chapter_bounds": compose("SELECT book_id, start_page, end_page, name, source, chapter_key FROM chapters_v"),
-    "w1_numbered_bounds": compose(f"""SELECT book_id, page AS start_page, CAST(coalesce(greatest(page, lead(page) OVER w - 1), page_count) AS INT) AS end_page, number, name, unit, confidence, source,
+    "w1_numbered_bounds": compose(f"""SELECT book_id, page AS start_page, CAST(CASE WHEN lead(page) OVER w IS NULL THEN page_count ELSE greatest(page, lead(page) OVER w - 1) END AS INT) AS end_page, number, name, unit, confidence, source,
       concat('chapter-', CASE WHEN number <> 0 THEN number ELSE row_number() OVER w END, '-', CASE WHEN {SLUG} <> '' THEN {SLUG} ELSE CAST(page AS VARCHAR) END) AS chapter_key
       FROM (SELECT n.*, page_count FROM (SELECT * FROM numbered_v UNION ALL SELECT book_id, 1, 1, 'Unclassified book content', '', 0.2::DOUBLE, 'book_fallback', 0 FROM books_v ANTI JOIN numbered_v USING (book_id)) n
         JOIN books_v b ON b.book_id = n.book_id) WINDOW w AS (PARTITION BY book_id ORDER BY page, ord)"""),

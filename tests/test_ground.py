@@ -118,3 +118,72 @@ def test_merge_passes(spark):
     extra = [word("a", 101, 100, idx=1), word("bb", 200, 100, idx=2), word("bb", 202, 100, idx=3), word("bb", 204, 100, idx=4), word("zz", 500, 500, idx=5)]
     got = E.merge_ocr_passes(spark.createDataFrame(base, WORD_SCHEMA), spark.createDataFrame(extra, WORD_SCHEMA), "sparse").orderBy("word_idx").collect()
     assert [(r.word_idx, r.text_start) for r in got] == [(2, 2), (5, 5)] and got[0].block_id == "sparse:body"
+
+
+def two_columns(page, rows):
+    out, off = [], 0
+    for y, left, right in rows:
+        for x, part in ((100, left), (600, right)):
+            for i, s in enumerate(part.split()):
+                out.append(word(s, x + 70 * i, y, page, offset=off))
+                off += len(s) + 1
+    return out
+
+
+def test_findings_ground_down_a_column(spark):
+    words = spark.createDataFrame(two_columns(1, [(100, "find the", "other words"), (120, "pattern in", "stand here"), (140, "each row", "as well")]), WORD_SCHEMA)
+    fs = [finding("down", 1, "find the pattern in each row", "find a pattern in each row"), finding("across", 1, "the other words stand", "the other word stands")]
+    got = {r.uid: r for r in G.ground_findings(spark.createDataFrame(fs, FINDING), words).collect()}
+    assert got["down"].box_source == "ocr_text" and got["down"].xmax < 500 and got["across"].box_source == "unverified"
+    stored = L.locate_phrases(spark.createDataFrame([("a", "b", 1, "find the pattern in each row")], "fid string, book_id string, page_number int, quote string"), words, all_orders=False)
+    assert stored.collect() == []
+
+
+def test_letter_steps_prove_the_place_of_a_signed_number(spark):
+    words = spark.createDataFrame(native("+1 and +1 and +1", 1), WORD_SCHEMA)
+    steps = [("b", 1, "+1", "-1", 100.0 + 80 * i, 100.0, 116.0 + 80 * i, 110.0, "pdf_text", at, at + 2) for i, at in enumerate((7, 14))]
+    steps = spark.createDataFrame(steps, "book_id string, page_number int, quote string, suggestion string, xmin double, ymin double, xmax double, ymax double, box_source string, text_start int, text_end int")
+    fs = spark.createDataFrame([finding("s", 1, "+1", "−1", "number"), finding("other", 1, "+1", "+2", "number"), finding("placed", 1, "+1", "-1", "number", "linter", 0)], FINDING)
+    rows = G.ground_findings(G.with_letter_steps(fs, steps), words).collect()
+    by = {r.uid: r for r in rows}
+    assert sorted(r.text_start for r in rows if r.uid not in ("other", "placed")) == [7, 14] and by["s"].text_start == 7 and by["s"].box_source == "pdf_text"
+    assert by["other"].box_source == "unverified" and by["placed"].text_start == 0 and len(rows) == 4
+
+
+def test_orders_of_a_page_equal_a_plain_walk(spark):
+    import random
+    rng, rows = random.Random(5), []
+    for page in range(1, 13):
+        for i in range(rng.randint(1, 40)):
+            x, y = rng.choice([60, 90, 300, 520, 700]) + rng.randint(0, 40), rng.randint(0, 20) * 13 + rng.randint(-3, 3)
+            rows.append(word("w", x, y, page, offset=i, block=rng.choice([None, "1", "2"])))
+    df = spark.createDataFrame(rows, WORD_SCHEMA)
+    got = {}
+    for r in streams.reading_streams(df).orderBy("stream", "ord").collect():
+        got.setdefault(r.page_number, {}).setdefault(r.stream, []).append(r.word_idx)
+    pages = {}
+    for r in df.collect():
+        pages.setdefault(r.page_number, []).append(r)
+
+    def lines(ws):
+        left, out = sorted(ws, key=lambda w: (w.ymin, w.xmin, w.word_idx)), []
+        while left:
+            lead = left[0]
+            height = lambda w: w.ymax - w.ymin
+            level = [w for w in left if abs(w.ymin + height(w) / 2 - lead.ymin - height(lead) / 2) <= max(3, 0.55 * min(height(w), height(lead)))]
+            out += sorted(level, key=lambda w: (w.xmin, w.word_idx))
+            left = [w for w in left if w not in level]
+        return out
+    for page, ws in pages.items():
+        ws = sorted(ws, key=lambda w: w.word_idx)
+        want = [ws, lines(ws)]
+        groups = {}
+        for w in ws:
+            if w.block_id:
+                groups.setdefault((w.block_id, w.paragraph_id), []).append(w)
+        want += [lines(g) for g in groups.values()]
+        have = list(got[page].values())
+        assert have[:len(want)] == [[w.word_idx for w in o] for o in want]
+        for left, right in zip(have[len(want)::2], have[len(want) + 1::2]):
+            if len(left) + len(right) == len(ws):
+                assert sorted(left + right) == [w.word_idx for w in ws]

@@ -179,3 +179,53 @@ def test_registry():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
+
+
+OUTLINE = "book_id string, node_id int, parent_id int, ord int, title string, page int"
+
+
+def test_outline_of_ten_thousand_bookmarks_equals_a_walk(spark):
+    import random
+    rng = random.Random(2)
+    rows = [("b", i, None if i < 5 else rng.randrange(max(0, i - 400), i), rng.randint(0, 5), rng.choice(["Unit 1: A", "Unit 2: B", "Chapter 3: C", "Part", "", "Units"]), i % 70) for i in range(10_000)]
+    rows += [("b", 20_000, 77_777, 1, "lost", 1), ("b", 20_001, 20_000, 1, "below lost", 1), ("b", 20_010, 20_012, 1, "ring", 1), ("b", 20_011, 20_010, 1, "ring", 1),
+             ("b", 20_012, 20_011, 1, "ring", 1), ("b", 20_013, 20_012, 1, "below ring", 1), ("b", 20_020, 20_020, 1, "self", 1)]
+    df = spark.createDataFrame(rows, OUTLINE)
+    kids = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[1])):
+        kids.setdefault(r[2], []).append(r)
+    want, stack = [], [(list(reversed(kids[None])), "")]
+    while stack:
+        nodes, unit = stack.pop()
+        if not nodes:
+            continue
+        r = nodes.pop()
+        unit = r[4] if r[4].startswith("Unit ") else unit
+        if r[4]:
+            want.append((r[1], r[4], unit))
+        stack += [(nodes, unit), (list(reversed(kids.get(r[1], []))), unit)]
+    flat = S.flatten_outline(df, spark.createDataFrame([("b", 50)], "book_id string, page_count int")).orderBy("place").collect()
+    assert [(r.node_id, r.title, r.unit) for r in flat] == want and all((r.page is None) == (r.node_id % 70 not in range(1, 51)) for r in flat)
+    assert {(r.node_id, r.reject) for r in S.outline_rejects(df).collect()} == {
+        (20_000, "no parent"), (20_001, "no parent"), *[(20_000 + i, "cycle") for i in (10, 11, 12, 13, 20)]}
+
+
+def test_bookmarks_decide_over_headings_of_their_page(spark):
+    books = spark.createDataFrame([("b", 30), ("none", 9)], "book_id string, page_count int")
+    pages = spark.createDataFrame([("b", 4, "Chapter 1: Seen", True), ("b", 9, "Chapter 2: Later", True)], PAGES)
+    out = spark.createDataFrame([("b", 1, None, 1, "Chapter 1: Marked", 4), ("b", 2, None, 2, "Chapter IV: Roman", 20), ("b", 3, None, 3, "Chapter 5: Beyond", 99)], OUTLINE)
+    marks = S.bookmark_chapters(S.flatten_outline(out, books))
+    got = [(r.book_id, r.start_page, r.end_page, r["name"], r.source) for r in S.infer_chapters(books, pages, None, marks).orderBy("book_id", "start_page").collect()]
+    assert got == [("b", 1, 3, "Front matter", "front_matter"), ("b", 4, 8, "Marked", "bookmark"), ("b", 9, 19, "Later", "body_heading"), ("b", 20, 30, "Roman", "bookmark"),
+                   ("none", 1, 9, "Unclassified content", "book_fallback")]
+
+
+def test_one_start_per_chapter_number(spark):
+    books = spark.createDataFrame([("b", 30), ("none", 9)], "book_id string, page_count int")
+    starts = spark.createDataFrame([("b", 5, 1, "Old", "", 0.55, "x", 0), ("b", 4, 1, "One!", "", 0.92, "y", 1), ("b", 6, 1, "Late", "", 0.92, "y", 2), ("b", 4, 2, "Two", "", 0.82, "x", 3),
+                                    ("b", 12, 0, "Appendix", "", 0.82, "x", 4), ("b", 13, 0, "Appendix", "", 0.82, "x", 5), ("b", 40, 7, "Beyond", "", 0.9, "x", 6), ("b", 20, None, "??", "", 0.9, "x", 7)],
+                                   "book_id string, page int, number bigint, name string, unit string, confidence double, source string, ord bigint")
+    best = S.best_start_per_number(starts, books)
+    got = [(r.book_id, r.start_page, r.end_page, r.chapter_key) for r in S.numbered_bounds(books, best).orderBy("book_id", "start_page", "end_page", "chapter_key").collect()]
+    assert got == [("b", 4, 4, "chapter-1-one"), ("b", 4, 11, "chapter-2-two"), ("b", 12, 12, "chapter-3-appendix"), ("b", 13, 19, "chapter-4-appendix"), ("b", 20, 30, "chapter-5-20"),
+                   ("none", 1, 9, "chapter-1-unclassified-book-content")]
