@@ -46,7 +46,8 @@ BUCKETS = 1 << 13
 _FIRST = "block bigint, lang string, pos binary, ids binary, words array<string>, counts array<bigint>"
 _RELATION = ("block bigint, lang string, pos binary, ids binary, gid array<bigint>, f array<bigint>, "
              "named array<struct<gid:bigint,f:bigint,a:bigint,b:bigint,word:string>>")
-_PAIRS = "block bigint, lang string, bucket bigint, start bigint, a array<bigint>, b array<bigint>, counts array<bigint>"
+#: Both halves of the parts' names travel apart: the upper ones hardly differ inside a list, so they compress to almost nothing.
+_PAIRS = "block bigint, lang string, bucket bigint, start bigint, a_high array<int>, a_low array<int>, b_high array<int>, b_low array<int>, counts array<int>"
 _NAMED = pa.struct([(c, pa.int64()) for c in ("gid", "f", "a", "b")] + [("word", pa.string())])
 
 
@@ -122,6 +123,14 @@ def _relation(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, ...]
             rows.column("gid")[i].values.to_numpy(), rows.column("f")[i].values.to_numpy())
 
 
+def _halves(gid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (gid >> 32).astype(np.int32), (gid & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
+def _whole_gid(name: str) -> Column:
+    return F.shiftleft(F.col(f"w.{name}_high").cast("long"), 32) + F.col(f"w.{name}_low").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], lane_size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -129,8 +138,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], lane_size: int) -> Iterator[pa.Rec
             head = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.concatenate([head, [len(bucket)]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("block")[i], len(head)), pa.repeat(batch.column("lang")[i], len(head)), pa.array(bucket[head]), pa.array(head),
-                                              *[pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (first, second, counts)]],
-                                             ["block", "lang", "bucket", "start", "a", "b", "counts"])
+                                              *[pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (*_halves(first), *_halves(second), counts)]],
+                                             ["block", "lang", "bucket", "start", "a_high", "a_low", "b_high", "b_low", "counts"])
 
 
 def _semi_join(block: int, lang: str, pos: np.ndarray, numbers: np.ndarray, frequent: pa.Table, parts: tuple[np.ndarray, np.ndarray] | None, words: pa.Array | None) -> pa.Table:
@@ -220,8 +229,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     for k in range(2, max_words + 1):
         # The lists move and are opened behind the exchange, where their buckets already lie together.
         lists = relation.mapInArrow(partial(_pairs, lane_size=lane), _PAIRS).repartition("bucket")
-        counted = (lists.select("block", "lang", "bucket", "start", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("j", "w"))
-                   .withColumn("i", F.col("start") + F.col("j")).select(_own(), "lang", "bucket", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.counts").alias("n")))
+        counted = (lists.select("block", "lang", "bucket", "start", F.posexplode(F.arrays_zip("a_high", "a_low", "b_high", "b_low", "counts")).alias("j", "w"))
+                   .withColumn("i", F.col("start") + F.col("j")).select(_own(), "lang", "bucket", _whole_gid("a").alias("a"), _whole_gid("b").alias("b"), F.col("w.counts").cast("long").alias("n")))
         if k == max_words:      # no longer phrase needs its occurrences
             named = counted.groupBy("lang", "bucket", "a", "b").agg(F.sum("n").alias("f"), F.min("own").alias("gid")).filter(F.col("f") >= min_count)
         else:
