@@ -14,8 +14,9 @@ No stage emits the pairs of a group. Tokens found in very many sets are known be
 size); they are spread by salt, where a count is needed take their counter's, and build their star from salted parts.
 
 Defined cases: null text is empty; a document without words has no shingles, links with nothing and is its own component; fewer than five
-words are one shingle; rows that repeat a text are one class; a null doc_id takes the component of its class but never names one; an empty
-table gives no rows; other columns pass through, those named like an added column are replaced.
+words are one shingle; rows that repeat a text are one class; rows without an id link like all others, also where nobody in their class has
+one, but never name a component, so component_id is null only where no row of it has an id; an empty table gives no rows. `link_documents`
+returns its four columns alone, `dedup` the columns of its input.
 """
 from __future__ import annotations
 
@@ -195,14 +196,19 @@ def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _linked(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """(cid, label) of the classes in candidate components. `members` has min_doc, cid, s1, comp, n."""
+    """(cid, label) of the classes in candidate components. `members` has min_doc, min_hash, cid, s1, comp, n."""
     load = members.groupBy("comp").agg(F.sum("n").alias("load")).withColumn("blocks", F.ceil(F.col("load") / block).cast("int"))
     members = cut_lineage(members.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
 
     def with_sets(wanted: DataFrame) -> DataFrame:
-        texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("s1", "want"), F.col("doc_id") == F.col("min_doc"))
+        wanted = wanted.withColumnRenamed("s1", "want")
+        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("min_doc")).select("text", *wanted.columns)
+        # Classes in which no row has an id are found by the hash of a text; each task sends such a text once.
+        nameless = docs.filter(F.col("doc_id").isNull()).groupBy(F.xxhash64(whole("text")).alias("__llm_hash")).agg(F.min("text").alias("text"))
+        nameless = nameless.join(wanted.filter(F.col("min_doc").isNull()), F.col("__llm_hash") == F.col("min_hash")).select("text", *wanted.columns)
+        texts = texts.unionByName(nameless)
         row = let(F.sort_array(shingles(whole("text"))), lambda x: F.struct(F.xxhash64(x).alias("s1"), x.alias("set")))
-        return texts.withColumn("row", row).select(*[c for c in texts.columns if c not in ("text", "doc_id")], "row.s1", "row.set")
+        return texts.withColumn("row", row).select(*[c for c in texts.columns if c != "text"], "row.s1", "row.set")
 
     fresh = members.withColumn("known", F.lit(None).cast("string"))
     edges = cut_lineage(_joined(with_sets(fresh), ["comp", "block"]))
@@ -246,9 +252,10 @@ def _link_rows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     digests = spark.read.schema("doc_id long, n long, s1 long, s2 long, h long, part array<long>").parquet(path)
     hot = spark.sparkContext.broadcast(hot_counters(digests))
     named = digests.select("doc_id", "n", "s1", "s2", "h").withColumn("cid", F.concat(F.hex("s1"), F.lit("-"), F.hex("s2")))
-    classes = named.filter("n > 0").groupBy("cid", "s1", "n").agg(F.min("doc_id").alias("min_doc"))
+    classes = named.filter("n > 0").groupBy("cid", "s1", "n").agg(
+        F.min("doc_id").alias("min_doc"), F.min(F.when(F.col("doc_id").isNull(), F.col("h"))).alias("min_hash"))
     candidates = components(_stars(_kept(_tokens(digests, hot)))).select(F.col("node").alias("s1"), F.col("label").alias("comp"))
-    members = classes.join(candidates, "s1").filter(F.col("min_doc").isNotNull())
+    members = classes.join(candidates, "s1")
     labels = cut_lineage(_linked(docs, members, block))
     smallest = labels.join(classes.select("cid", "min_doc"), "cid").groupBy("label").agg(F.min("min_doc").alias("component"))
     resolved = classes.select("cid", "min_doc").join(labels.join(smallest, "label").select("cid", "label", "component"), "cid", "left")
