@@ -4,9 +4,10 @@ The kernel of two texts is the number of character n-grams of one to three chara
 over the geometric mean of their own numbers. A Nyström map over `landmarks` labelled texts turns it into vectors, on which one kernel
 ridge regression per language is fitted against the rest. The model is fitted on at most `max_train` labelled rows per language (those
 with the smallest hash of doc_id, so reruns agree). Texts are scored in batches by three matrix products: presence by landmark n-grams,
-landmark kernels by the Nyström map, vectors by the ridge weights.
+landmark kernels by the Nyström map, vectors by the ridge weights. All languages are learned, and every n-gram of a landmark counts; presence is
+multiplied COLUMNS n-grams at a time, landmarks are sent as bits, so memory stays small whatever their number.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; rows with a null language or text are not learned from; equal
+Defined cases: a row without an id is not learned from, an id that is repeated in a language is one row of it (the smallest text); a null text, or one without a letter, is `und` with score 0; rows with a null language or text are not learned from; equal
 scores go to the language first by code point; without any labelled row all texts are `und`; an empty table gives no rows; other columns
 pass through, those named like an added column are replaced.
 """
@@ -25,10 +26,9 @@ from foliocheck.session import ship_package
 
 ORDERS = (1, 2, 3)
 BITS = 16
-MAX_LANGS = 64         # languages a model can hold; the most frequent ones of the labelled rows
 MAX_TRAIN = 300        # labelled rows per language that the ridge is fitted on
 LANDMARKS = 24         # of them, those that serve as landmarks
-MAX_GRAMS = 4096       # n-grams of the landmarks that the kernel counts, the most frequent ones
+COLUMNS = 4096         # n-grams that one product takes
 PENALTY = 1e-2
 BATCH = 512
 
@@ -46,25 +46,35 @@ def features(text: str, distinct: Distinct) -> np.ndarray:
 class Model:
     langs: list[str]
     column: np.ndarray      # slot -> column of the presence matrix, -1 if no landmark has it
-    landmarks: np.ndarray   # columns x landmarks, presence
-    root_size: np.ndarray   # square root of each landmark's own n-grams
+    landmarks: np.ndarray   # columns x landmarks, presence as packed bits
+    root_size: np.ndarray   # square root of the number of each landmark's n-grams
     to_vector: np.ndarray   # Nyström map
     ridge: np.ndarray       # (vector + 1) x languages
 
 
-def _presence(lists: list[np.ndarray], column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x n-grams presence, square root of how many of those n-grams each text has)."""
-    x = np.zeros((len(lists), width), dtype=np.float32)
-    for row, slots in enumerate(lists):
-        at = column[slots]
-        x[row, at[at >= 0]] = 1
-    return x, np.sqrt(np.maximum(x.sum(axis=1), 1))
+def _root_size(lists: list[np.ndarray]) -> np.ndarray:
+    """Square root of the number of distinct n-grams of each text."""
+    return np.sqrt(np.maximum([len(x) for x in lists], 1)).astype(np.float32)
+
+
+def _kernel(lists: list[np.ndarray], m: Model) -> np.ndarray:
+    """Texts x landmarks: n-grams in common over the geometric mean of both numbers."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    at = m.column[np.concatenate(lists)] if lists else np.empty(0, np.int32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((len(lists), len(m.root_size)), dtype=np.float32)
+    for start in range(0, len(m.landmarks), COLUMNS):
+        marks = np.unpackbits(m.landmarks[start:start + COLUMNS], axis=1, count=len(m.root_size)).astype(np.float32)
+        a, b = np.searchsorted(at, (start, start + len(marks)))
+        x = np.zeros((len(lists), len(marks)), dtype=np.float32)
+        x[row[a:b], at[a:b] - start] = 1
+        shared += x @ marks
+    return shared / (_root_size(lists)[:, None] * m.root_size[None, :])
 
 
 def _vectors(lists: list[np.ndarray], m: Model) -> np.ndarray:
-    x, root = _presence(lists, m.column, len(m.landmarks))
-    kernel = (x @ m.landmarks) / (root[:, None] * m.root_size[None, :])
-    return np.hstack([kernel @ m.to_vector, np.ones((len(lists), 1), dtype=np.float32)])
+    return np.hstack([_kernel(lists, m) @ m.to_vector, np.ones((len(lists), 1), dtype=np.float32)])
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,29 +86,30 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, learn: Column | bool = True, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS) -> Model | None:
     """A model from the rows of `docs` (doc_id, text, lang) for which `learn` holds; None without any."""
     ship_package(docs.sparkSession)
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(learn) if isinstance(learn, bool) else learn)).select("doc_id", "lang")
+    known = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    usable = docs.filter(known & (F.lit(learn) if isinstance(learn, bool) else learn)).select("doc_id", "lang").distinct()
     # Ids are cut to the sample before any text is read; per language, each task first keeps its own smallest.
-    common = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     local = Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(64))).orderBy(F.xxhash64("doc_id"), "doc_id")
     near = usable.withColumn("r", F.row_number().over(local)).filter(F.col("r") <= max_train)
-    chosen = (near.join(F.broadcast(common.select("lang")), "lang").withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= max_train)
-              .select("doc_id", "lang", "place"))
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "place", "text")
+    chosen = near.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= max_train).select("doc_id", "lang", "place")
+    texts = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = texts.groupBy("lang", "place").agg(F.min("text").alias("text"))
     rows = texts.mapInPandas(_pack, "lang string, place int, slots binary").toPandas().sort_values(["lang", "place", "slots"], kind="stable")
     if rows.empty:
         return None
     lists = [np.frombuffer(x, dtype=np.int32) for x in rows["slots"]]
     langs = sorted(rows["lang"].unique())
     chosen_rows = np.flatnonzero(rows["place"].to_numpy() <= landmarks)
-    share = np.bincount(np.concatenate([lists[i] for i in chosen_rows] or [np.empty(0, np.int32)]), minlength=1 << BITS)
-    grams = np.argsort(-share, kind="stable")[:MAX_GRAMS]
-    grams = grams[share[grams] > 0]
+    marks = [lists[i] for i in chosen_rows]
+    grams = np.unique(np.concatenate(marks))
     column = np.full(1 << BITS, -1, dtype=np.int32)
     column[grams] = np.arange(len(grams))
-    marks, root = _presence([lists[i] for i in chosen_rows], column, len(grams))
-    model = Model(langs, column, np.ascontiguousarray(marks.T), root, np.eye(len(chosen_rows), dtype=np.float32), np.empty(0))
-    among = (marks @ marks.T) / (root[:, None] * root[None, :])
+    present = np.zeros((len(grams), len(marks)), dtype=bool)
+    for i, slots in enumerate(marks):
+        present[column[slots], i] = True
+    model = Model(langs, column, np.packbits(present, axis=1), _root_size(marks), np.eye(len(marks), dtype=np.float32), np.empty(0))
+    among = np.vstack([_kernel(marks[i:i + BATCH], model) for i in range(0, len(marks), BATCH)])
     value, vector = np.linalg.eigh(among.astype(np.float64))
     keep = value > 1e-6 * value.max()
     model.to_vector = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
