@@ -5,8 +5,11 @@ among other labelled texts; a regularised logistic regression over the scaled fe
 model is fitted on at most `max_train` labelled rows (those with the smallest hash of doc_id, so reruns agree) and sent to the tasks as one
 vector of 2 ** BITS weights, whatever the size of the corpus. Scoring is one pass over the texts without a shuffle.
 
+The fit selects its features: an n-gram that fewer than `min_docs` sampled texts hold, or whose ratio is below `min_ratio` either way, has weight
+0. That leaves out no row and no text of the sample; 0 for both keeps every n-gram.
+
 Defined cases: null and empty texts get the score of the bare intercept; labels without a document, null labels and null texts are not
-learned from; repeated label rows of a document count once (the largest label); without labels of both kinds every score is the share of
+learned from; repeated label rows of a document count once (the largest label), so do repeated rows of an id (the smallest text); without labels of both kinds every score is the share of
 toxic labels, 0 if there are none; an empty table gives no rows; other columns pass through, those named like an added column are replaced.
 """
 from __future__ import annotations
@@ -48,7 +51,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"label": [0, 1], "docs": docs, "counts": [c.tobytes() for c in counts]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS, min_ratio: float = MIN_RATIO) -> tuple[np.ndarray, float]:
     """(weights by slot, intercept). `docs` has doc_id and text, `labels` doc_id and label 0/1; both may be larger than the sample.
 
     TASKS tables of counts reach the driver, and of each sampled text only the n-grams whose ratio tells something.
@@ -57,7 +60,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     ship_package(spark)
     known = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     texts = cut_lineage(texts.repartition(TASKS))
     size, n, counts = 1 << BITS, np.zeros(2), np.zeros((2, 1 << BITS))
     for row in texts.mapInPandas(_frequencies, "label int, docs long, counts binary").toLocalIterator():
@@ -67,8 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
         share = float(n[1] / n.sum()) if n.sum() else 0.0
         return np.zeros(size), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     ratio = np.log((counts[1] + ALPHA) / (n[1] + 2 * ALPHA)) - np.log((counts[0] + ALPHA) / (n[0] + 2 * ALPHA))
-    ratio[counts.sum(axis=0) < MIN_DOCS] = 0.0
-    telling = spark.sparkContext.broadcast(np.abs(ratio) >= MIN_RATIO)
+    ratio[counts.sum(axis=0) < min_docs] = 0.0
+    telling = spark.sparkContext.broadcast(np.abs(ratio) >= min_ratio)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         distinct = Distinct(BITS)
