@@ -22,13 +22,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliocheck.llm.common import whole
 from foliocheck.session import cut_lineage, ship_package
 
 KEY = b"replace with a secret of your own"
+WIDEN = 4              # attempts before a format grows
 KINDS = ["email", "iban", "ipv4", "card", "phone", "national_id", "name_f", "name_m", "name_x", "surname"]
 
 _PATTERNS = {
@@ -80,8 +81,20 @@ def _titled(text: str) -> list[tuple[int, int, str, str]]:
             at = step.end() + 1
         words = [w for w in words if w]
         person = canonical("surname", "".join(text[a:b] for w in words for a, b in w))
-        out += [(a, b, "surname" if w is words[-1] else f"name_{gender}", "" if w is words[-1] else person) for w in words for a, b in w]
-    return out
+        out += [(a, b, "surname" if w is words[-1] else f"name_{gender}", "" if w is words[-1] else person, gender if len(words) == 1 else "")
+                for w in words for a, b in w]
+    # A single name behind a title is a surname, unless the text knows it as a given name only.
+    given = {text[a:b].casefold(): (kind, person) for a, b, kind, person, _ in out if kind != "surname"}
+    family = {text[a:b].casefold() for a, b, kind, _, alone in out if kind == "surname" and not alone}
+
+    def settled(a: int, b: int, kind: str, person: str, alone: str) -> tuple[int, int, str, str]:
+        name = text[a:b].casefold()
+        if alone and name in given and name not in family:
+            kind, person = given[name]
+            kind = f"name_{alone}" if kind == "name_x" else kind
+        return a, b, kind, person
+
+    return [settled(*found) for found in out]
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -135,8 +148,13 @@ def _luhn(digits: str) -> bool:
 
 
 def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
-    """The canonical surrogate of an entity: letters for letters of the same script, digits for digits, everything else as it is."""
+    """The canonical surrogate of an entity: letters for letters of the same script, digits for digits, everything else as it is.
+
+    A short format has few surrogates. From attempt WIDEN on it grows by one sign for every two attempts (an address uses the whole range of its
+    octets), so that entities of one shape, however many, all find one.
+    """
     draw = _Draw(key, kind, name, attempt)
+    wider = max(0, attempt - WIDEN + 2) // 2
     if kind.startswith("name_") or kind == "surname":
         script = "cyrillic" if "Ѐ" <= name[:1] <= "ӿ" else "latin"
         gender = "s" if kind == "surname" else kind[-1] if kind != "name_x" else "fm"[draw.below(2)]
@@ -146,7 +164,7 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
         return chosen + "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range((attempt + 1) // 2))
     if kind == "ipv4":
         def octet(old: str) -> str:
-            low, high = {1: (1, 9), 2: (10, 99)}.get(len(old), (100, 254))
+            low, high = (1, 254) if wider else {1: (1, 9), 2: (10, 99)}.get(len(old), (100, 254))
             return str(low + draw.below(high - low + 1))
         return ".".join(map(octet, name.split(".")))
     tail = name.rfind(".") if kind == "email" else len(name)      # the top-level domain stays
@@ -166,6 +184,10 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
         else:
             out.append(c)
     made = "".join(out)
+    if kind == "email":
+        made = "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(wider)) + made
+    else:
+        made += "".join(str(draw.below(10)) for _ in range(wider))
     if kind == "card" and _luhn(name):
         made = next(made[:-1] + d for d in "0123456789" if _luhn(made[:-1] + d))
     return made
@@ -179,7 +201,8 @@ def rendered(kind: str, surface: str, made: str) -> str:
         return made.upper() if surface.isupper() else made if kind == "ipv4" or len(made) != len(surface) else "".join(
             m.upper() if s.isupper() else m for s, m in zip(surface, made))
     letters = iter(made)
-    return "".join((lambda m: m.upper() if c.isupper() else m)(next(letters, "")) if c.isalnum() else c for c in surface)
+    spelled = "".join((lambda m: m.upper() if c.isupper() else m)(next(letters, "")) if c.isalnum() else c for c in surface)
+    return spelled + "".join(letters)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -219,9 +242,9 @@ def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
     while True:
         # An entity that had its surrogate first keeps it; the others, and those that hit a real entity, draw again.
         drawn = table.withColumn("made", draw("kind", "entity", "attempt"))
-        taken = drawn.join(real.select("kind", F.col("entity").alias("made"), F.lit(True).alias("is_real")), ["kind", "made"], "left")
-        place = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "entity"))
-        judged = cut_lineage(taken.withColumn("clash", (place > 1) | F.coalesce("is_real", F.lit(False))))
+        first = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("first"))
+        taken = drawn.join(first, ["kind", "made"]).join(real.select("kind", F.col("entity").alias("made"), F.lit(True).alias("is_real")), ["kind", "made"], "left")
+        judged = cut_lineage(taken.withColumn("clash", (F.col("first.entity") != F.col("entity")) | F.coalesce("is_real", F.lit(False))).drop("first"))
         if judged.filter("clash").isEmpty():
             return judged.select("kind", "entity", "made")
         table = judged.select("kind", "entity", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
