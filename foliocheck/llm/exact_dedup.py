@@ -129,9 +129,9 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 def members(docs: DataFrame, index: DataFrame) -> DataFrame:
     """`docs` with keep_id, group_size, kept and text_sha256, looked up by key. A hot key is split among tasks by the adaptive join."""
-    added = ["keep_id", "group_size", "kept", "text_sha256", "h", "bucket", "chain"]
-    keyed = docs.drop(*added).withColumn("h", F.xxhash64(whole("text"))).withColumn("text_sha256", F.sha2(whole("text"), 256))
-    found = keyed.join(index.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"])
+    added = ["keep_id", "group_size", "kept", "text_sha256"]
+    keyed = docs.drop(*added).withColumn("__llm_h", F.xxhash64(whole("text"))).withColumn("text_sha256", F.sha2(whole("text"), 256))
+    found = keyed.join(index.select(F.col("h").alias("__llm_h"), "text_sha256", "keep_id", "group_size"), ["__llm_h", "text_sha256"])
     return found.select(*[c for c in docs.columns if c not in added], "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
