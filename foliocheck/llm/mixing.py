@@ -8,7 +8,7 @@ Running sums are taken per (source, one of 4096 chunks of the shuffled order) on
 rows is summed by many tasks. Statistics move ids, sizes and hashes only; a text moves once, and only if the caller selects it.
 
 Defined cases: null text has size 0; documents of size 0 are never taken; a null source is a source of its own, last in order; equal rows
-are taken one by one; the shuffle depends on doc_id, size and seed alone, so reruns agree; an empty table gives no rows; other columns
+are taken one by one; the shuffle depends on doc_id, size and seed alone (the text where there is no id), so reruns agree; an empty table gives no rows; other columns
 pass through, those named like an added column are replaced.
 """
 from __future__ import annotations
@@ -28,11 +28,12 @@ SEED = 17
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source key (null last), size and place in the shuffled order, next to the other columns of `docs`."""
     size = F.regexp_count(whole("text"), F.lit(WORD)).cast("long")
-    rows = (docs.drop("no_source", "src", "size", "turn", "chunk")
-            .withColumns({"no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit("")), "size": size}))
+    rows = (docs.drop("size")
+            .withColumns({"__llm_no_source": F.col("source").isNull(), "__llm_src": F.coalesce("source", F.lit("")), "size": size}))
     # Three hexadecimal digits of the place are its chunk.
-    place = F.md5(F.concat_ws(":", F.lit(str(SEED)), "doc_id"))
-    return rows.withColumn("turn", place).withColumn("chunk", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"))
+    id_or_text = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("text"), size.cast("string"), F.xxhash64(whole("text")).cast("string")))
+    place = F.md5(F.concat_ws(":", F.lit(str(SEED)), id_or_text))
+    return rows.withColumn("__llm_turn", place).withColumn("__llm_chunk", F.conv(F.substring("__llm_turn", 1, 3), 16, 10).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -42,40 +43,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     the full ones leave of the total, divided by the weight of the rest, at the first place where it stays below the next source's own.
     Sources are the one thing here that is sorted as a whole: one small row each.
     """
-    by_name = Window.orderBy("no_source", "src")
+    by_name = Window.orderBy("__llm_no_source", "__llm_src")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
     everyone = Window.partitionBy(F.lit(1))
-    by_fill = Window.orderBy("fill", "no_source", "src")
+    by_fill = Window.orderBy("fill", "__llm_no_source", "__llm_src")
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     rows = (sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs))
             .withColumn("fill", F.col("cap") / F.col("weight")).withColumn("total", F.sum("source_size").over(everyone))
             .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
                         / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
             .withColumn("water", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everyone)))
-    return rows.select("no_source", "src", "source_size", F.least(F.col("cap"), F.col("weight") * F.coalesce("water", F.lit(0.0))).alias("target"))
+    return rows.select("__llm_no_source", "__llm_src", "source_size", F.least(F.col("cap"), F.col("weight") * F.coalesce("water", F.lit(0.0))).alias("target"))
 
 
 def _chunk_totals(base: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """Per source and chunk: words before it, the source's size and target."""
-    chunks = base.groupBy("no_source", "src", "chunk").agg(F.sum("size").alias("chunk_size"))
-    source = Window.partitionBy("no_source", "src")
-    chunks = chunks.select("no_source", "src", "chunk",
-                           (F.sum("chunk_size").over(source.orderBy("chunk")) - F.col("chunk_size")).alias("before"),
+    chunks = base.groupBy("__llm_no_source", "__llm_src", "__llm_chunk").agg(F.sum("size").alias("chunk_size"))
+    source = Window.partitionBy("__llm_no_source", "__llm_src")
+    chunks = chunks.select("__llm_no_source", "__llm_src", "__llm_chunk",
+                           (F.sum("chunk_size").over(source.orderBy("__llm_chunk")) - F.col("chunk_size")).alias("__llm_before"),
                            F.sum("chunk_size").over(source).alias("source_size"))
-    goal = targets(chunks.groupBy("no_source", "src").agg(F.max("source_size").alias("source_size")), weights, max_epochs)
-    return chunks.join(goal.drop("source_size"), ["no_source", "src"])
+    goal = targets(chunks.groupBy("__llm_no_source", "__llm_src").agg(F.max("source_size").alias("source_size")), weights, max_epochs)
+    return chunks.join(goal.drop("source_size"), ["__llm_no_source", "__llm_src"])
 
 
 def _sent(rows: DataFrame) -> DataFrame:
     """Adds `sent`, the words of the source up to and including this document in shuffled order."""
-    order = Window.partitionBy("no_source", "src", "chunk").orderBy("turn", "doc_id", "size")
-    return rows.withColumn("sent", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy("__llm_no_source", "__llm_src", "__llm_chunk").orderBy("__llm_turn", "doc_id", "size")
+    return rows.withColumn("__llm_sent", F.col("__llm_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _finish(epoch: int | Column) -> Column:
     """Virtual finish time of a copy; null for copies that are never served."""
     able = (F.col("size") > 0) & (F.col("target") > 0)
-    return F.when(able, (epoch * F.col("source_size") + F.col("sent")) / F.col("target"))
+    return F.when(able, (epoch * F.col("source_size") + F.col("__llm_sent")) / F.col("target"))
 
 
 def _tick(finish: Column) -> Column:
@@ -85,7 +86,7 @@ def _tick(finish: Column) -> Column:
 
 def _place(finish: Column) -> Column:
     """Total order of copies: within a source `sent` grows with every document that has words."""
-    return F.struct(finish.alias("finish"), F.col("no_source"), F.col("src"), F.col("sent"))
+    return F.struct(finish.alias("finish"), F.col("__llm_no_source"), F.col("__llm_src"), F.col("__llm_sent"))
 
 
 def _cut(rows: DataFrame, budget: DataFrame, max_epochs: int) -> DataFrame:
@@ -112,17 +113,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     Sizes are counted once, into a checkpoint of ids and numbers; totals and the cut come from there. The rows themselves are shuffled once
     by (source, chunk), with the columns that the caller selects from the result.
     """
-    key = ["no_source", "src", "chunk"]
+    key = ["__llm_no_source", "__llm_src", "__llm_chunk"]
     lean = cut_lineage(sized(docs.select("doc_id", "text", "source")).drop("text", "source"))
     totals = cut_lineage(_chunk_totals(lean, weights, max_epochs))
-    cut = _cut(_sent(lean.join(totals, key)), totals.select("no_source", "src", "source_size").distinct().agg(F.sum("source_size").alias("budget")), max_epochs)
-    added = ["source_size", "target", "copies", "taken", "before", "sent", "turn", "cut"]
-    rows = _sent(sized(docs.drop(*added)).join(totals, key)).withColumn("cut", cut.scalar())
+    cut = _cut(_sent(lean.join(totals, key)), totals.select("__llm_no_source", "__llm_src", "source_size").distinct().agg(F.sum("source_size").alias("budget")), max_epochs)
+    added = ["size", "source_size", "target", "copies", "taken"]
+    rows = _sent(sized(docs.drop(*added)).join(totals, key)).withColumn("__llm_cut", cut.scalar())
     copies = F.lit(0)
     for epoch in range(max_epochs):
         at = _finish(epoch)
-        served = (_tick(at) < F.col("cut.tick")) | ((_tick(at) == F.col("cut.tick")) & (_place(at) <= F.col("cut.last")))
+        served = (_tick(at) < F.col("__llm_cut.tick")) | ((_tick(at) == F.col("__llm_cut.tick")) & (_place(at) <= F.col("__llm_cut.last")))
         copies = copies + F.coalesce(served, F.lit(False)).cast("int")
     rows = rows.withColumn("copies", copies)
-    return rows.select(*[c for c in docs.columns if c in rows.columns and c not in key + added + ["size"]],
+    return rows.select(*[c for c in docs.columns if c.lower() not in added],
                        "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
