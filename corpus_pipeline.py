@@ -1,12 +1,13 @@
 """From raw documents to token ids: STAGES in order, each over all rows that its predecessor kept.
 
-Every function takes (spark, docs, sf_dir) and returns the next docs. All but the last return the columns of documents; a document that the
-mix takes twice is two rows of its result. `run` writes each result as Parquet in the shared folder and reads it again, so a lost executor
+Every function takes (spark, docs, sf_dir) and returns the next docs. All but the last return the columns of documents, with the caller's values
+also where an operator adds a column of that name; a document that the mix takes twice is two rows of its result. `run` writes each result as Parquet in the shared folder and reads it again, so a lost executor
 costs one stage and no plan grows over several.
 """
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,16 @@ from foliocheck.llm.common import read, shared_dir
 from foliocheck.llm.queries import VOCABULARY, toxicity_model
 
 
+def _with_own_columns(docs: DataFrame, added: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`step` over docs, with the columns of docs that it would replace set aside and put back."""
+    aside = {c: f"__llm_own_{c}" for c in docs.columns if c.lower() in added}
+    return step(docs.withColumnsRenamed(aside)).select([F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5, by a model of the labelled rows of this input that are not held out."""
     model = toxicity_model(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return _with_own_columns(docs, ["score", "predicted"], lambda d: toxicity.score(d, model).filter("predicted = 0"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).filter("copies > 0")
-    return mixed.withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    def taken(d: DataFrame) -> DataFrame:
+        return mixing.mix(d).filter("copies > 0").withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+    return _with_own_columns(docs, ["size", "source_size", "target", "copies", "taken"], taken)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
