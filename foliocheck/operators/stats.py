@@ -18,7 +18,11 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 def book_status(books: DataFrame, pages: DataFrame) -> DataFrame:
     """Status and progress of a book from its pages; human holds and finished books stay as they are."""
-    c = books.select("book_id", F.col("status").alias("old_status")).join(page_counts(pages), "book_id", "left")
+    return status_of(books, page_counts(pages))
+
+
+def status_of(books: DataFrame, counts: DataFrame) -> DataFrame:
+    c = books.select("book_id", F.col("status").alias("old_status")).join(counts, "book_id", "left")
     c = c.fillna(0, ["pages", "done", "failed", "pending", "processing", "indexed"])
     derived = (F.when((F.col("pending") == 0) & (F.col("processing") == 0),
                       F.when((F.col("pages") > 0) & (F.col("failed") == F.col("pages")), "error").otherwise("done"))
@@ -44,11 +48,16 @@ def review_summary(books: DataFrame, pages: DataFrame, view: DataFrame) -> DataF
         F.count_if(F.col("status") == "done").alias("pages_reviewed"), F.count_if(F.col("status") == "error").alias("failed"),
         F.count_if((F.col("status") != "done") | warned).alias("visual_pending"),
         F.bool_and(~warned & F.col("coverage_complete")).alias("all_clean"))
-    subjects = (pages.filter("subject_key <> ''").groupBy("book_id", "subject_key").agg(F.min("page_number").alias("first"))
-                .groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("first", "subject_key"))).alias("s"))
-                .select("book_id", F.array_join(F.transform("s", lambda x: x["subject_key"]), ", ").alias("subjects")))
+    subjects = pages.filter("subject_key <> ''").groupBy("book_id", "subject_key").agg(F.min("page_number").alias("first"))
     f = view.groupBy("book_id").agg(F.count("*").alias("issue_count"), *[
         F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")])
+    return summary_of(books, p, subjects, f)
+
+
+def summary_of(books: DataFrame, p: DataFrame, subjects: DataFrame, f: DataFrame) -> DataFrame:
+    """The summary from counts of pages and findings per book and the first page of each subject."""
+    subjects = (subjects.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("first", "subject_key"))).alias("s"))
+                .select("book_id", F.array_join(F.transform("s", lambda x: x["subject_key"]), ", ").alias("subjects")))
     out = (books.select("book_id", "status", "page_count").join(p, "book_id", "left").join(f, "book_id", "left")
            .join(subjects, "book_id", "left")
            .fillna(0, ["pages_reviewed", "failed", "visual_pending", "issue_count", "critical", "high", "medium", "low"]))
@@ -70,6 +79,11 @@ def category_scores(books: DataFrame, view: DataFrame) -> DataFrame:
     """Four scores per book: 100 less 4 per open finding, never below 0."""
     n = (view.filter("NOT resolved AND NOT ignored").groupBy("book_id", score_bucket(F.col("category")).alias("bucket"))
          .agg(F.count("*").alias("n")))
+    return scores_of(books, n)
+
+
+def scores_of(books: DataFrame, n: DataFrame) -> DataFrame:
+    """Scores from the open findings `n` of each book and bucket."""
     buckets = [b for b, _ in C.SCORE_BUCKETS] + [C.SCORE_DEFAULT]
     grid = books.select("book_id", F.explode(F.array(*[F.lit(b) for b in buckets])).alias("bucket"))
     n0 = F.coalesce("n", F.lit(0))
@@ -78,7 +92,11 @@ def category_scores(books: DataFrame, view: DataFrame) -> DataFrame:
 
 
 def progress(books: DataFrame, pages: DataFrame) -> DataFrame:
-    c = books.select("book_id", F.col("page_count").alias("expected")).join(page_counts(pages), "book_id", "left")
+    return progress_of(books, page_counts(pages))
+
+
+def progress_of(books: DataFrame, counts: DataFrame) -> DataFrame:
+    c = books.select("book_id", F.col("page_count").alias("expected")).join(counts, "book_id", "left")
     done, failed = F.coalesce("done", F.lit(0)), F.coalesce("failed", F.lit(0))
     pct = F.when(F.col("expected") > 0, F.least(F.lit(100), F.floor((done + failed) / F.col("expected") * 100 + 0.5))).otherwise(0)
     out = c.select("book_id", "expected", done.alias("done"), pct.cast("bigint").alias("progress"))
@@ -104,9 +122,12 @@ def open_findings_per_page(pages: DataFrame, view: DataFrame) -> DataFrame:
 
 def scorecard(books: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings per book with its four scores side by side."""
-    scores = category_scores(books, O.review_view(findings))
-    wide = scores.groupBy("book_id").agg(*[
+    wide = wide_scores(category_scores(books, O.review_view(findings)))
+    return wide.join(finding_stats(findings), "book_id", "left").fillna(0, ["findings", *C.SEVERITIES, "accepted", "dismissed"])
+
+
+def wide_scores(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("book_id").agg(*[
         F.max(F.when(F.col("bucket") == b, F.col("score"))).alias(a) for b, a in
         (("Syntax Health", "syntax"), ("Curriculum Alignment", "curriculum"), ("Fact Accuracy", "facts"),
          ("Style & Consistency", "style"))])
-    return wide.join(finding_stats(findings), "book_id", "left").fillna(0, ["findings", *C.SEVERITIES, "accepted", "dismissed"])

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from foliocheck.operators import findings as O, identity as I, review as R
 from foliocheck.session import ship_package
+from foliocheck.streaming.buckets import BucketTable
 
 PAGE = ["book_id", "page_number"]
 REPORT_SCHEMA = I.MERGE_SCHEMA + ", analyzed_at timestamp"
@@ -77,6 +78,7 @@ def decisions_to_table(decisions: DataFrame, table: str, checkpoint: str, **trig
 
     No watermark: a decision is never dropped as late. Each batch reads the newest snapshot and
     writes the next one under its batch number, so a repeated batch overwrites its own result.
+    Every batch writes the whole table: for large ones use `decisions_to_buckets`.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -89,6 +91,27 @@ def decisions_to_table(decisions: DataFrame, table: str, checkpoint: str, **trig
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def decision_table(path: str, buckets: int = 64) -> BucketTable:
+    return BucketTable(path, "book_id string, page_number int, uid string, status string, ts timestamp, seq bigint", ("book_id", "page_number", "uid"), buckets)
+
+
+def decisions_to_buckets(decisions: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Keeps the last decision of every finding in `decision_table(path)`; a batch rewrites only the buckets of its findings.
+
+    The greatest (ts, seq, status) of a finding holds, so no decision is dropped as late and a repeated one changes nothing.
+    """
+    table = decision_table(path, buckets)
+    keys = list(table.keys)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reached = table.touched(batch)
+        rows = table.read(batch.sparkSession, batch_id - 1, reached).unionByName(batch.select(*keys, "status", "ts", "seq"))
+        newest = rows.groupBy(*keys).agg(F.max(F.struct("ts", "seq", "status")).alias("d"))
+        table.write(newest.select(*keys, "d.status", "d.ts", "d.seq"), batch_id, reached)
+    writer = decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 class _Heartbeats(StatefulProcessor):
     """Emits a page once when its running attempt has been silent longer than the cutoff."""
 
