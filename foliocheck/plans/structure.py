@@ -101,6 +101,32 @@ def f10_items(spark, d):
                     F.concat(key, F.lit(" on "), F.col("doc_id").cast("string")).alias("value"))
 
 
+def f10_fold(spark, d):
+    """Every page is a part of its chapter's memory; one row per kept entry."""
+    p = S.assign_chapters(corpus.pages(spark, d, text=False), chapters(spark, d))
+    memory = F.expr("""named_struct('kind', CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE concat('kind', doc_id % 4) END, 'topic', concat('Topic ', doc_id % 5),
+      'overview', concat('View ', doc_id % 7), 'topics', array(concat('Item ', doc_id % 9), concat('ITEM ', (doc_id + 1) % 9)), 'rules', array('Rule', 'rule'),
+      'concepts', array(concat('C', doc_id % 30)), 'objectives', array(), 'terms', array(concat(repeat('longer ', 20), doc_id % 3)), 'continuity', array(concat('c', doc_id % 11)),
+      'characters', array(named_struct('name', concat('Ann ', doc_id % 6), 'role', concat('role ', doc_id), 'facts', 'tall', 'relations', NULL, 'pages', array(page_number, 3, NULL, page_number))),
+      'activities', array(named_struct('name', 'Draw', 'purpose', concat('p', doc_id), 'alignment', 'good', 'pages', array(page_number div 3))),
+      'guidance', array(named_struct('page', page_number div 2, 'expected', concat('e', doc_id), 'continuity', 'next')),
+      'concerns', array(named_struct('page', page_number % 3, 'type', 'Order', 'description', concat('late ', doc_id % 4), 'evidence', concat('v', doc_id), 'confidence', 0.5D)))""")
+    m = X.fold_memories(p.select("book_id", "chapter_key", F.col("page_number").alias("part"), memory.alias("memory")))
+
+    def pages(x):
+        return F.array_join(F.transform(x["pages"], lambda v: v.cast("string")), ",")
+
+    def rows(field, line):
+        return F.transform(F.col("memory")[field], lambda x, i: F.struct(F.lit(field).alias("field"), (i + 1).alias("place"), line(x).alias("value")))
+    single = [F.array(F.struct(F.lit(f).alias("field"), F.lit(1).alias("place"), F.col("memory")[f].alias("value"))) for f in ("kind", "topic", "overview")]
+    lists = [rows(f, lambda x: x) for f in ("topics", "rules", "concepts", "objectives", "terms", "continuity")]
+    lists += [rows("characters", lambda x: F.concat_ws("|", x["name"], x["role"], x["facts"], x["relations"], pages(x))),
+              rows("activities", lambda x: F.concat_ws("|", x["name"], x["purpose"], x["alignment"], pages(x))),
+              rows("guidance", lambda x: F.concat_ws("|", x["page"].cast("string"), x["expected"], x["continuity"])),
+              rows("concerns", lambda x: F.concat_ws("|", x["page"].cast("string"), x["type"], x["description"], x["evidence"], x["confidence"].cast("string")))]
+    return m.select("book_id", "chapter_key", F.explode(F.concat(*single, *lists)).alias("r")).select("book_id", "chapter_key", "r.*")
+
+
 def w13(spark, d):
     p = S.assign_chapters(corpus.pages(spark, d, text=False), chapters(spark, d))
     mem = F.expr("""named_struct('kind', 'lesson', 'topic', concat('topic  of ', chapter_name), 'overview', 'An overview.', 'topics', array('Shapes', 'shapes', concat('Page ', page_number)),
@@ -164,6 +190,7 @@ QUERIES = {
     "f6_token_usage": lambda s, d: X.token_usage(corpus.pages(s, d, text=False), chapters(s, d)),
     "f6_chapter_status": lambda s, d: X.chapter_status(contexts(s, d)),
     "f10_merge_memories": lambda s, d: X.merge_memories(f10_items(s, d)),
+    "f10_fold_memories": f10_fold,
     "f11_chapter_source": lambda s, d: X.chapter_source(corpus.pages(s, d), chapters(s, d)),
     "f12_evidence_hash": lambda s, d: X.evidence_hash(corpus.pages(s, d)),
     "f13_structure_status": lambda s, d: S.structure_status(corpus.books(s, d), chapters(s, d), corpus.pages(s, d)),

@@ -152,6 +152,24 @@ ORACLES = {
       b AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY book_id, chapter_key, field, part ORDER BY ord) AS p FROM a) WHERE p <= lim),
       c AS (SELECT * FROM (SELECT * EXCLUDE (p), row_number() OVER (PARTITION BY book_id, chapter_key, field, k ORDER BY part, ord) AS rn FROM b) WHERE rn = 1)
       SELECT book_id, chapter_key, field, CAST(place AS INT) AS place, concat(key, ' on ', doc_id) AS value FROM (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_key, field ORDER BY part, ord) AS place FROM c) WHERE place <= lim"""),
+    "f10_fold_memories": compose("""WITH p AS (SELECT book_id, chapter_key, page_number AS part, doc_id, page_number AS n FROM placed_v),
+      i AS (SELECT book_id, chapter_key, part, 0 AS ord, 'topic' AS field, lower('Topic ' || doc_id % 5) AS k, 'Topic ' || doc_id % 5 AS value, 3 AS lim FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'overview', lower('View ' || doc_id % 7), 'View ' || doc_id % 7, 3 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, j, 'topics', 'item ' || (doc_id + j) % 9, ['Item ', 'ITEM '][j + 1] || (doc_id + j) % 9, 8 FROM p, range(2) r(j)
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'rules', 'rule', 'Rule', 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'concepts', 'c' || doc_id % 30, 'C' || doc_id % 30, 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'terms', CAST(doc_id % 3 AS VARCHAR), substring(repeat('longer ', 20), 1, 68) || ' ... ' || right(repeat('longer ', 20) || doc_id % 3, 27), 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'continuity', 'c' || doc_id % 11, 'c' || doc_id % 11, 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'characters', 'ann ' || doc_id % 6, 'Ann ' || doc_id % 6 || '|role ' || doc_id || '|tall||' || CASE WHEN n = 3 THEN '3' ELSE n || ',3' END, 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'activities', CAST(n // 3 AS VARCHAR), 'Draw|p' || doc_id || '|good|' || n // 3, 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'guidance', CAST(n // 2 AS VARCHAR), n // 2 || '|e' || doc_id || '|next', 8 FROM p
+       UNION ALL SELECT book_id, chapter_key, part, 0, 'concerns', n % 3 || ':' || doc_id % 4, n % 3 || '|Order|late ' || doc_id % 4 || '|v' || doc_id || '|0.5', 5 FROM p),
+      a AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY book_id, chapter_key, field, k ORDER BY part, ord) = 1),
+      b AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_key, field ORDER BY part, ord) AS place FROM a QUALIFY place <= lim)
+      SELECT book_id, chapter_key, field, CAST(place AS INT) AS place, value FROM b WHERE field NOT IN ('topic', 'overview')
+      UNION ALL SELECT book_id, chapter_key, 'topic', 1, string_agg(value, ' / ' ORDER BY place) FROM b WHERE field = 'topic' GROUP BY book_id, chapter_key
+      UNION ALL SELECT book_id, chapter_key, 'overview', 1, string_agg(value, ' | ' ORDER BY place) FROM b WHERE field = 'overview' GROUP BY book_id, chapter_key
+      UNION ALL SELECT book_id, chapter_key, 'kind', 1, coalesce(arg_min('kind' || doc_id % 4, part) FILTER (WHERE doc_id % 3 <> 0), 'general') FROM p GROUP BY ALL"""),
     "f11_chapter_source": compose("SELECT book_id, chapter_key, content_hash, source_chars FROM source_v"),
     "f12_evidence_hash": compose("""SELECT book_id, sha256(string_agg(sha256(page_number || chr(9) || CAST(evidence_indexed AS VARCHAR) || chr(9) || text), chr(10) ORDER BY page_number)) AS evidence_hash FROM pages_v GROUP BY book_id"""),
     "f13_structure_status": compose(f"""SELECT b.book_id, b.page_count, i AS indexed, CASE WHEN i < page_count THEN 'partial' WHEN w THEN 'degraded' ELSE 'ready' END AS status FROM books_v b
