@@ -30,3 +30,19 @@ def test_runs_without_size_are_left_out(spark):
     assert len(types.split(", ")) == len(cols)
     got = E.runs_to_words(spark.createDataFrame([run, flat], types)).orderBy("text_start").collect()
     assert [(r["str"], r["text_start"], r["text_end"]) for r in got] == [("two", 0, 3), ("words", 4, 9)]
+
+
+def test_read_ocr_tsv_splits_each_line_once(spark):
+    """A filter on a field must not split the line again."""
+    words = E.read_ocr_tsv(corpus.ocr_lines(spark, SF))
+    assert not [f for f in filters(words) if "concat_ws" in f or "try_cast" in f or "array_join" in f]
+    assert words.count() > 0
+
+
+def test_read_ocr_tsv_leaves_out_short_and_sizeless_rows(spark):
+    good = "5\t1\t2\t3\t4\t1\t100\t50\t40\t10\t90\tword"
+    rows = [("b", 1, 0, 200, 100, good), ("b", 1, 1, 0, 100, good), ("b", 1, 2, 200, 100, good.rsplit("\t", 1)[0]),
+            ("b", 1, 3, 200, 100, good.replace("90\tword", "20\tdim")), ("b", 1, 4, 200, 100, good.replace("word", "last")), ("b", 1, 5, 200, 100, good.replace("\t40\t", "\tNaN\t"))]
+    got = E.read_ocr_tsv(spark.createDataFrame(rows, "book_id string, page_number int, line_no int, width int, height int, line string")).orderBy("line_no").collect()
+    assert [(r["line_no"], r["str"], r["uncertain"], r["text_start"], r["text_end"]) for r in got] == [
+        (0, "word", False, 0, 4), (3, "dim", True, None, None), (4, "last", False, 5, 9)]
