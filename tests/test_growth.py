@@ -1,8 +1,11 @@
 """Plans and partitions whose cost must grow with the input and no faster."""
-import pytest
 from pyspark.sql import functions as F
 
-from foliocheck.sources import corpus, evidence as E
+from foliocheck.operators import identity as I
+from foliocheck.plans import review
+from foliocheck.sources import corpus, evidence as E, findings
+from tests.test_ground import FINDING
+from tests.test_identity import T1, T2, f, rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +49,34 @@ def test_read_ocr_tsv_leaves_out_short_and_sizeless_rows(spark):
     got = E.read_ocr_tsv(spark.createDataFrame(rows, "book_id string, page_number int, line_no int, width int, height int, line string")).orderBy("line_no").collect()
     assert [(r["line_no"], r["str"], r["uncertain"], r["text_start"], r["text_end"]) for r in got] == [
         (0, "word", False, 0, 4), (3, "dim", True, None, None), (4, "last", False, 5, 9)]
+
+
+def test_merging_takes_whole_pages_from_small_batches(spark):
+    """Many pages are decided at a time, also where a batch ends inside a page; no page pays for a group of its own."""
+    pages = 30
+    data = [r for p in range(pages) for r in rows(f(uid=f"a{p}", page_number=p), f(uid=f"b{p}", page_number=p, text_start=None, box_source="unverified"),
+                                                  f(uid=f"c{p}", page_number=p), f(uid=f"d{p}", page_number=p, xmin=101.0))]
+    df = spark.createDataFrame(data, FINDING)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        merged = I.merge_findings(df)
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "FlatMapGroupsInArrow" not in plan
+        assert sorted(r.uid for r in merged.collect()) == sorted(f"{k}{p}" for k in "ab" for p in range(pages))
+        old = merged.withColumns({"seen_in_latest": F.lit(True), "first_detected_at": F.lit(T1), "last_detected_at": F.lit(T1)})
+        got = {r.uid: r.seen_in_latest for r in I.reconcile(old, df.filter("uid LIKE 'd%'").withColumn("uid", F.concat("uid", F.lit("x"))), T2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {f"{k}{p}": k == "a" for k in "ab" for p in range(pages)}
+
+
+def test_two_runs_share_one_scan(spark, monkeypatch):
+    """The findings of a second run come from those of the first, not from a second scan of the texts."""
+    scans = []
+    real = findings.findings
+    monkeypatch.setattr(findings, "findings", lambda *a: scans.append(a) or real(*a))
+    for query in (review.f9, review.s1, review.s2):
+        scans.clear()
+        query(spark, SF)
+        assert len(scans) == 1
