@@ -10,17 +10,18 @@ NOW = dt.datetime(2024, 3, 1)
 BOX = R.BOX
 
 
-def detected(spark, d):
-    """Findings of a second run: the same places under other uids, some with another type, plus
+def detected(f):
+    """Findings of a second run over the findings of a first: the same places under other uids, some with another type, plus
     some without a place."""
-    f = FS.findings(spark, d).filter("doc_id % 4 <> 1")
+    f = f.filter("doc_id % 4 <> 1")
     f = f.withColumn("type", F.expr("CASE WHEN doc_id % 6 = 0 AND source = 'linter' THEN 'inconsistency' ELSE type END"))
     f = f.withColumn("xmin", F.expr("CASE WHEN source = 'ai' THEN xmin + 5 ELSE xmin END"))
     return f.withColumn("uid", F.sha2(F.concat("uid", F.lit("#2")), 256)).withColumn("seq", F.col("seq") + 1000000000).withColumn("status", F.lit("open"))
 
 
 def both_runs(spark, d):
-    return FS.findings(spark, d).unionByName(detected(spark, d))
+    f = FS.findings(spark, d)
+    return f.unionByName(detected(f))
 
 
 def j12(spark, d):
@@ -31,14 +32,15 @@ def f9(spark, d):
     return I.merge_findings(both_runs(spark, d)).drop("seq", "explanation")
 
 
-def history(spark, d):
+def history(f):
     first = F.lit(dt.datetime(2024, 1, 1))
-    return FS.findings(spark, d).select(*I.MERGE_COLUMNS, F.lit(True).alias("seen_in_latest"), first.alias("first_detected_at"),
+    return f.select(*I.MERGE_COLUMNS, F.lit(True).alias("seen_in_latest"), first.alias("first_detected_at"),
                                         first.alias("last_detected_at"))
 
 
 def s1(spark, d):
-    r = I.reconcile(history(spark, d), detected(spark, d), NOW)
+    f = FS.findings(spark, d)
+    r = I.reconcile(history(f), detected(f), NOW)
     return r.select("uid", "page_number", "type", "status", "seen_in_latest", F.unix_timestamp("first_detected_at").alias("first_s"),
                     F.unix_timestamp("last_detected_at").alias("last_s"))
 
@@ -78,10 +80,10 @@ def j18(spark, d):
     return R.validate_issue_map(m, FS.findings(spark, d))
 
 
-def decisions(spark, d):
+def decisions(spark, d, findings=None):
     """Decisions from the event stream: each event decides one of the findings of its page."""
     rank = F.row_number().over(W.partitionBy("book_id", "page_number").orderBy("seq", "uid")) - 1
-    f = FS.findings(spark, d).select("book_id", "page_number", "uid", rank.alias("rank"))
+    f = (FS.findings(spark, d) if findings is None else findings).select("book_id", "page_number", "uid", rank.alias("rank"))
     e = corpus.table(spark, d, "events").withColumn("doc_id", F.expr("event_id div 10")).selectExpr(
         f"{seeds.book_id('div')} AS book_id", f"{seeds.PAGE_NUMBER} AS page_number", "ts", "event_id AS seq", "event_type",
         "CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'dismissed' WHEN 'view' THEN 'open' WHEN 'signup' THEN 'fixed' "
@@ -92,7 +94,8 @@ def decisions(spark, d):
 
 
 def s2(spark, d):
-    done, unknown = R.apply_decisions(FS.findings(spark, d), decisions(spark, d))
+    f = FS.findings(spark, d)
+    done, unknown = R.apply_decisions(f, decisions(spark, d, f))
     a = done.select("book_id", "page_number", "uid", "status", F.lit("finding").alias("kind"))
     return a.unionByName(unknown.select("book_id", "page_number", "uid", F.col("decided").alias("status"), F.lit("unknown").alias("kind")))
 
