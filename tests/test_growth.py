@@ -80,3 +80,14 @@ def test_two_runs_share_one_scan(spark, monkeypatch):
         scans.clear()
         query(spark, SF)
         assert len(scans) == 1
+
+
+def test_texts_are_cut_by_their_size(spark, monkeypatch):
+    """More text makes more partitions, not larger ones, and adaptive execution does not put them together."""
+    monkeypatch.setattr(corpus, "CHARS_PER_PARTITION", 10_000)
+    docs = corpus.table(spark, SF, "documents")
+    wanted = docs.agg(F.sum("n_chars")).first()[0] // 10_000
+    assert wanted > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_task = corpus.page_words(spark, SF).groupBy(F.spark_partition_id()).count()
+    assert corpus.text_by_page(spark, SF).rdd.getNumPartitions() > wanted
+    assert per_task.count() > wanted // 3
