@@ -1,8 +1,8 @@
 """Plans and partitions whose cost must grow with the input and no faster."""
 from pyspark.sql import functions as F
 
-from foliocheck.operators import identity as I
-from foliocheck.plans import review
+from foliocheck.operators import identity as I, locate as L
+from foliocheck.plans import locate, review
 from foliocheck.sources import corpus, evidence as E, findings
 from tests.test_ground import FINDING
 from tests.test_identity import T1, T2, f, rows
@@ -91,3 +91,31 @@ def test_texts_are_cut_by_their_size(spark, monkeypatch):
     per_task = corpus.page_words(spark, SF).groupBy(F.spark_partition_id()).count()
     assert corpus.text_by_page(spark, SF).rdd.getNumPartitions() > wanted
     assert per_task.count() > wanted // 3
+
+
+def test_page_rows_hold_the_words_laid_out_by_hand(spark):
+    """Blanks at the ends, empty lines, letters of several bytes, a text without words and one that is null."""
+    texts = ["é  𝒳y\n\n z ", "", None, "Chapter 1: A\nb"]
+    rows = spark.createDataFrame([("b", i + 2, 100 * (i + 1) + 5, t) for i, t in enumerate(texts)], "book_id string, page_number int, doc_id long, text string")
+    got = {r.page_number: [(w.str, w.text_start, w.text_end, w.xmin, round(w.ymax - w.ymin, 6)) for w in r.words] for r in corpus.pages_of(rows).collect()}
+    assert got == {2: [("é", 0, 1, 60.0, 12.0), ("𝒳y", 3, 5, 82.5, 12.0), ("z", 8, 9, 67.5, 12.0)],
+                   5: [("Chapter", 0, 7, 60.0, 24.0), ("1:", 8, 10, 120.0, 24.0), ("A", 11, 12, 142.5, 24.0), ("b", 13, 14, 60.0, 12.0)]}
+
+
+def test_quotes_meet_texts_before_words_are_made(spark):
+    """Neither words nor reading orders move between tasks, and no rule over all pages writes the words."""
+    plan = locate.j7_orders(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("ArrowEvalPython [_distinct_orders")]
+    between = plan[plan.index("ArrowEvalPython [_distinct_orders"):plan.index("ArrowEvalPython [place_words")]
+    assert "Exchange" not in between and "SortMergeJoin" not in between
+    assert "words" not in "".join(part for part in above.split("\n") if "Exchange" in part)
+
+
+def test_lint_writes_only_the_pages_of_a_rule(spark, monkeypatch):
+    written = []
+    real = L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+    found = locate.lint_pages(spark, SF)
+    pages = corpus.word_pages(spark, SF).count()
+    assert len(written) == 1 and 0 < written[0].count() < pages / 4
+    assert found.filter("rule_id IN ('unit_label', 'letter_steps', 'lowercase_heading')").select("rule_id").distinct().count() == 3
