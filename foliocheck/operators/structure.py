@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from foliocheck import constants as C
 from foliocheck.session import cut_lineage
 from foliocheck.functions import digits as N, text as T
-from foliocheck.operators import layout_rules as LR
+from foliocheck.operators import layout_rules as LR, streams as ST
 
 PAGE = ["book_id", "page_number"]
 
@@ -35,11 +35,15 @@ def heading_lines(pages: DataFrame) -> DataFrame:
     return lines.select(*PAGE, "line_no", "contents", N.number(part(2)).alias("number"), name.alias("name"), unit.alias("unit")).filter("number IS NOT NULL")
 
 
-def observed_headings(pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def observed_headings(pages: DataFrame, words: ST.Words | None = None) -> DataFrame:
     """Headings that open a unit or chapter. With words, a page that has any must show a heading
     word in its upper third. A unit number seen before is a running header."""
     h = heading_lines(pages)
-    if words is not None:
+    if words is not None and ST.is_pages(words):
+        opens = F.exists("words", lambda w: (w["ymin"] < 330) & w["str"].rlike("(?i)^(?:unit|chapter|ch)"))
+        laid_out = ST.pages_beside(words, h.select(*PAGE).distinct()).select(*PAGE, opens.alias("shown"))
+        h = h.join(laid_out, PAGE, "left").filter("shown IS NULL OR shown")
+    elif words is not None:
         laid_out = words.select(*PAGE).distinct().withColumn("has_words", F.lit(True))
         shown = words.filter((F.col("ymin") < 330) & F.col("str").rlike("(?i)^(?:unit|chapter|ch)")).select(*PAGE).distinct().withColumn("shown", F.lit(True))
         h = h.join(laid_out.join(h.select(*PAGE).distinct(), PAGE, "left_semi"), PAGE, "left").join(shown, PAGE, "left")
@@ -81,9 +85,11 @@ def printed_toc_inline(pages: DataFrame, front: int = 15) -> DataFrame:
     return t.filter(F.col("number").isNotNull() & (F.length("title") > 2) & (F.col("printed_page") > 0))
 
 
-def pair_toc_columns(words: DataFrame, contents: DataFrame) -> DataFrame:
+def pair_toc_columns(words: ST.Words, contents: DataFrame) -> DataFrame:
     """Contents rows from measured baselines: a number at the right edge with the title words to
     its left and, where present, the row number. `contents`: page keys of contents pages."""
+    if ST.is_pages(words):
+        words = ST.word_rows(ST.pages_beside(words, contents.select(*PAGE).distinct()))
     w = words.join(contents.select(*PAGE), PAGE, "left_semi").filter(~F.coalesce(LR.weak(), F.lit(False)) | (F.col("xmin") < 100))
     mid = (F.col("ymin") + F.col("ymax")) / 2
     label = w.filter((F.col("xmin") > 700) & F.col("str").rlike(r"^\d{1,3}$")).select(
@@ -103,9 +109,9 @@ def pair_toc_columns(words: DataFrame, contents: DataFrame) -> DataFrame:
     return out.withColumn("rn", rn).filter("rn = 1").drop("rn")
 
 
-def toc_openers(words: DataFrame, toc: DataFrame, contents: DataFrame, unit_headers: DataFrame) -> DataFrame:
+def toc_openers(words: ST.Words, toc: DataFrame, contents: DataFrame, unit_headers: DataFrame) -> DataFrame:
     """Pages that open a printed chapter: a large line near the top that says its title."""
-    lines = LR.page_lines(words).withColumn("name", T.strip(F.regexp_replace("text", r"^[|¦\s]+", ""))).filter(
+    lines = LR.page_lines(words, large=(1.4, 330)).withColumn("name", T.strip(F.regexp_replace("text", r"^[|¦\s]+", ""))).filter(
         (F.col("y") <= 330) & (F.col("height") >= F.col("median") * 1.4) & ~F.col("weak"))
     lines = lines.join(contents.select(*PAGE), PAGE, "left_anti")
     entry = toc.groupBy("book_id", F.lower("title").alias("key")).agg(F.min_by("number", F.struct("page_number", "ord")).alias("number"))
@@ -146,7 +152,7 @@ def chapter_bounds(books: DataFrame, starts: DataFrame) -> DataFrame:
         "chapter_key", chapter_key(F.col("page"), F.col("name"))).drop("page_count")
 
 
-def infer_chapters(books: DataFrame, pages: DataFrame, words: DataFrame | None = None, bookmarks: DataFrame | None = None) -> DataFrame:
+def infer_chapters(books: DataFrame, pages: DataFrame, words: ST.Words | None = None, bookmarks: DataFrame | None = None) -> DataFrame:
     """Chapters of every book from observed headings and, with words, printed contents and openers, and, with `bookmarks` (of `bookmark_chapters`), from those."""
     seen = observed_headings(pages, words)
     order = F.col("page").cast("bigint") * 100000 + F.col("line_no")
@@ -160,7 +166,7 @@ def infer_chapters(books: DataFrame, pages: DataFrame, words: DataFrame | None =
     return chapter_bounds(books, best_start_per_page(cand))
 
 
-def all_toc(pages: DataFrame, words: DataFrame, contents: DataFrame) -> DataFrame:
+def all_toc(pages: DataFrame, words: ST.Words, contents: DataFrame) -> DataFrame:
     """Printed contents rows of both kinds, measured columns first, each title and page once."""
     cols = pair_toc_columns(words, contents).select("book_id", "page_number", F.col("label").cast("bigint").alias("ord"), "number", "title", "printed_page")
     lines = printed_toc(pages).select("book_id", "page_number", (F.col("line_no") + 1000000000).cast("bigint").alias("ord"), "number", "title", "printed_page")

@@ -1,9 +1,10 @@
 """Queries of book structure and chapter contexts."""
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from foliocheck.functions import text as T
 from foliocheck.operators import contexts as X, structure as S
-from foliocheck.session import cut_lineage
 from foliocheck.sources import corpus, seeds
 
 PAGE = ["book_id", "page_number"]
@@ -55,8 +56,12 @@ def j2(spark, d):
     return e.join(t, "book_id", "left")
 
 
+def word_pages(spark, d):
+    return partial(corpus.word_pages, spark, d)
+
+
 def j4(spark, d):
-    pages, words, c = corpus.pages(spark, d), corpus.words(spark, d), contents(spark, d)
+    pages, words, c = corpus.pages(spark, d), word_pages(spark, d), contents(spark, d)
     o = S.toc_openers(words, S.all_toc(pages, words, c), c, headers(spark, d))
     return o.drop("line_no")
 
@@ -73,7 +78,7 @@ def numbered_starts(spark, d):
 
 
 def r5(spark, d):
-    c = S.infer_chapters(corpus.books(spark, d), corpus.pages(spark, d), cut_lineage(corpus.words(spark, d)), bookmarks(spark, d))
+    c = S.infer_chapters(corpus.books(spark, d), corpus.pages(spark, d), word_pages(spark, d), bookmarks(spark, d))
     return c.select("book_id", "start_page", "end_page", "number", "name", "unit", "confidence", "source", "chapter_key")
 
 
@@ -171,7 +176,7 @@ def digest(df, col):
 
 QUERIES = {
     "r1_body_headings": lambda s, d: S.body_headings(corpus.pages(s, d)),
-    "r2_observed_headings": lambda s, d: S.observed_headings(corpus.pages(s, d), corpus.words(s, d)),
+    "r2_observed_headings": lambda s, d: S.observed_headings(corpus.pages(s, d), word_pages(s, d)),
     "r3_printed_toc": lambda s, d: S.printed_toc(corpus.pages(s, d)).select("book_id", "number", "title", "printed_page"),
     "r3_printed_toc_inline": r3_inline,
     "r4_flatten_outline": lambda s, d: S.flatten_outline(corpus.outline(s, d), corpus.books(s, d)).drop("place"),
@@ -179,7 +184,7 @@ QUERIES = {
     "r6_refresh_contexts": lambda s, d: X.refresh_contexts(chapters(s, d), corpus.pages(s, d), contexts(s, d)),
     "j1_assign_chapters": lambda s, d: S.assign_chapters(corpus.pages(s, d, text=False), chapters(s, d)).select(*PAGE, "chapter_key"),
     "j2_expected_chapter": j2,
-    "j3_pair_toc_columns": lambda s, d: S.pair_toc_columns(corpus.words(s, d), contents(s, d)).drop("label"),
+    "j3_pair_toc_columns": lambda s, d: S.pair_toc_columns(word_pages(s, d), contents(s, d)).drop("label"),
     "j4_toc_openers": j4,
     "w1_chapter_bounds": lambda s, d: chapters(s, d).select("book_id", "start_page", "end_page", "name", "source", "chapter_key"),
     "w1_numbered_bounds": lambda s, d: S.numbered_bounds(corpus.books(s, d), numbered_starts(s, d)),

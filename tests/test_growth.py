@@ -1,7 +1,7 @@
 """Plans and partitions whose cost must grow with the input and no faster."""
 from pyspark.sql import functions as F
 
-from foliocheck.operators import identity as I, locate as L
+from foliocheck.operators import identity as I, layout_rules as LR, locate as L
 from foliocheck.plans import locate, review
 from foliocheck.sources import corpus, evidence as E, findings
 from tests.test_ground import FINDING
@@ -119,3 +119,13 @@ def test_lint_writes_only_the_pages_of_a_rule(spark, monkeypatch):
     pages = corpus.word_pages(spark, SF).count()
     assert len(written) == 1 and 0 < written[0].count() < pages / 4
     assert found.filter("rule_id IN ('unit_label', 'letter_steps', 'lowercase_heading')").select("rule_id").distinct().count() == 3
+
+
+def test_openers_lay_out_only_pages_with_large_words(spark):
+    """Page rows and word rows agree, and word rows are made only of pages that can hold an opener."""
+    pages, rows = corpus.word_pages(spark, SF), corpus.words(spark, SF)
+    tall = "y <= 330 AND height >= median * 1.4"
+    cols = ["book_id", "page_number", "text", "median", "height", "first"]
+    want = sorted(map(tuple, LR.page_lines(rows).filter(tall).select(cols).collect()))
+    assert want and sorted(map(tuple, LR.page_lines(pages, large=(1.4, 330)).filter(tall).select(cols).collect())) == want
+    assert LR._pages_with_large(pages, 1.4, 330).select("book_id", "page_number").distinct().count() < pages.count() / 2
