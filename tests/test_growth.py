@@ -1,8 +1,8 @@
 """Plans and partitions whose cost must grow with the input and no faster."""
 from pyspark.sql import functions as F
 
-from foliocheck.operators import identity as I, layout_rules as LR, locate as L
-from foliocheck.plans import locate, review
+from foliocheck.operators import identity as I, layout_rules as LR, locate as L, spatial
+from foliocheck.plans import layout, locate, review
 from foliocheck.sources import corpus, evidence as E, findings
 from tests.test_ground import FINDING
 from tests.test_identity import T1, T2, f, rows
@@ -129,3 +129,47 @@ def test_openers_lay_out_only_pages_with_large_words(spark):
     want = sorted(map(tuple, LR.page_lines(rows).filter(tall).select(cols).collect()))
     assert want and sorted(map(tuple, LR.page_lines(pages, large=(1.4, 330)).filter(tall).select(cols).collect())) == want
     assert LR._pages_with_large(pages, 1.4, 330).select("book_id", "page_number").distinct().count() < pages.count() / 2
+
+
+def test_passes_are_merged_where_the_words_are(spark):
+    """Only page texts move; no page pays for a group of its own."""
+    plan = layout.j13(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan and "Window" not in plan
+    assert plan.count("Exchange") == 1 and "words" not in "".join(part for part in plan.split("\n") if "Exchange" in part)
+
+
+def test_merged_passes_equal_rules_word_by_word(spark, monkeypatch):
+    """Crowded pages, equal boxes, boxes without area, beyond the page or as high as it, pages of one pass only; also where few pairs are compared at a time."""
+    import random
+    monkeypatch.setattr(spatial, "PAIRS", 7)
+    r = random.Random(3)
+
+    def some_words(page, n):
+        out = []
+        for i in r.sample(range(500), n):
+            x, y, w, h = r.choice([0.0, 40.0, 100.0, 990.0, r.uniform(-60, 1000)]), r.choice([10.0, 12.0, r.uniform(0, 40)]), r.choice([0.0, 30.0, 31.0, r.uniform(1, 90)]), r.choice([10.0, 11.0, 0.4])
+            out.append(("b", page, i, r.choice(["a", "\U0001d4b3y", "", "long"]), x, y, x + w, 1000.0 if r.random() < 0.02 else y + h, r.choice(["1", None])))
+        return out
+    base = [w for p in range(1, 12) for w in some_words(p, 9)]
+    extra = [w for p in range(3, 14) for w in some_words(p, 60 if p < 8 else 4)]
+
+    def covers(a, b):
+        shared = max(0, min(a[6], b[6]) - max(a[4], b[4])) * max(0, min(a[7], b[7]) - max(a[5], b[5]))
+        area = lambda v: (v[6] - v[4]) * (v[7] - v[5])
+        return shared / max(1.0, min(area(a), area(b))) > 0.65
+    want = []
+    for page in range(3, 14):
+        fixed, kept = [w for w in base if w[1] == page], []
+        end = sum(len(w[3]) + 1 for w in fixed) or 1
+        for w in sorted((w for w in extra if w[1] == page), key=lambda w: w[2]):
+            if not any(covers(w, o) for o in fixed + kept):
+                kept.append(w)
+                want.append((page, w[2], w[3], end, end + len(w[3]), f"x:{w[8] or ''}"))
+                end += len(w[3]) + 1
+    types = "book_id string, page_number int, word_idx int, str string, xmin double, ymin double, xmax double, ymax double, block_id string"
+    got = E.merge_ocr_passes(spark.createDataFrame(base, types), spark.createDataFrame(extra, types), "x").select("page_number", "word_idx", "str", "text_start", "text_end", "block_id")
+    assert sorted(map(tuple, got.collect())) == want and 100 < len(want) < len(extra)
+    arrays = [[E.pa.array([[w[c] for w in side]]) for c in (4, 5, 6, 7)] for side in (base, sorted(extra, key=lambda w: w[2]))]
+    in_chunks = spatial.covered_words(*arrays, E.pa.array([sorted(w[2] for w in extra)]), 0.65)
+    monkeypatch.setattr(spatial, "PAIRS", 10**6)
+    assert (in_chunks == spatial.covered_words(*arrays, E.pa.array([sorted(w[2] for w in extra)]), 0.65)).all() and in_chunks.any()
