@@ -173,3 +173,19 @@ def test_merged_passes_equal_rules_word_by_word(spark, monkeypatch):
     in_chunks = spatial.covered_words(*arrays, E.pa.array([sorted(w[2] for w in extra)]), 0.65)
     monkeypatch.setattr(spatial, "PAIRS", 10**6)
     assert (in_chunks == spatial.covered_words(*arrays, E.pa.array([sorted(w[2] for w in extra)]), 0.65)).all() and in_chunks.any()
+
+
+def test_headings_are_found_where_the_words_are(spark):
+    """No word moves between tasks, and the short lines of page rows are the lines of word rows."""
+    pages, rows = corpus.word_pages(spark, SF), corpus.words(spark, SF)
+    plan = LR.heading_findings(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Window" not in plan
+    cols = ["book_id", "page_number", "text", "first", "y", "height", "x", "xmin", "xmax", "ymax", "n_words", "weak", "banner", "all_ocr", "text_start", "text_end", "median", "block_words"]
+    ocr = corpus.ocr_words(spark, SF).withColumn("role", F.when(F.col("text_start") < 20, "heading"))
+    for words, page_rows in ((rows, pages), (ocr, ocr), (ocr.withColumn("str", F.when(F.col("word_idx") % 3 > 0, F.col("str")).otherwise("")), None)):
+        want = LR.page_lines(words).filter(f"n_words <= {LR.SHORT}").select(cols)
+        got = LR.short_lines(words if page_rows is None else page_rows).select("book_id", "page_number", "median", F.inline("lines")).select(cols)
+        if page_rows is None:
+            assert got.filter(f"n_words > {LR.SHORT}").count() > 0
+            got = got.filter(f"n_words <= {LR.SHORT}")
+        assert want.count() == got.count() > 100 and want.exceptAll(got).count() == 0
