@@ -189,3 +189,17 @@ def test_headings_are_found_where_the_words_are(spark):
             assert got.filter(f"n_words > {LR.SHORT}").count() > 0
             got = got.filter(f"n_words <= {LR.SHORT}")
         assert want.count() == got.count() > 100 and want.exceptAll(got).count() == 0
+
+
+def test_bands_meet_pages_before_words_are_made(spark):
+    """No word moves between tasks; page rows give the words that word rows give, once each where bands overlap."""
+    plan = layout.j14(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "words" not in "".join(part for part in plan.split("\n") if "Exchange" in part or "Join" in part)
+    assert plan.index("ArrowEvalPython [place_words") < min(plan.index(j) for j in ("SortMergeJoin", "BroadcastHashJoin") if j in plan)
+    bands = corpus.pages(spark, SF, text=False).filter("page_number % 5 > 0").selectExpr(
+        "book_id", "page_number", "explode(array(30D, 60D, 300D)) AS top", "top + 100 AS bottom", "50D AS left", "CAST(300 + page_number * 10 AS DOUBLE) AS right")
+    cols = ["book_id", "page_number", "word_idx", "str", "role"]
+    want = E.words_in_bands(corpus.ocr_words(spark, SF), bands).select(cols)
+    for words in (corpus.ocr_word_pages(spark, SF), lambda beside: corpus.ocr_word_pages(spark, SF, beside), lambda beside: corpus.ocr_words_beside(spark, SF, beside)):
+        got = E.words_in_bands(words, bands).select(cols)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
