@@ -13,7 +13,7 @@ PAGE = ["book_id", "page_number"]
 
 def body_headings(pages: DataFrame) -> DataFrame:
     """`Chapter n: name` near the top of a page that is not a contents page."""
-    top = F.substring(T.squash(F.col("text")), 1, 500)
+    top = T.squash_head(F.col("text"), 500)
     contents = top.rlike(r"(?i)" + C.WB + r"(?:table\s+of\s+contents|contents|index|विषय[ -]?सूची)" + C.WE)
     hit = F.regexp_extract("top", C.P_BODY_HEADING, 0)
     p = pages.select(*PAGE, top.alias("top"), contents.alias("contents")).filter("NOT contents")

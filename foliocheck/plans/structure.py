@@ -116,7 +116,8 @@ def f10_fold(spark, d):
       'activities', array(named_struct('name', 'Draw', 'purpose', concat('p', doc_id), 'alignment', 'good', 'pages', array(page_number div 3))),
       'guidance', array(named_struct('page', page_number div 2, 'expected', concat('e', doc_id), 'continuity', 'next')),
       'concerns', array(named_struct('page', page_number % 3, 'type', 'Order', 'description', concat('late ', doc_id % 4), 'evidence', concat('v', doc_id), 'confidence', 0.5D)))""")
-    m = X.fold_memories(p.select("book_id", "chapter_key", F.col("page_number").alias("part"), memory.alias("memory")))
+    m = X.fold_memories(p.select("book_id", "chapter_key", F.col("page_number").alias("part"), memory.alias("memory")),
+                        corpus.table(spark, d, "documents").count())
 
     def pages(x):
         return F.array_join(F.transform(x["pages"], lambda v: v.cast("string")), ",")

@@ -1,8 +1,9 @@
 """Plans and partitions whose cost must grow with the input and no faster."""
 from pyspark.sql import functions as F
 
-from foliocheck.operators import identity as I, layout_rules as LR, locate as L, spatial
-from foliocheck.plans import layout, locate, review
+from foliocheck.functions import text as T
+from foliocheck.operators import contexts as X, identity as I, layout_rules as LR, locate as L, spatial
+from foliocheck.plans import layout, locate, review, structure
 from foliocheck.sources import corpus, evidence as E, findings
 from tests.test_ground import FINDING
 from tests.test_identity import T1, T2, f, rows
@@ -203,3 +204,21 @@ def test_bands_meet_pages_before_words_are_made(spark):
     for words in (corpus.ocr_word_pages(spark, SF), lambda beside: corpus.ocr_word_pages(spark, SF, beside), lambda beside: corpus.ocr_words_beside(spark, SF, beside)):
         got = E.words_in_bands(words, bands).select(cols)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+
+
+def test_memories_are_folded_in_bounded_partitions(spark, monkeypatch):
+    """Parts move once, into partitions by their number, and nothing is put together or moved after that."""
+    monkeypatch.setattr(X, "PARTS_PER_PARTITION", 10)
+    folded = structure.f10_fold(spark, SF)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("REPARTITION_BY_NUM")]
+    n = corpus.table(spark, SF, "documents").count() // 10 + 1
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions")) and above.count("Exchange") == 1
+    assert folded.rdd.getNumPartitions() == n
+
+
+def test_beginning_of_squashed_text(spark):
+    texts = [None, "", "  a  b ", "x" * 30, " " * 100 + "ab  c", "a " * 30, "ab\t\n" * 9, "a" + " " * 60 + "b" * 9, "a" * 5 + " " * 16]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 5, 10):
+        assert rows.filter(~T.squash_head(F.col("t"), n).eqNullSafe(F.substring(T.squash(F.col("t")), 1, n))).count() == 0
