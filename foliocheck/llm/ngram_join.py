@@ -7,7 +7,10 @@
 3. The tokens of that part that are left get one global order, rare ones first. Of m of them, the first m - r + 1 are kept (r: the least l
    of any partner), so that linked sets still share one. Sets that share a kept token are tied by a star, and the components of those stars
    are the candidates: every link lies inside one of them.
-4. Each candidate component goes to one task, which joins its sets in a prefix tree (trie_join). A component too large for that is cut into
+4. A passage that many texts share ties their sets into one component, whose share of all sets grows with the corpus. A component of more
+   than MANY sets is therefore cut by whole sets: all their tokens are counted and ranked, which ties sets only by tokens that are rare among
+   all they have.
+5. Each candidate component goes to one task, which joins its sets in a prefix tree (trie_join). A component too large for that is cut into
    blocks: blocks are joined alone, then the roots of what they found, then - only where several roots remain - every pair of blocks.
 
 No stage emits the pairs of a group. Tokens found in very many sets are known beforehand from a table of 2 ** SLOT_BITS counters (fixed
@@ -39,16 +42,14 @@ CHUNK = 4096           # counters per row of the counter table
 HOT = 4096             # a counter of so many sets, and HOT_TIMES the mean of all counters, is hot
 HOT_TIMES = 16
 SALTS = 64
+MANY = 256             # sets of a candidate component that are joined without a look at whole sets
 BLOCK = 2_000_000      # shingles of a candidate component that one task holds
 
 
 def shingles(text: Column) -> Column:
     """Distinct hashes of the shingles of a text."""
     def windows(h: Column) -> Column:
-        n = F.size(h) - (SIZE - 1)
-        part = [F.slice(h, i + 1, n) for i in range(SIZE)]
-        both = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-        return both(both(both(part[0], part[1]), both(part[2], part[3])), part[4])
+        return F.transform(F.sequence(F.lit(0), F.size(h) - SIZE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SIZE)]))
     hashed = F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
     return let(hashed, lambda h: F.when(F.size(h) >= SIZE, F.array_distinct(windows(h)))
                .when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
@@ -153,11 +154,24 @@ def _stars(kept: DataFrame) -> DataFrame:
     return spokes.unionByName(ties).distinct()
 
 
-def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Edges (a, b) from every class to the root of its component within its (key) block. `rows` has key columns, cid, known, want, s1, set.
+def _cut_by_sets(sets: DataFrame) -> DataFrame:
+    """(s1, comp) of the sets (s1, n, set) that can link, by components; each links only inside its own.
 
-    A row whose set is not the wanted one (an id given to several texts) is passed over.
+    A set that links shares at least three quarters of its tokens, so its smallest shared one is among the first floor(n / 4) + 1 of any common
+    order. Rare tokens come first; those of one set alone are counted but tie nothing.
     """
+    tokens = sets.select("s1", "n", F.explode("set").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("s1")
+    ranked = tokens.join(shared, "token").withColumns({"alone": F.col("n") - F.count("*").over(own), "k": F.row_number().over(own.orderBy("df", "token"))})
+    kept = cut_lineage(ranked.filter(F.col("alone") + F.col("k") <= F.floor(F.col("n") / 4) + 1).select("token", "s1"))
+    least = kept.groupBy("token").agg(F.min("s1").alias("b"))
+    edges = kept.join(least, "token").filter(F.col("s1") != F.col("b")).select(F.col("s1").alias("a"), "b")
+    return components(edges).select(F.col("node").alias("s1"), F.col("label").alias("comp"))
+
+
+def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (a, b) from every class to the root of its component within its (key) block. `rows` has key columns, cid, known, set."""
     schema = pa.schema([("a", pa.string()), ("b", pa.string())])
 
     def block(cids: list[str], known: list[str | None], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -177,10 +191,7 @@ def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
         for batch in batches:
             values, offsets = _lists(batch.column("set"))
             heads = zip(*(batch.column(k).to_pylist() for k in key))
-            right = (batch.column("want").to_numpy() == batch.column("s1").to_numpy()).tolist()
             for i, (head, cid, group) in enumerate(zip(heads, batch.column("cid").to_pylist(), batch.column("known").to_pylist())):
-                if not right[i]:
-                    continue
                 if head != current:
                     if cids:
                         yield block(cids, known, sets)
@@ -191,42 +202,55 @@ def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
         if cids:
             yield block(cids, known, sets)
 
-    placed = rows.select(*key, "cid", "known", "want", "s1", "set").repartition(*key).sortWithinPartitions(*key, "cid")
+    placed = rows.select(*key, "cid", "known", "set").repartition(*key).sortWithinPartitions(*key, "cid")
     return placed.mapInArrow(run, "a string, b string")
 
 
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """`members` with the set of each class, written once: texts are moved and cut into shingles a single time."""
+    wanted = members.withColumnRenamed("s1", "want")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("min_doc")).select("text", *wanted.columns)
+    # Classes in which no row has an id are found by the hash of a text; each task sends such a text once.
+    nameless = docs.filter(F.col("doc_id").isNull()).groupBy(F.xxhash64(whole("text")).alias("__llm_hash")).agg(F.min("text").alias("text"))
+    nameless = nameless.join(wanted.filter(F.col("min_doc").isNull()), F.col("__llm_hash") == F.col("min_hash")).select("text", *wanted.columns)
+    row = let(F.sort_array(shingles(whole("text"))), lambda x: F.struct(F.xxhash64(x).alias("s1"), x.alias("set")))
+    rows = texts.unionByName(nameless).withColumn("row", row).select(*[c for c in wanted.columns if c not in ("min_doc", "min_hash")], "row.s1", "row.set")
+    # An id given to several texts brings other sets too. They go after the rows are written: else the test would become a key of the join above.
+    return cut_lineage(rows).filter("want = s1").drop("want")
+
+
+def _with_blocks(members: DataFrame, block: int) -> DataFrame:
+    """`members` (comp, n, ...) with the classes of their component, how many blocks it needs and which one they are in."""
+    load = members.groupBy("comp").agg(F.count("*").alias("classes"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    return members.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+
+
 def _linked(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """(cid, label) of the classes in candidate components. `members` has min_doc, min_hash, cid, s1, comp, n."""
-    load = members.groupBy("comp").agg(F.sum("n").alias("load")).withColumn("blocks", F.ceil(F.col("load") / block).cast("int"))
-    members = cut_lineage(members.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
-
-    def with_sets(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.withColumnRenamed("s1", "want")
-        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("min_doc")).select("text", *wanted.columns)
-        # Classes in which no row has an id are found by the hash of a text; each task sends such a text once.
-        nameless = docs.filter(F.col("doc_id").isNull()).groupBy(F.xxhash64(whole("text")).alias("__llm_hash")).agg(F.min("text").alias("text"))
-        nameless = nameless.join(wanted.filter(F.col("min_doc").isNull()), F.col("__llm_hash") == F.col("min_hash")).select("text", *wanted.columns)
-        texts = texts.unionByName(nameless)
-        row = let(F.sort_array(shingles(whole("text"))), lambda x: F.struct(F.xxhash64(x).alias("s1"), x.alias("set")))
-        return texts.withColumn("row", row).select(*[c for c in texts.columns if c != "text"], "row.s1", "row.set")
-
-    fresh = members.withColumn("known", F.lit(None).cast("string"))
-    edges = cut_lineage(_joined(with_sets(fresh), ["comp", "block"]))
+    """(cid, label) of the classes in candidate components that may link. `members` has min_doc, min_hash, cid, s1, comp, n."""
+    sets = _sets(docs, _with_blocks(members, block))
+    wide = sets.filter(F.col("classes") > MANY)
+    if not wide.isEmpty():
+        finer = _cut_by_sets(wide.select("s1", "n", "set").dropDuplicates(["s1"]))
+        finer = _with_blocks(finer.join(wide.select("s1", "n").distinct(), "s1"), block)
+        sets = cut_lineage(sets.filter(F.col("classes") <= MANY).unionByName(wide.select("cid", "s1", "set").join(finer, "s1")))
+    members = sets.drop("set")
+    edges = cut_lineage(_joined(sets.withColumn("known", F.lit(None).cast("string")), ["comp", "block"]))
     roots = edges.select(F.col("a").alias("cid"), F.col("b").alias("label"))
     if members.filter("blocks > 1").isEmpty():
         return roots.distinct()
     # Components cut into blocks: their roots against each other, then what is still apart, block by block.
-    cut = members.filter("blocks > 1")
+    cut = members.filter("blocks > 1").distinct()
+    of_cut = sets.filter("blocks > 1").select("cid", "set")
     heads = cut.join(roots.filter(F.col("cid") == F.col("label")).select("cid").distinct(), "cid")
     heads = heads.withColumn("known", F.lit(None).cast("string")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("blocks")).cast("int"))
-    tied = edges.unionByName(_joined(with_sets(heads), ["comp", "block"]))
+    tied = edges.unionByName(_joined(of_cut.join(heads, "cid"), ["comp", "block"]))
     labels = cut_lineage(_labels(tied))
     apart = cut.join(labels.withColumnRenamed("label", "known"), "cid")
     several = apart.groupBy("comp").agg(F.countDistinct("known").alias("n_labels")).filter("n_labels > 1").select("comp")
     apart = apart.join(several, "comp")
     pairs = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(F.col("other") != F.col("block"))
     pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return _labels(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")).unionByName(_joined(with_sets(pairs), ["comp", "low", "high"])))
+    return _labels(labels.select(F.col("cid").alias("a"), F.col("label").alias("b")).unionByName(_joined(of_cut.join(pairs, "cid"), ["comp", "low", "high"])))
 
 
 def _labels(edges: DataFrame) -> DataFrame:

@@ -73,6 +73,19 @@ def test_hot_tokens_build_salted_stars(spark, monkeypatch):
     assert got == dict(enumerate(brute([shingles(t) for t in texts])))
 
 
+def test_a_shared_passage_ties_no_sets_together(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MANY", 2)
+    passage = cases.prose(1, 30)
+    texts = [f"{cases.prose(50 + i // 2, 40)} {passage} end {i}" for i in range(24)] + near_copies(4, 3)
+    sets = [shingles(t) for t in texts]
+    numbers = {t: i for i, t in enumerate(sorted(set().union(*sets)))}
+    frame = spark.createDataFrame([(i, len(s), sorted(numbers[t] for t in s)) for i, s in enumerate(sets) if i < 24], "s1 long, n long, set array<long>")
+    assert {r.s1: r.comp for r in ngram_join._cut_by_sets(frame).collect()} == {i: i - i % 2 for i in range(24)}
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1), (5, "id of another text", "en", "s", 1)]
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(cases.frame(spark, rows)).filter("n_shingles <> 1").collect()}
+    assert got == {i: r for i, r in enumerate(brute(sets)) if len(sets[i]) != 1}
+
+
 def test_ngram_join_odd_rows(odd, empty):
     rows = ngram_join.link_documents(odd).collect()
     assert len(rows) == len(cases.odd_rows())
