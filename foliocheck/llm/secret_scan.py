@@ -7,7 +7,7 @@ characters of each other in the same text.
 Spans come from one split and one extraction per pattern: the gaps and match lengths of a text give the offsets as running sums. The parts
 are few next to the text; they are exploded, put into every bin (as wide as a scope) that they touch and joined bin by bin against the first
 and last position of every part kind in a bin, so the work is linear in the matched characters however many parts one text holds and
-however long they are. No text is shuffled.
+however long they are. Texts are searched once and their parts written, since the link reads them three times; texts move only if the result keeps them.
 
 Defined cases: null text is empty and has no spans; rows that repeat a document get the same result each; equal positions are ordered by
 kind; an empty table gives no rows; other columns pass through, those named like an added column are replaced.
@@ -15,18 +15,24 @@ kind; an empty table gives no rows; other columns pass through, those named like
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliocheck.llm.common import whole
+from foliocheck.session import cut_lineage
 
 SCOPE = 200
 
 
 @dataclass(frozen=True)
 class Part:
-    """One pattern: what it is a part of, and how long a match (`group`) must be to be reported by itself or as a weak candidate."""
+    """One pattern: what it is a part of, and how long a match (`group`) must be to be reported by itself or as a weak candidate.
+
+    Every match holds one of the strings of `holds`, where any are given: a text without them need not be searched.
+    """
     kind: str
     role: str
     pattern: str
@@ -34,15 +40,16 @@ class Part:
     strong: int | None = None
     weak: int | None = None
     weak_kind: str = ""
+    holds: tuple[str, ...] = ()
 
 
 #: Kinds in the order in which equal positions are listed; the first three are the base patterns.
 PARTS = [
-    Part("assign", "secret", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, 4, "weak_assign"),
-    Part("access", "identifier", r"AKIA[A-Z0-9]+", 0, 16, 10, "weak_access"),
+    Part("assign", "secret", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, 4, "weak_assign", (":", "=")),
+    Part("access", "identifier", r"AKIA[A-Z0-9]+", 0, 16, 10, "weak_access", ("AKIA",)),
     Part("hex", "secret", r"[0-9a-f]{20,}", 0, 32, 20, "weak_hex"),
-    Part("login", "identifier", r"(?i:user(?:name)?|login|account|client_?id|access_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]+)", 1, None, 3, "weak_login"),
-    Part("endpoint", "endpoint", r"(?i:https?|ftp|jdbc:[a-z]+|redis|mongodb|amqp|ssh)://[A-Za-z0-9.-]+(?::[0-9]+)?", 0, None, 10, "endpoint"),
+    Part("login", "identifier", r"(?i:user(?:name)?|login|account|client_?id|access_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]+)", 1, None, 3, "weak_login", (":", "=")),
+    Part("endpoint", "endpoint", r"(?i:https?|ftp|jdbc:[a-z]+|redis|mongodb|amqp|ssh)://[A-Za-z0-9.-]+(?::[0-9]+)?", 0, None, 10, "endpoint", ("://",)),
 ]
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, *[p.weak_kind for p in PARTS]]
@@ -56,15 +63,17 @@ def _matches(text: Column, part: Part) -> Column:
     row = F.zip_with(F.zip_with(found, value, lambda m, v: F.struct(F.char_length(m).alias("m"), F.char_length(v).alias("v"))),
                      F.slice(gaps, 1, F.size(found)), lambda x, gap: F.struct(x["m"].alias("m"), x["v"].alias("v"), F.char_length(gap).alias("gap")))
     numbered = F.transform(row, lambda x, i: F.struct(F.lit(part.kind).alias("kind"), i.alias("k"), x["gap"].alias("gap"), x["m"].alias("len"), x["v"].alias("value_len")))
-    return F.when(text.rlike(part.pattern), numbered)
+    there = reduce(or_, [F.contains(text, F.lit(s)) for s in part.holds], F.lit(not part.holds))
+    return F.when(there & text.rlike(part.pattern), numbered)
 
 
 def parts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, kind, role, start, end (code points, end exclusive), strong: one row per strong or weak part."""
     text = whole("text")
     empty = F.array().cast("array<struct<kind:string,k:int,gap:int,len:int,value_len:int>>")
+    # An outer explode, since a test for empty lists, also the one that Spark adds below an inner one, would search every text a second time.
     found = (docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.concat(*[F.coalesce(_matches(text, p), empty) for p in PARTS]).alias("m"))
-             .filter(F.size("m") > 0).select("doc_id", "text_hash", F.explode("m").alias("m")).select("doc_id", "text_hash", "m.*")
+             .select("doc_id", "text_hash", F.explode_outer("m").alias("m")).filter("m IS NOT NULL").select("doc_id", "text_hash", "m.*")
              .dropDuplicates(["doc_id", "text_hash", "kind", "k"]))
     order = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("k")
     end = F.sum(F.col("gap") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -104,10 +113,12 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """`docs` with n_assign, n_access, n_hex and `secrets`: an array of (start, kind_order, kind, end) in text order."""
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    spans = (link(parts(docs), scope).groupBy(F.col("doc_id").alias("__llm_doc"), F.col("text_hash").alias("__llm_hash"))
+    spans = (link(cut_lineage(parts(docs)), scope).groupBy(F.col("doc_id").alias("__llm_doc"), F.col("text_hash").alias("__llm_hash"))
              .agg(F.sort_array(F.collect_list(F.struct("start", rank[F.col("kind")].alias("kind_order"), "kind", "end"))).alias("secrets")))
     added = ["secrets", *[f"n_{k}" for k in BASE]]
-    joined = docs.drop(*added).join(spans, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & (F.xxhash64(whole("text")) == F.col("__llm_hash")), "left")
+    # The hash is taken before the join: as a part of its condition it would move every text.
+    hashed = docs.drop(*added).withColumn("__llm_key", F.xxhash64(whole("text")))
+    joined = hashed.join(spans, F.col("doc_id").eqNullSafe(F.col("__llm_doc")) & (F.col("__llm_key") == F.col("__llm_hash")), "left").drop("__llm_key")
     none = F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,end:bigint>>")
     joined = joined.withColumn("secrets", F.coalesce("secrets", none)).drop("__llm_doc", "__llm_hash")
     return joined.withColumns({f"n_{k}": _count(k) for k in BASE})

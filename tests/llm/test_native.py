@@ -143,3 +143,17 @@ def test_secret_links_equal_brute_force_on_distance(spark):
     found = spark.createDataFrame(rows, "doc_id long, text_hash long, kind string, role string, start long, end long, strong boolean")
     got = sorted((r.doc_id, r.start, r.end) for r in secret_scan.link(found).collect())
     assert got == sorted((w[0], w[4], w[5]) for w in rows if reported(w)) and len(got) < len(rows)
+
+
+def test_texts_are_searched_once(spark):
+    """No filter repeats the patterns, the result reads written parts, and no text moves that it does not keep."""
+    docs = cases.frame(spark, [(1, 'password = "abcdefgh12" login: bob http://x.example', "en", "a", 9), (2, "AKIA1234567890ABCD " + "0a" * 20, "en", "a", 9), (3, None, "en", "a", 0)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    searched = [line for line in plan(secret_scan.parts(docs)) if "AKIA" in line]
+    assert len(searched) == 1 and "Filter" not in searched[0]
+    found = secret_scan.scan(docs).select("doc_id", "secrets")
+    assert not any("AKIA" in line for line in plan(found)) and not any("Join" in line and "text#" in line for line in plan(found))
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in found.collect()} == {
+        1: [("assign", 0, 22), ("weak_login", 24, 34), ("endpoint", 35, 51)], 2: [("access", 0, 18), ("hex", 19, 59)], 3: []}
+    for part in secret_scan.PARTS:
+        assert not part.holds or not re.search(part.pattern, "password secret AKI user login https// " + "".join(chr(c) for c in range(32, 127) if chr(c) not in ":="))
