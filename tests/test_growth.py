@@ -222,3 +222,17 @@ def test_beginning_of_squashed_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for n in (1, 5, 10):
         assert rows.filter(~T.squash_head(F.col("t"), n).eqNullSafe(F.substring(T.squash(F.col("t")), 1, n))).count() == 0
+
+
+def test_large_words_are_found_without_a_sort_for_each_word(spark):
+    """The median of a page is no part of a test of its words, and pages at the limit stay."""
+    from foliocheck.operators import layout_rules as LR
+    word = "struct<word_idx:int,str:string,xmin:double,ymin:double,xmax:double,ymax:double,text_start:int,text_end:int>"
+    row = lambda i, y, h: (i, f"w{i}", 10.0 * i, float(y), 10.0 * i + 8, float(y + h), 3 * i, 3 * i + 2)
+    small = [row(i, 50 + 20 * i, 10) for i in range(1, 6)]
+    rows = [("b", 1, [row(0, 40, 14), *small]), ("b", 2, [row(0, 40, 13), *small]), ("b", 3, [row(0, 331, 30), *small]), ("b", 4, [row(0, 300, 15)]),
+            ("b", 5, [row(0, 40, 0), row(1, 60, -1)])]
+    pages = spark.createDataFrame(rows, f"book_id string, page_number int, words array<{word}>")
+    lines = LR.page_lines(pages, large=(1.4, 330))
+    assert {(r.page_number, r.median) for r in lines.collect()} == {(1, 10.0)}
+    assert "exists(" not in lines._jdf.queryExecution().optimizedPlan().toString()
